@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
+from . import mixing, url_filter
 from .decontaminate import find_contamination
 from .language_id import fit_language_model, identify_languages
+from .license_scan import scan_licenses
+from .mixing import mix_sources
+from .secret_scan import learn_formats, scan_secrets
 from .simhash import near_duplicate_classes
 from .toxicity import fit_toxicity, score_toxicity
+from .url_filter import filter_urls
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +40,36 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, learn_formats(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_mixing": op8_mixing,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mixing": mixing.ORACLE_SQL,
+    "op10_url_filter": url_filter.ORACLE_SQL,
+}
