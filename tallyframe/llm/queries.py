@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from . import mixing, url_filter
+from . import mixing, topk_search, url_filter
 from .decontaminate import find_contamination
 from .language_id import fit_language_model, identify_languages
 from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .secret_scan import learn_formats, scan_secrets
 from .simhash import near_duplicate_classes
+from .topk_search import top_k
 from .toxicity import fit_toxicity, score_toxicity
 from .url_filter import filter_urls
 
@@ -54,6 +55,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -66,10 +71,12 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_secret_scan": op7_secret_scan,
     "op8_mixing": op8_mixing,
+    "op9_topk_search": op9_topk_search,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {
     "op8_mixing": mixing.ORACLE_SQL,
+    "op9_topk_search": topk_search.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
 }
