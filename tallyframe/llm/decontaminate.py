@@ -231,15 +231,16 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
     """docs without the rows whose text holds a copy of an item; one pass per block of items."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    for block in item_blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(index_items(block))
 
-        @F.pandas_udf("boolean")
-        def copied(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
+    def holds_copy(shared):
+        def copied(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in batches:
                 hit = np.zeros(len(texts), dtype=bool)
                 hit[[x[0] for x in find_copies(texts.tolist(), shared.value)]] = True
                 yield pd.Series(hit)
 
-        docs = docs.where(~copied(F.col(text)))
+        return F.pandas_udf("boolean")(copied)
+
+    for block in item_blocks(items, item_id, item_text):
+        docs = docs.where(~holds_copy(spark.sparkContext.broadcast(index_items(block)))(F.col(text)))
     return docs

@@ -11,6 +11,7 @@ from .decontaminate import find_contamination
 from .language_id import fit_language_model, identify_languages
 from .license_scan import scan_licenses
 from .mixing import mix_sources
+from .pii import replace_personal_data
 from .secret_scan import learn_formats, scan_secrets
 from .simhash import near_duplicate_classes
 from .topk_search import top_k
@@ -41,6 +42,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_pii": op4_pii,
     "op5_license_scan": op5_license_scan,
     "op6_simhash": op6_simhash,
     "op7_secret_scan": op7_secret_scan,
