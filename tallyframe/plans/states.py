@@ -267,7 +267,7 @@ def form(t):
 
 @query("eb24_recent_form", "WITH " + FORM + """, m AS (SELECT *, CASE WHEN (r1 IS NOT NULL)::INT + (r3 IS NOT NULL)::INT + (r5 IS NOT NULL)::INT > 0 THEN (coalesce(r1, 0) + coalesce(r3, 0) + coalesce(r5, 0)) / ((r1 IS NOT NULL)::INT + (r3 IS NOT NULL)::INT + (r5 IS NOT NULL)::INT) ELSE coalesce(career, 0.5) END AS mean FROM f),
 v AS (SELECT *, 0.5 * coalesce(r1, mean) + 0.3 * coalesce(r3, mean) + 0.2 * coalesce(r5, mean) AS weighted FROM m)
-SELECT entity, basket, round(weighted, 6) AS weighted, round(mean, 6) AS mean, round(coalesce(r1 - r3, 0), 6) AS d13, round(coalesce(r3 - r5, 0), 6) AS d35, round(coalesce(greatest(r1, r3, r5), mean) - coalesce(least(r1, r3, r5), mean), 6) AS range, round(coalesce(weighted - career, 0), 6) AS over_career, 3 - (r1 IS NOT NULL)::INT - (r3 IS NOT NULL)::INT - (r5 IS NOT NULL)::INT AS missing FROM v""")
+SELECT entity, basket, round(weighted, 6) AS weighted, round(mean, 6) AS mean, round(coalesce(r1 - r3, 0), 6) AS d13, round(coalesce(r3 - r5, 0), 6) AS d35, round(coalesce(greatest(r1, r3, r5), mean) - coalesce(least(r1, r3, r5), mean), 6) AS range, round(coalesce(weighted - career, 0), 6) + 0 AS over_career, 3 - (r1 IS NOT NULL)::INT - (r3 IS NOT NULL)::INT - (r5 IS NOT NULL)::INT AS missing FROM v""")
 def eb24(t):
     f = E.recent_form(F.col("r1"), F.col("r3"), F.col("r5"), F.col("career"))
     out = form(t).select("entity", "basket", *[f[c].alias(c) for c in ("weighted", "mean", "d13", "d35", "range", "over_career", "missing")])
