@@ -89,7 +89,7 @@ def fixed_bin(x: Column, low: float, high: float, step: float) -> Column:
 
 def log_count_bin(n: Column) -> Column:
     """floor(log2(max(n, 0) + 1)); -1 if missing."""
-    return F.coalesce(F.floor(F.log2(F.greatest(n, F.lit(0)) + 1)).cast("int"), F.lit(-1))
+    return F.when(n.isNull(), -1).otherwise(F.floor(F.log2(F.greatest(n, F.lit(0)) + 1)).cast("int"))
 
 
 def ladder(x: Column, steps: Sequence[tuple[float, str]], rest: str, missing: str = "missing") -> Column:

@@ -148,19 +148,21 @@ def platoon(df: DataFrame, entity: str, cell: str, season: str, target: str, k_e
 
     The residual's base changes with the season; sum(y - base) = sum(y) - n * base keeps it a running sum.
     """
-    cells = before_season(season_sums(df, [entity, cell], season, {"s": F.col(target), "n": F.lit(1)}), df, [entity, cell], season, ["s", "n"])
-    whole = before_season(season_sums(df, [entity], season, {"all_s": F.col(target), "all_n": F.lit(1)}), df, [entity], season, ["all_s", "all_n"])
-    both = cells.join(whole, [entity, season]).join(prior_before_season(df, season, target), season)
-    base = shrink(F.col("all_s"), F.col("all_n"), k_entity, F.col("prior"))
-    return both.select(entity, cell, season, base.alias("base"), ((F.col("s") - F.col("n") * base) / (F.col("n") + k_cell)).alias("residual"), F.log1p("n").alias("log_n"), (F.col("n") == 0).cast("int").alias("unseen"))
+    def past(keys: list[str], y: str, n: str) -> DataFrame:
+        return before_season(season_sums(df, keys, season, {y: F.col(target), n: F.lit(1)}), df, keys, season, [y, n])
+
+    both = past([entity, cell], "_y", "_n").join(past([entity], "_all_y", "_all_n"), [entity, season]).join(prior_before_season(df, season, target), season)
+    base = shrink(F.col("_all_y"), F.col("_all_n"), k_entity, F.col("prior"))
+    residual = (F.col("_y") - F.col("_n") * base) / (F.col("_n") + k_cell)
+    return both.select(entity, cell, season, base.alias("base"), residual.alias("residual"), F.log1p("_n").alias("log_n"), (F.col("_n") == 0).cast("int").alias("unseen"))
 
 
 def centred_platoon(df: DataFrame, regime: Sequence[str], cell: Sequence[str], season: str, target: str, k: float, width: int | None = None) -> DataFrame:
     """Residuals from the mean of (season, regime), summed over earlier seasons by cell and shrunk by n + k."""
     means = df.groupBy(season, *regime).agg(F.avg(target).alias("_m"))
     centred = df.join(means, [season, *regime]).withColumn("_r", F.col(target) - F.col("_m"))
-    table = before_season(season_sums(centred, cell, season, {"r": F.col("_r"), "n": F.lit(1)}), df, cell, season, ["r", "n"], width)
-    return table.select(*cell, season, (F.col("r") / (F.col("n") + k)).alias("residual"), "n")
+    table = before_season(season_sums(centred, cell, season, {"_sum": F.col("_r"), "_n": F.lit(1)}), df, cell, season, ["_sum", "_n"], width)
+    return table.select(*cell, season, (F.col("_sum") / (F.col("_n") + k)).alias("residual"), F.col("_n").alias("n"))
 
 
 def adaptive_state(df: DataFrame, entity: str, season: str, target: str, at: int, low: float = 20.0, high: float = 500.0, cold: float = 120.0) -> DataFrame:
