@@ -103,10 +103,9 @@ def surrogate(type_: Column, canonical: Column, attempt: Column, key: str) -> Co
     )
     ip = F.concat_ws(".", *[(F.pmod(nibble(hex_, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])
     card = F.concat(F.substring(canonical, 1, 1), masked(F.substring(canonical, F.lit(2), F.length(canonical) - 1), hex_))
-    digit = lambda d: F.concat(F.substring(card, F.lit(1), F.length(card) - 1), F.lit(str(d)))
-    checked = card
-    for d in range(10):
-        checked = F.when((luhn_rest(canonical) == 0) & (luhn_rest(digit(d)) == 0), digit(d)).otherwise(checked)
+    body = F.substring(card, F.lit(1), F.length(card) - 1)
+    check = F.pmod(10 - luhn_rest(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+    checked = F.when(luhn_rest(canonical) == 0, F.concat(body, check)).otherwise(card)
     iban = F.concat(F.substring(canonical, 1, 2), masked(F.substring(canonical, F.lit(3), F.length(canonical)), hex_))
     country = F.substring(canonical, 1, 1)
     phone = F.concat(country, masked(F.substring(canonical, F.lit(2), F.length(canonical)), hex_))
@@ -135,7 +134,9 @@ def dressed(type_: Column, mention: Column, sub: Column) -> Column:
 
 def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """type, canonical, sub for distinct entities (type, canonical); sub is distinct within a type and no entity."""
-    todo, done = entities.withColumn("attempt", F.lit(0)), None
+    # Drawing costs far more than its few bytes tell, so small tables are spread over the cluster as well.
+    spread = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo, done = entities.repartition(spread, "type", "canonical"), None
     for n in range(MAX_ATTEMPTS):
         drawn = todo.select("type", "canonical", surrogate(F.col("type"), F.col("canonical"), F.lit(n), key).alias("sub"))
         order = Window.partitionBy("type", "sub").orderBy("canonical")
