@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, lower_az
@@ -84,8 +84,11 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
     base = whole.groupBy("i", "t").agg(
         F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base_set")
     )
-    # Neighbouring diagonals: those within one window of MAX_SHIFT + 1, counted from every diagonal.
-    spread = diagonals.where("not phrase").select("*", F.explode(F.sequence(F.col("diagonal") - MAX_SHIFT, F.col("diagonal"))).alias("anchor"))
+    # A template whose votes are too few on all diagonals of a text together can't have a span there. What is left is
+    # spread over windows of MAX_SHIFT + 1 neighbouring diagonals; both steps and the sums share one shuffle.
+    total = F.sum("votes").over(Window.partitionBy("i", "t", "template"))
+    likely = diagonals.where("not phrase").withColumn("total", total).where(F.col("total") >= MIN_SHARE * F.col("grams")).drop("total")
+    spread = likely.select("*", F.explode(F.sequence(F.col("diagonal") - MAX_SHIFT, F.col("diagonal"))).alias("anchor"))
     merged = spread.groupBy("i", "t", "label", "grams", "template", "anchor").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
     share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
     good = merged.withColumn("share", share).where(F.col("share") >= MIN_SHARE)
