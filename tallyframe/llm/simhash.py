@@ -28,8 +28,8 @@ from .common import bounded_batches, checkpointed
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 PIVOTS = 16
-#: Distinct fingerprints from which on the bits are cut into one more block, so that buckets stay small.
-MORE_BLOCKS = (1 << 25, 1 << 31, 1 << 37)
+#: Fingerprints that chance may put into one bucket on average; beyond it the bits are cut into more blocks.
+BUCKET = 4
 MAX_ROUNDS = 40
 
 
@@ -52,10 +52,10 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(set_bits * 2 > n).view(">i8")[0])
 
 
-def fingerprints(text: Column) -> Column:
+def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+            yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
     return F.pandas_udf("long")(each)(text.cast("binary"))
 
@@ -91,6 +91,14 @@ def within_pivots(a: str, b: str, radius: int) -> Column:
     return ok
 
 
+def block_count(n: int, radius: int) -> int:
+    """Blocks for n fingerprints: of radius + e blocks a pair agrees in e, that is in about 64 e / (radius + e) bits."""
+    e = 2
+    while e < 6 and n > BUCKET * 2 ** (BITS * e / (radius + e)):
+        e += 1
+    return radius + e
+
+
 def block_masks(blocks: int) -> list[int]:
     cuts = [BITS * i // blocks for i in range(blocks + 1)]
     return [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -127,8 +135,7 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def link_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, comp for distinct fingerprints prints (fp, n: texts that have it)."""
-    n = prints.count()
-    blocks = radius + 2 + sum(n > x for x in MORE_BLOCKS)
+    blocks = block_count(prints.count(), radius)
     keyed = buckets(prints.select("fp", "n"), radius, blocks)
     # The most frequent fingerprint of each bucket, as a star's centre; buckets of one are gone.
     centres = keyed.groupBy("choice", "bits").agg(F.count("*").alias("members"), F.max_by("fp", F.struct("n", "fp")).alias("centre")).where("members > 1").drop("members")
@@ -150,10 +157,10 @@ def link_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return first.join(joined.select(F.col("fp").alias("comp"), F.col("comp").alias("root")), "comp").select("fp", F.col("root").alias("comp"))
 
 
-def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id (smallest id of the component) for each row of docs."""
     bounded_batches(docs.sparkSession)
-    marked = checkpointed(docs.select(F.col(id).alias("i"), fingerprints(F.col(text)).alias("fp")))
+    marked = checkpointed(docs.select(F.col(id).alias("i"), fingerprints(F.col(text), shingle).alias("fp")))
     prints = checkpointed(marked.groupBy("fp").agg(F.count("*").alias("n"), F.min("i").alias("first")))
     linked = checkpointed(link_fingerprints(prints, radius).join(prints.select("fp", "first"), "fp"))
     least = linked.groupBy("comp").agg(F.min("first").alias("component_id"))

@@ -18,7 +18,7 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
 
-def brute_components(prints):
+def brute_components(prints, radius=H.RADIUS):
     parent = list(range(len(prints)))
 
     def find(i):
@@ -29,7 +29,7 @@ def brute_components(prints):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= H.RADIUS:
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
                 parent[find(i)] = find(j)
     return [find(i) for i in range(len(prints))]
 
@@ -69,6 +69,22 @@ def test_dense_cluster_and_chains(spark):
     assert len({(r, got[x]) for r, x in zip(roots, every, strict=True)}) == len(set(roots)) == len(set(got.values()))
 
 
+def test_wider_radius_and_more_blocks(spark, monkeypatch):
+    docs = table(spark, FOLDER, "documents")
+    rows = H.near_duplicate_classes(docs, radius=6, shingle=5).collect()
+    roots = brute_components([int(r.fingerprint, 16) for r in rows], 6)
+    pairs = {(root, r.component_id) for root, r in zip(roots, rows, strict=True)}
+    assert len(pairs) == len(set(roots)) == len({r.component_id for r in rows})
+    assert H.block_count(10**5, 4) == 6 and H.block_count(10**8, 4) == 7 and H.block_count(10**6, 6) == 9
+    monkeypatch.setattr(H, "BUCKET", 1e-6)
+    again = {r.doc_id: r.component_id for r in H.near_duplicate_classes(docs, radius=2, shingle=5).collect()}
+    least = {}
+    roots = brute_components([int(r.fingerprint, 16) for r in rows], 2)
+    for root, r in zip(roots, rows, strict=True):
+        least[root] = min(least.get(root, r.doc_id), r.doc_id)
+    assert all(again[r.doc_id] == least[root] for root, r in zip(roots, rows, strict=True))
+
+
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, "a b c d e"), (5, "A B c d e"), (2, None), (3, ""), (4, " \t\n"), (None, "a b c d e"), (None, "only here " * 9), (7, "w " * 200_000), (7, "w " * 200_000)], "doc_id long, text string").withColumn("fp", F.lit(3))
     out = H.near_duplicate_classes(docs).collect()
