@@ -103,3 +103,36 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
         F.array_join(F.array_sort(F.coalesce("base_set", none)), ",").alias("base_labels"), F.array_join(F.array_sort(labels), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"), "spans",
     )
+
+
+def oracle_sql(templates=TEMPLATES, phrases=PHRASES) -> str:
+    """The scan in SQL of DuckDB, with the words themselves in place of hashes; ids must be unique."""
+    grams = []
+    for phrase, entries in ((True, phrases), (False, templates)):
+        for text, label in entries:
+            ws = re.findall(WORD, text.lower())
+            grams += [f"('{label}:{text}', '{label}', {len(ws) - GRAM + 1}, {phrase}, {i}, '{ws[i]}', '{ws[i + 1]}')" for i in range(len(ws) - 1)]
+    return rf"""
+WITH grams(template, label, grams, phrase, off, a, b) AS (VALUES {", ".join(grams)}),
+split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+rolled AS (SELECT doc_id, unnest(list_zip(w[:-2], w[2:], range(len(w) - 1))) AS g FROM split WHERE len(w) >= 2),
+votes AS (SELECT doc_id, template, label, grams, phrase, g[3] - off AS diagonal, g[3] AS pos FROM rolled JOIN grams ON g[1] = a AND g[2] = b),
+diagonals AS (
+  SELECT doc_id, template, label, grams, phrase, diagonal, count(*) AS votes, min(pos) AS first, max(pos) AS last FROM votes GROUP BY ALL),
+base AS (
+  SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS base_set
+  FROM diagonals WHERE phrase AND votes = grams GROUP BY doc_id),
+merged AS (
+  SELECT doc_id, label, grams, template, anchor, sum(votes) AS votes FROM (
+    SELECT *, unnest(range(diagonal - {MAX_SHIFT}, diagonal + 1)) AS anchor FROM diagonals WHERE NOT phrase) GROUP BY ALL),
+spans AS (SELECT doc_id, list(DISTINCT label) AS more, max(least(1.0, votes / grams)) AS best FROM merged WHERE least(1.0, votes / grams) >= {MIN_SHARE} GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(base_set, []::VARCHAR[])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []::VARCHAR[]), coalesce(more, []::VARCHAR[])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0) END::DOUBLE AS score
+FROM split LEFT JOIN base USING (doc_id) LEFT JOIN spans USING (doc_id)
+"""
+
+
+ORACLE_SQL = oracle_sql()

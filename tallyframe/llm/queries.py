@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from . import mixing, topk_search, url_filter
+from . import license_scan, mixing, topk_search, url_filter
 from .decontaminate import find_contamination
 from .language_id import fit_language_model, identify_languages
 from .license_scan import scan_licenses
@@ -82,6 +82,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_license_scan": license_scan.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
     "op9_topk_search": topk_search.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
