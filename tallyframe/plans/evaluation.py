@@ -51,10 +51,10 @@ def ev4(t):
     return shown(V.segments(scored(t), masks, "y", "p"))
 
 
-@query("ev5_paired_delta", "WITH " + SCORED + " SELECT basket, part, line, entity, round((p - y) * (p - y) - (q - y) * (q - y), 6) + 0 AS delta FROM sc WHERE season = 1999")
+@query("ev5_paired_delta", "WITH " + SCORED + " SELECT basket, part, line, entity, round((p - y) * (p - y) - (q - y) * (q - y), 6) + 0 AS delta FROM sc")
 def ev5(t):
     y = F.col("y")
-    return scored(t).where("season = 1999").select("basket", "part", "line", "entity", (r6(V.squared(F.col("p"), y) - V.squared(F.col("q"), y)) + 0).alias("delta"))
+    return scored(t).select("basket", "part", "line", "entity", (r6(V.squared(F.col("p"), y) - V.squared(F.col("q"), y)) + 0).alias("delta"))
 
 
 @query("ev6_cluster_bootstrap")

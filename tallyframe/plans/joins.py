@@ -9,9 +9,9 @@ from ..operators import samples as P
 from ..registry import query, r6
 
 
-@query("jn1_lookup", "WITH {EV}, r AS (SELECT entity, avg(y) AS rate FROM ev WHERE season < 1997 AND part % 2 = 0 GROUP BY entity HAVING count(*) > 5) SELECT basket, part, line, e.entity, round(coalesce(rate, 0.5), 6) AS rate FROM ev e LEFT JOIN r ON r.entity = e.entity WHERE season = 1997")
+@query("jn1_lookup", "WITH {EV}, r AS (SELECT entity, avg(y) AS rate FROM ev WHERE season < 1997 GROUP BY entity HAVING count(*) > 170) SELECT basket, part, line, e.entity, round(coalesce(rate, 0.5), 6) AS rate FROM ev e LEFT JOIN r ON r.entity = e.entity WHERE season = 1997")
 def jn1(t):
-    rates = t.ev.where("season < 1997 and part % 2 = 0").groupBy("entity").agg(F.avg("y").alias("rate"), F.count("*").alias("n")).where("n > 5")
+    rates = t.ev.where("season < 1997").groupBy("entity").agg(F.avg("y").alias("rate"), F.count("*").alias("n")).where("n > 170")
     return J.lookup(t.ev.where("season = 1997"), rates, ["entity"], {"rate": 0.5}).select("basket", "part", "line", "entity", r6("rate").alias("rate"))
 
 
@@ -85,15 +85,15 @@ def linked(t):
 
 
 @query("jn11_zip_rows", "WITH " + LOGS + """, x AS (SELECT basket, state, row_number() OVER (PARTITION BY basket ORDER BY line, state) AS place FROM a), y AS (SELECT other, state, row_number() OVER (PARTITION BY other ORDER BY line, state) AS place FROM b)
-SELECT basket, other, CAST(place AS INTEGER) AS place, x.state = y.state AS same FROM x JOIN y USING (place) WHERE other = 1000000 - basket AND basket < 2000""")
+SELECT basket, other, CAST(place AS INTEGER) AS place, x.state = y.state AS same FROM x JOIN y USING (place) WHERE other = 1000000 - basket""")
 def jn11(t):
     a, b = logs(t)
-    pairs = a.select("basket").distinct().where("basket < 2000").select("basket", (1000000 - F.col("basket")).alias("other"))
+    pairs = a.select("basket").distinct().select("basket", (1000000 - F.col("basket")).alias("other"))
     out = J.zip_rows(a, b.withColumnRenamed("state", "state_b").drop("line_b"), pairs, "basket", "other", ["line", "state"], ["line", "state_b"])
     return out.select("basket", "other", "place", (F.col("state") == F.col("state_b")).alias("same"))
 
 
-BLOCKED = "WITH " + LOGS + """, c AS (SELECT DISTINCT a.basket, b.other FROM a JOIN b USING (part) WHERE a.basket < 400 AND b.other > 999600)"""
+BLOCKED = "WITH " + LOGS + """, c AS (SELECT DISTINCT a.basket, b.other FROM a JOIN b USING (part, line))"""
 
 
 @query("jn12_blocked_pairs", BLOCKED + " SELECT basket, other FROM c")
@@ -103,7 +103,7 @@ def jn12(t):
 
 
 def blocked(a, b):
-    return a.where("basket < 400").select("basket", "part").join(b.where("other > 999600").select("other", "part"), "part").select("basket", "other").distinct()
+    return a.select("basket", "part", "line").join(b.select("other", "part", "line"), ["part", "line"]).select("basket", "other").distinct()
 
 
 SIMILAR = BLOCKED + """, ca AS (SELECT basket, state, count(*) AS c FROM a GROUP BY ALL), cb AS (SELECT other, state, count(*) AS c FROM b GROUP BY ALL),
@@ -131,7 +131,7 @@ def jn14(t):
 def jn15(t):
     a, b = logs(t)
     order = F.row_number().over(P.Window.partitionBy("basket").orderBy("line", "state")).cast("long")
-    x = a.where("basket < 2000").withColumn("o", order)
+    x = a.withColumn("o", order)
     y = x.where("(basket + line) % 9 <> 0").select((1000000 - F.col("basket")).alias("other"), "o", "state")
     pairs = x.select("basket").distinct().select("basket", (1000000 - F.col("basket")).alias("other"))
     return J.align_sequences(x, y, pairs, "basket", "other", "o", "state", 0.9)
@@ -156,11 +156,11 @@ def jn17(t):
 
 
 @query("jn18_bucketed_knn", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-d AS (SELECT q.vec_id, p.vec_id AS proto, sqrt(list_sum(list_transform(list_zip(q.v, p.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM e q JOIN e p ON q.label = p.label AND q.vec_id % 5 = 0 AND p.vec_id % 5 = 1),
+d AS (SELECT q.vec_id, p.vec_id AS proto, sqrt(list_sum(list_transform(list_zip(q.v, p.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM e q JOIN e p ON q.label = p.label AND q.vec_id <> p.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, proto) AS rank FROM d) SELECT vec_id, proto, CAST(rank AS INTEGER) AS rank, round(dist, 5) AS dist FROM r WHERE rank <= 3""")
 def jn18(t):
     e = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    out = J.nearest_prototypes(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 = 1").withColumnRenamed("vec_id", "proto"), "label", "vec_id", "proto", "v", 3)
+    out = J.nearest_prototypes(e, e.withColumnRenamed("vec_id", "proto"), "label", "vec_id", "proto", "v", 3)
     return out.select("vec_id", "proto", "rank", F.round("dist", 5).alias("dist"))
 
 

@@ -60,18 +60,18 @@ def eb3(t):
     return rounded(to_date(t).select(*ID, "n_season", "s_season", "rate_season", "delta_season", "log_n", "zero", "unseen", "invalid"), "rate_season", "delta_season", "log_n")
 
 
-@query("eb4_multi_scale", "WITH " + TODATE + " SELECT basket, part, line, entity, " + ", ".join(f"round((ss + {k} * prior) / (ns + {k}.0), 6) AS rate_{k}, round(ns / (ns + {k}.0), 6) AS trust_{k}" for k in (20, 50, 250, 500, 1000)) + " FROM td WHERE season = 1999")
+@query("eb4_multi_scale", "WITH " + TODATE + " SELECT basket, part, line, entity, " + ", ".join(f"round((ss + {k} * prior) / (ns + {k}.0), 6) AS rate_{k}, round(ns / (ns + {k}.0), 6) AS trust_{k}" for k in (20, 50, 250, 500, 1000)) + " FROM td")
 def eb4(t):
     n, s = F.col("n_season"), F.col("s_season")
     scales = [c for k in (20, 50, 250, 500, 1000) for c in (r6(S.shrink(s, n, float(k), F.col("prior"))).alias(f"rate_{k}"), r6(S.reliability(n, float(k))).alias(f"trust_{k}"))]
-    return to_date(t).where("season = 1999").select(*ID, *scales)
+    return to_date(t).select(*ID, *scales)
 
 
-@query("eb5_two_level_posterior", "WITH " + TODATE + ", h AS (SELECT *, (s_end + 200 * prior) / (n_end + 200.0) AS hist FROM td WHERE season = 1999), p AS (SELECT *, (ss + 50 * hist) / (ns + 50.0) AS p FROM h) SELECT basket, part, line, entity, round(hist, 6) AS hist, round(p, 6) AS post, round(sqrt(p * (1 - p) / (ns + 51)), 6) AS sd FROM p")
+@query("eb5_two_level_posterior", "WITH " + TODATE + ", h AS (SELECT *, (s_end + 200 * prior) / (n_end + 200.0) AS hist FROM td), p AS (SELECT *, (ss + 50 * hist) / (ns + 50.0) AS p FROM h) SELECT basket, part, line, entity, round(hist, 6) AS hist, round(p, 6) AS post, round(sqrt(p * (1 - p) / (ns + 51)), 6) AS sd FROM p")
 def eb5(t):
     hist = S.shrink(F.col("s_end"), F.col("n_end"), 200.0, F.col("prior"))
     post = S.shrink(F.col("s_season"), F.col("n_season"), 50.0, F.col("hist"))
-    rows = to_date(t).where("season = 1999").withColumn("hist", hist).withColumn("post", post).withColumn("sd", S.posterior_sd(F.col("post"), F.col("n_season"), 50.0))
+    rows = to_date(t).withColumn("hist", hist).withColumn("post", post).withColumn("sd", S.posterior_sd(F.col("post"), F.col("n_season"), 50.0))
     return rounded(rows.select(*ID, "hist", "post", "sd"), "hist", "post", "sd")
 
 
@@ -95,19 +95,19 @@ def eb6(t):
     return component_state(t)
 
 
-@query("eb7_component_features", "WITH " + COMPONENTS + ", pr AS (SELECT season, sum(cz) / greatest(sum(n_end), 1) AS prior FROM st GROUP BY season), d AS (SELECT a.*, prior, n - n_end AS dn, CAST(round_even(coalesce(rz, 0) * n, 0) AS BIGINT) - cz AS ds FROM a JOIN st USING (entity, season) JOIN pr USING (season) WHERE season = 1998) SELECT basket, part, line, entity, round((ds + 120 * prior) / (dn + 120.0), 6) AS smooth, round(ds / dn, 6) AS raw, round((ds + 120 * prior) / (dn + 120.0) - prior, 6) AS delta FROM d WHERE dn > 0")
+@query("eb7_component_features", "WITH " + COMPONENTS + ", pr AS (SELECT season, sum(cz) / greatest(sum(n_end), 1) AS prior FROM st GROUP BY season), d AS (SELECT a.*, prior, n - n_end AS dn, CAST(round_even(coalesce(rz, 0) * n, 0) AS BIGINT) - cz AS ds FROM a JOIN st USING (entity, season) JOIN pr USING (season)) SELECT basket, part, line, entity, round((ds + 120 * prior) / (dn + 120.0), 6) AS smooth, round(ds / dn, 6) AS raw, round((ds + 120 * prior) / (dn + 120.0) - prior, 6) AS delta FROM d WHERE dn > 0")
 def eb7(t):
     state = component_state(t)
     prior = state.groupBy("season").agg((F.sum("cz") / F.greatest(F.sum("n_end"), F.lit(1))).alias("prior"))
-    rows = component_counters(t).where("season = 1998").join(prior, "season")
+    rows = component_counters(t).join(prior, "season")
     out = E.season_to_date(rows, state, "entity", "season", "n", "rz", "cz", F.col("prior"), 120.0).where("n_season > 0")
     return out.select(*ID, r6("rate_season").alias("smooth"), r6(F.col("s_season") / F.col("n_season")).alias("raw"), r6("delta_season").alias("delta"))
 
 
-@query("eb8_current_state", "WITH " + TODATE + " SELECT basket, part, line, entity, CASE WHEN ns > 0 THEN round(ss / ns, 6) END AS raw, CASE WHEN ns > 0 THEN round(ss / ns * line, 6) END AS raw_x_line, CASE WHEN status = 'O' AND ns > 0 THEN round(ss / ns, 6) ELSE 0 END AS raw_open FROM td WHERE season = 1997")
+@query("eb8_current_state", "WITH " + TODATE + " SELECT basket, part, line, entity, CASE WHEN ns > 0 THEN round(ss / ns, 6) END AS raw, CASE WHEN ns > 0 THEN round(ss / ns * line, 6) END AS raw_x_line, CASE WHEN status = 'O' AND ns > 0 THEN round(ss / ns, 6) ELSE 0 END AS raw_open FROM td")
 def eb8(t):
     raw = F.when(F.col("n_season") > 0, F.col("s_season") / F.when(F.col("n_season") > 0, F.col("n_season")))
-    return to_date(t).where("season = 1997").select(*ID, r6(raw).alias("raw"), r6(raw * F.col("line")).alias("raw_x_line"), F.when((F.col("status") == "O") & raw.isNotNull(), r6(raw)).otherwise(0.0).alias("raw_open"))
+    return to_date(t).select(*ID, r6(raw).alias("raw"), r6(raw * F.col("line")).alias("raw_x_line"), F.when((F.col("status") == "O") & raw.isNotNull(), r6(raw)).otherwise(0.0).alias("raw_open"))
 
 
 def prior_sql(where: str, width: str) -> str:
@@ -312,7 +312,7 @@ def eb29(t):
         F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), (F.sum("s") / F.sum("n")).alias("rate"),
         *[upto("n", k).alias(f"n{k}") for k in range(1, 6)], *[upto("s", k).alias(f"s{k}") for k in range(1, 6)],
     )
-    rows = E.asof_counters(t.ev.where("season = 1999"), ["entity"], ROW, "y", rate="now").where("n <= 30").join(frozen, "entity")
+    rows = E.asof_counters(t.ev.where("season = 1999"), ["entity"], ROW, "y", rate="now").join(frozen, "entity")
     s = F.rint(F.coalesce("now", F.lit(0.0)) * F.col("n"))
     # The window of five games reaches back past the boundary as far as the season is short.
     recent = lambda c, x: F.col(f"{c}4") + F.least(x, F.lit(6))
