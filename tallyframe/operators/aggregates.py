@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(keys))
@@ -149,18 +151,19 @@ def two_level_contrast(df: DataFrame, entity: str, level: Column, value: str, k:
 
 
 def profile(df: DataFrame, columns: Sequence[str], target: str, quantiles: Sequence[float]) -> DataFrame:
-    """A row for each column: count, missing, mean, sd, min, max, correlation with the target and quantiles. One pass."""
-    q = F.array(*[F.lit(float(x)) for x in quantiles])
+    """A row for each column: count, missing, mean, sd, min, max, correlation with the target and exact quantiles."""
     parts = []
     for c in columns:
         x = F.col(c).cast("double")
         parts.append(
             F.struct(
                 F.lit(c).alias("name"), F.count(x).alias("n"), F.count_if(x.isNull()).alias("missing"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"),
-                F.min(x).alias("low"), F.max(x).alias("high"), F.corr(x, F.col(target).cast("double")).alias("r"), F.percentile(x, q).alias("quantiles"),
+                F.min(x).alias("low"), F.max(x).alias("high"), F.corr(x, F.col(target).cast("double")).alias("r"),
             )
         )
-    return df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("x")).select("x.*")
+    moments = df.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("x")).select("x.*")
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
+    return moments.join(exact_quantiles(values, ["name"], "x", quantiles), "name", "left")
 
 
 def duplicates(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:

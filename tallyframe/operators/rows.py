@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def select_prefix(df: DataFrame, *prefixes: str) -> DataFrame:
     """Columns whose names start with one of the prefixes; an error if there are none."""
@@ -100,7 +102,8 @@ def normalise_label(x: Column, aliases: dict[str, str], allowed: Sequence[str],
 def robust_scale(df: DataFrame, column: str, out: str, bound: float = 6.0) -> DataFrame:
     """(x - median) / (IQR / 1.349), with the deviation or 1 where the IQR is 0, clipped."""
     x = F.col(column)
-    stats = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.stddev_pop(x).alias("_sd"))
+    quartiles = exact_quantiles(df, [], column, (0.25, 0.5, 0.75)).select(F.col("quantiles").alias("_q"))
+    stats = df.agg(F.stddev_pop(x).alias("_sd")).join(quartiles, how="left")
     iqr = F.col("_q")[2] - F.col("_q")[0]
     scale = F.when(iqr > 0, iqr / 1.349).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
     z = F.least(F.greatest((x - F.col("_q")[1]) / scale, F.lit(-bound)), F.lit(bound))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import aggregates as A
 from ..operators import samples as P
+from ..operators.quantiles import exact_quantiles
 from ..registry import query, r6
 
 
@@ -38,8 +39,8 @@ def agg5(t):
 
 @query("agg6_quantiles", "WITH {EV} SELECT entity, round(quantile_cont(price, 0.25), 6) AS q1, round(quantile_cont(price, 0.5), 6) AS q2, round(quantile_cont(price, 0.9), 6) AS q3 FROM ev GROUP BY entity")
 def agg6(t):
-    q = F.percentile("price", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9)))
-    return t.ev.groupBy("entity").agg(q.alias("q")).select("entity", *[r6(F.col("q")[i]).alias(f"q{i + 1}") for i in range(3)])
+    q = exact_quantiles(t.ev, ["entity"], "price", (0.25, 0.5, 0.9))
+    return q.select("entity", *[r6(F.col("quantiles")[i]).alias(f"q{i + 1}") for i in range(3)])
 
 
 @query("agg7_mode", "WITH {EV}, n AS (SELECT entity, qty, count(*) AS n FROM ev GROUP BY entity, qty) SELECT entity, qty AS mode FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n DESC, qty) AS k FROM n) WHERE k = 1")
@@ -187,7 +188,7 @@ def agg28(t):
 
 @query("agg29_winsorised", "WITH {EV}, q AS (SELECT quantile_cont(price, 0.9) AS q FROM ev) SELECT entity, round(avg(least(price, q)), 6) AS m FROM ev, q GROUP BY entity")
 def agg29(t):
-    cap = t.ev.agg(F.percentile("price", 0.9).alias("q"))
+    cap = exact_quantiles(t.ev, [], "price", (0.9,)).select(F.col("quantiles")[0].alias("q"))
     return t.ev.crossJoin(F.broadcast(cap)).groupBy("entity").agg(r6(F.avg(F.least("price", "q"))).alias("m"))
 
 

@@ -9,7 +9,6 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.samples import every_kth  # noqa: F401
 from ..registry import query, r6
 from ..sources import tables as T
 
@@ -63,6 +62,19 @@ def src7(t):
     return T.scan_markdown(t.spark, path, ["name", "region"])
 
 
+@query("snk1_csv_sink", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def snk1(t):
+    T.write_csv(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), path := scratch(t))
+    return T.scan_csv(t.spark, path, "s_suppkey long, s_name string, s_acctbal double")
+
+
+@query("snk2_columnar_artifact", "SELECT 'base' AS stage, CAST(year(o_orderdate) AS INTEGER) AS season, count(*) AS n FROM orders GROUP BY 2")
+def snk2(t):
+    rows = t.orders.select(F.lit("base").alias("stage"), F.year("o_orderdate").alias("season"), "o_orderkey")
+    rows.repartition("season").write.partitionBy("stage", "season").parquet(path := scratch(t))
+    return t.spark.read.parquet(path).groupBy("stage", "season").agg(F.count("*").alias("n"))
+
+
 @query("snk3_json_report", """SELECT '{"k":' || c_nationkey || ',"n":' || count(*) || ',"x":null}' AS json FROM customer GROUP BY c_nationkey""")
 def snk3(t):
     rows = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n")).withColumn("x", F.lit(float("nan")))

@@ -231,3 +231,20 @@ def test_sequence_alignment(spark):
     out = J.align_sequences(a, b, frame(spark, [(1, 9)], "x long, z long"), "x", "z", "o", "s", 0.8).collect()
     assert sorted((r.order_a, r.order_b) for r in out) == [(0, 0), (1, 1), (3, 2), (4, 3), (5, 4)]
     assert J.align_sequences(a, b, frame(spark, [(1, 9)], "x long, z long"), "x", "z", "o", "s", 0.99).count() == 0
+
+
+def test_quantiles_of_large_groups(spark):
+    from tallyframe.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(8)
+    data = {"a": rng.normal(size=3000), "b": np.repeat([1.0, 2.0], [2900, 30]), "c": np.array([5.0]), "d": np.append(rng.random(40), np.full(2000, 0.5)), "e": np.append(np.full(3, 1.0), np.full(2500, 9.0))}
+    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("f", None), ("g", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = (0.0, 0.1, 0.5, 0.977, 1.0)
+    for leaf in (10, 10_000):
+        got = {r.k: r.quantiles for r in exact_quantiles(df, ["k"], "v", qs, leaf).collect()}
+        assert got.keys() == data.keys()
+        for k, v in data.items():
+            assert np.allclose(got[k], np.quantile(v, qs), rtol=0, atol=1e-12), (k, leaf)
+    assert np.allclose(exact_quantiles(df, [], "v", qs, 100).first().quantiles, np.quantile(np.concatenate(list(data.values())), qs))
+    assert exact_quantiles(df.where("false"), ["k"], "v", qs).count() == 0
