@@ -55,11 +55,26 @@ def best_rank(order: Sequence, *keys: str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
 
 
+def global_number(df: DataFrame, order: Sequence[str], out: str, buckets: int = 1024) -> DataFrame:
+    """Number all rows from 0 in a total order without a single task that holds them.
+
+    Cut points of the first order column (a number or a time) deal the rows into ranges; the places inside a range are
+    shifted by the rows of the ranges before.
+    """
+    key = F.col(order[0]).cast("timestamp").cast("double") if dict(df.dtypes)[order[0]].startswith("timestamp") else F.col(order[0]).cast("double")
+    cuts = df.agg(F.coalesce(F.percentile_approx(key, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets)), F.array().cast("array<double>")).alias("_cuts"))
+    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    shift = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_place", place).join(F.broadcast(shift), "_range").withColumn(out, F.col("_place") + F.col("_before") - 1).drop("_range", "_place", "_before")
+
+
 def first_seen_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """Groups numbered from 0 in the order of their first rows; the window runs over one row for each group."""
-    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
-    numbered = first.withColumn(out, F.row_number().over(Window.orderBy("_first")) - 1).drop("_first")
-    return df.join(numbered, list(keys))
+    """Groups numbered from 0 in the order of their first rows."""
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select(*keys, *[F.col(f"_first.{c}").alias(f"_o{i}") for i, c in enumerate(order)])
+    numbers = global_number(first, [f"_o{i}" for i in range(len(order))], out).select(*keys, out)
+    return df.join(numbers, list(keys))
 
 
 def boundaries(df: DataFrame, season: str, order: Sequence[str], id: str) -> DataFrame:

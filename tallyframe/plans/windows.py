@@ -68,7 +68,7 @@ def win9(t):
     return t.orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("o_orderkey"))
 
 
-@query("win10_group_number", "WITH f AS (SELECT o_custkey, min(o_orderdate * 1) AS x, NULL FROM (SELECT o_custkey, epoch(o_orderdate)::BIGINT * 1000000 + o_orderkey AS o_orderdate FROM orders) GROUP BY o_custkey) SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY x) - 1 AS INTEGER) AS g FROM orders JOIN f USING (o_custkey)")
+@query("win10_group_number", "WITH f AS (SELECT o_custkey, min(o_orderdate * 1) AS x, NULL FROM (SELECT o_custkey, epoch(o_orderdate)::BIGINT * 1000000 + o_orderkey AS o_orderdate FROM orders) GROUP BY o_custkey) SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY x) - 1 AS BIGINT) AS g FROM orders JOIN f USING (o_custkey)")
 def win10(t):
     return W.first_seen_number(t.orders, ["o_custkey"], O, "g").select("o_orderkey", "g")
 

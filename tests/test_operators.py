@@ -248,3 +248,11 @@ def test_quantiles_of_large_groups(spark):
             assert np.allclose(got[k], np.quantile(v, qs), rtol=0, atol=1e-12), (k, leaf)
     assert np.allclose(exact_quantiles(df, [], "v", qs, 100).first().quantiles, np.quantile(np.concatenate(list(data.values())), qs))
     assert exact_quantiles(df.where("false"), ["k"], "v", qs).count() == 0
+
+
+def test_global_numbers_have_no_gaps(spark):
+    df = spark.range(500).selectExpr("cast(id % 37 as double) as k", "id")
+    for buckets in (2, 16):
+        got = W.global_number(df, ["k", "id"], "n", buckets).orderBy("k", "id").collect()
+        assert [r.n for r in got] == list(range(500))
+    assert W.global_number(df.where("false"), ["k", "id"], "n").count() == 0
