@@ -303,7 +303,31 @@ def eb28(t):
     return t.ev.select(*ID, n.alias("n"), W.before(F.col("y"), keys, ROW).alias("s"), W.before(F.when(F.col("status") == "O", F.col("y")), keys, ROW).alias("s_open"))
 
 
-@query("eb29_boundary_posterior")
+def boundary_sql() -> str:
+    """Five hypotheses side by side; impossible ones are null."""
+    cells, likes = [], []
+    for k in range(5):
+        dn, ds = f"(rn - n{5 - k})", f"(rs - s{5 - k})"
+        cells.append(f"n - {dn} AS cn{k}, s - {ds} AS cs{k}, {dn} AS dn{k}, {ds} AS ds{k}")
+        wide, var = f"greatest(sd * sqrt({k}.0), 8)", f"greatest(dn{k} * p * (1 - p), 4)"
+        like = "0" if k == 0 else f"-0.5 * pow((dn{k} - {k} * mean) / {wide}, 2) - ln({wide}) - 0.5 * pow((ds{k} - dn{k} * p) / sqrt({var}), 2) - 0.5 * ln({var})"
+        ok = f"rn > 0 AND dn{k} >= 0 AND ds{k} >= 0 AND ds{k} <= dn{k} AND cn{k} BETWEEN 0 AND 140 AND cs{k} >= 0 AND cs{k} <= cn{k}" + (" AND dn0 = 0 AND ds0 = 0" if k == 0 else "")
+        likes.append(f"CASE WHEN {ok} THEN {like} - 0.5 * pow(greatest((cn{k} - mean) / sd, 0), 2) END AS l{k}")
+    total = lambda x: " + ".join(f"coalesce(exp(l{k} - top) * {x.replace('#', str(k))}, 0)" for k in range(5))
+    tops = ", ".join(f"l{k}" for k in range(5))
+    mode = " ".join(f"WHEN l{k} = top THEN {k}" for k in range(5))
+    suffixes = ", ".join(f"sum({c}) FILTER (place <= {k}) AS {c}{k}" for c in ("n", "s") for k in range(1, 6))
+    return f"""WITH {{EV}}, g AS (SELECT entity, basket, sum(y) AS s, count(*) AS n, min(l_shipdate) AS day FROM ev WHERE season < 1999 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY day DESC, basket DESC) AS place FROM g),
+f AS (SELECT entity, avg(n) AS mean, greatest(stddev_pop(n), 8) AS sd, least(greatest(sum(s) / sum(n), 1e-4), 1 - 1e-4) AS p, {suffixes} FROM o GROUP BY entity),
+c AS (SELECT basket, part, line, entity, row_number() OVER w - 1 AS n, round(avg(y) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS now FROM ev WHERE season = 1999 WINDOW w AS (PARTITION BY entity ORDER BY {{ORD}})),
+r AS (SELECT c.*, f.* EXCLUDE (entity), round_even(coalesce(now, 0) * n, 0) AS s, n4 + least(n, 6) AS rn, s4 + least(round_even(coalesce(now, 0) * n, 0), 6) AS rs FROM c JOIN f USING (entity)),
+h AS (SELECT *, {", ".join(cells)} FROM r), l AS (SELECT *, {", ".join(likes)} FROM h), t AS (SELECT *, greatest({tops}) AS top FROM l)
+SELECT basket, part, line, entity, round(coalesce(({total("cn#")}) / ({total("1")}), 0), 6) AS expected_n, round(coalesce(({total("cs#")}) / ({total("1")}), 0), 6) AS expected_s,
+  round(coalesce(1 / ({total("1")}), 0), 6) AS confidence, CASE WHEN top IS NULL THEN -1 {mode} END AS mode FROM t"""
+
+
+@query("eb29_boundary_posterior", boundary_sql())
 def eb29(t):
     games = t.ev.where("season < 1999").groupBy("entity", "basket").agg(F.sum("y").alias("s"), F.count("*").alias("n"), F.min("l_shipdate").alias("at"))
     place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("at"), F.desc("basket")))
