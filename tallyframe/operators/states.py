@@ -21,14 +21,25 @@ def asof_counters(df: DataFrame, entity: Sequence[str], order: Sequence[str], ta
     return df.withColumns({n: F.count(F.lit(1)).over(w), rate: F.round(F.avg(F.col(target)).over(w), digits)})
 
 
+def season_rows(df: DataFrame, keys: Sequence[str], season: str, sums: dict[str, Column]) -> DataFrame:
+    """The values to be summed by before_season(), which combines them in its own aggregation."""
+    return df.dropna(subset=list(keys)).select(*keys, season, *[c.alias(name) for name, c in sums.items()])
+
+
 def season_sums(df: DataFrame, keys: Sequence[str], season: str, sums: dict[str, Column]) -> DataFrame:
-    return df.dropna(subset=list(keys)).groupBy(*keys, season).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    return season_rows(df, keys, season, sums).groupBy(*keys, season).agg(*[F.sum(name).alias(name) for name in sums])
 
 
-def before_season(sums: DataFrame, wanted: DataFrame, keys: Sequence[str], season: str, names: Sequence[str], width: int | None = None) -> DataFrame:
-    """Sums over the seasons before each wanted (keys, season), over `width` of them if given; 0 without history."""
-    zero = wanted.select(*keys, season).dropna(subset=list(keys)).distinct().select("*", *[F.lit(0).alias(n) for n in names], F.lit(True).alias("_asked"))
-    both = sums.select(*keys, season, *names, F.lit(None).cast("boolean").alias("_asked")).unionByName(zero)
+def before_season(sums: DataFrame, wanted: DataFrame | None, keys: Sequence[str], season: str, names: Sequence[str], width: int | None = None) -> DataFrame:
+    """Sums over the seasons before each wanted (keys, season), over `width` of them if given; 0 without history.
+
+    Without `wanted`, all (keys, season) of sums are meant. One aggregation and one window over its few rows per key.
+    """
+    if wanted is None:
+        both = sums.select(*keys, season, *names, F.lit(True).alias("_asked"))
+    else:
+        zero = wanted.select(*keys, season).dropna(subset=list(keys)).select("*", *[F.lit(0).alias(n) for n in names], F.lit(True).alias("_asked"))
+        both = sums.select(*keys, season, *names, F.lit(None).cast("boolean").alias("_asked")).unionByName(zero)
     merged = both.groupBy(*keys, season).agg(*[F.sum(n).alias(n) for n in names], F.max("_asked").alias("_asked"))
     w = Window.partitionBy(*keys).orderBy(season).rangeBetween(Window.unboundedPreceding if width is None else -width, -1)
     return merged.select(*keys, season, "_asked", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in names]).where("_asked").drop("_asked")
@@ -79,15 +90,15 @@ def prior_before_season(df: DataFrame, season: str, target: str, width: int | No
 
 def group_prior_before_season(df: DataFrame, groups: Sequence[str], season: str, target: str) -> DataFrame:
     """groups, season, prior: the group's mean target before the season, else the global one."""
-    sums = season_sums(df, groups, season, {"_s": F.col(target), "_n": F.lit(1)})
-    local = before_season(sums, df, groups, season, ["_s", "_n"])
+    sums = season_rows(df, groups, season, {"_s": F.col(target), "_n": F.lit(1)})
+    local = before_season(sums, None, groups, season, ["_s", "_n"])
     return local.join(prior_before_season(df, season, target), season).select(*groups, season, F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.col("prior")).alias("prior"))
 
 
 def history_rates(df: DataFrame, keys: Sequence[str], season: str, target: str, k: float, width: int | None = None, prefix: str = "h") -> DataFrame:
     """df with rate, delta, log_n and unseen of its key before its season, shrunk to the prior before that season."""
-    sums = season_sums(df, keys, season, {"_s": F.col(target), "_n": F.lit(1)})
-    table = before_season(sums, df, keys, season, ["_s", "_n"], width).join(prior_before_season(df, season, target, width), season)
+    sums = season_rows(df, keys, season, {"_s": F.col(target), "_n": F.lit(1)})
+    table = before_season(sums, None, keys, season, ["_s", "_n"], width).join(prior_before_season(df, season, target, width), season)
     rate = shrink(F.col("_s"), F.col("_n"), k, F.col("prior"))
     table = table.select(
         *keys, season, rate.alias(f"{prefix}_rate"), (rate - F.col("prior")).alias(f"{prefix}_delta"),
@@ -149,7 +160,7 @@ def platoon(df: DataFrame, entity: str, cell: str, season: str, target: str, k_e
     The residual's base changes with the season; sum(y - base) = sum(y) - n * base keeps it a running sum.
     """
     def past(keys: list[str], y: str, n: str) -> DataFrame:
-        return before_season(season_sums(df, keys, season, {y: F.col(target), n: F.lit(1)}), df, keys, season, [y, n])
+        return before_season(season_rows(df, keys, season, {y: F.col(target), n: F.lit(1)}), None, keys, season, [y, n])
 
     both = past([entity, cell], "_y", "_n").join(past([entity], "_all_y", "_all_n"), [entity, season]).join(prior_before_season(df, season, target), season)
     base = shrink(F.col("_all_y"), F.col("_all_n"), k_entity, F.col("prior"))
@@ -161,7 +172,7 @@ def centred_platoon(df: DataFrame, regime: Sequence[str], cell: Sequence[str], s
     """Residuals from the mean of (season, regime), summed over earlier seasons by cell and shrunk by n + k."""
     means = df.groupBy(season, *regime).agg(F.avg(target).alias("_m"))
     centred = df.join(means, [season, *regime]).withColumn("_r", F.col(target) - F.col("_m"))
-    table = before_season(season_sums(centred, cell, season, {"_sum": F.col("_r"), "_n": F.lit(1)}), df, cell, season, ["_sum", "_n"], width)
+    table = before_season(season_rows(centred, cell, season, {"_sum": F.col("_r"), "_n": F.lit(1)}), None, cell, season, ["_sum", "_n"], width)
     return table.select(*cell, season, (F.col("_sum") / (F.col("_n") + k)).alias("residual"), F.col("_n").alias("n"))
 
 

@@ -409,8 +409,8 @@ def eb36(t):
 @query("eb37_frozen_mix", "WITH {EV}, d AS (SELECT DISTINCT entity, season FROM ev), h AS (SELECT d.entity, d.season, count(e.flag) FILTER (flag = 'A') AS a, count(e.flag) FILTER (flag = 'N') AS n, count(e.flag) FILTER (flag = 'R') AS r, count(e.flag) AS t FROM d LEFT JOIN ev e ON e.entity = d.entity AND e.season < d.season GROUP BY ALL) SELECT entity, season, round((a + 100 * 0.25) / (t + 100.0), 6) AS p_a, round((n + 100 * 0.5) / (t + 100.0), 6) AS p_n, round((r + 100 * 0.25) / (t + 100.0), 6) AS p_r FROM h")
 def eb37(t):
     is_ = lambda f: (F.col("flag") == f).cast("int")
-    sums = E.season_sums(t.ev, ["entity"], "season", {"a": is_("A"), "n": is_("N"), "r": is_("R"), "t": F.lit(1)})
-    h = E.before_season(sums, t.ev, ["entity"], "season", ["a", "n", "r", "t"])
+    sums = E.season_rows(t.ev, ["entity"], "season", {"a": is_("A"), "n": is_("N"), "r": is_("R"), "t": F.lit(1)})
+    h = E.before_season(sums, None, ["entity"], "season", ["a", "n", "r", "t"])
     return h.select("entity", "season", *[r6(S.shrink(F.col(c), F.col("t"), 100.0, F.lit(p))).alias(f"p_{c}") for c, p in (("a", 0.25), ("n", 0.5), ("r", 0.25))])
 
 
