@@ -94,7 +94,9 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
     good = merged.withColumn("share", share).where(F.col("share") >= MIN_SHARE)
     spans = good.groupBy("i", "t", "label", "first", "last").agg(F.max("share").alias("share"))
     verified = spans.groupBy("i", "t").agg(F.array_sort(F.collect_list(F.struct("label", "first", "last", "share"))).alias("spans"), F.max("share").alias("best"))
-    known = base.join(verified, ["i", "t"], "full")
+    # One row for each id and text; a full join would hold a null id's two halves apart.
+    halves = base.unionByName(verified, allowMissingColumns=True).groupBy("i", "t")
+    known = halves.agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("n_base", "first_word", "last_word", "base_set", "spans", "best")])
     out = split.select("i", "t", F.size("w").cast("long").alias("n_words")).join(known.withColumnsRenamed({"i": "_i", "t": "_t"}), (F.col("t") == F.col("_t")) & F.col("i").eqNullSafe(F.col("_i")), "left")
     none = F.array().cast("array<string>")
     labels = F.array_union(F.coalesce("base_set", none), F.coalesce(F.transform("spans", lambda s: s["label"]), none))

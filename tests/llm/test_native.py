@@ -127,3 +127,10 @@ def test_no_original_of_the_corpus_stays(spark):
     for r in docs.collect():
         for x in re.findall(r"[a-z]+\.\d\d@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}", r.text):
             assert x not in out[r.doc_id]
+
+
+def test_license_rows_without_id_are_scanned_once(spark):
+    text = "MIT license. This is free and unencumbered software released into the public domain"
+    rows = [(None, text), (1, text), (None, text), (None, "mit license"), (None, None), (2, "")]
+    out = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and sorted(r.labels for r in out) == ["", "", "mit", "mit,unlicense", "mit,unlicense", "mit,unlicense"]
