@@ -7,8 +7,8 @@ that some band holds them all; bands that reach the bound are aligned within the
 are reported. No copy within the budget is missed.
 
 Defined cases: null and empty texts match nothing; an item of fewer than Q normalised characters has no q-gram and is
-never reported; equal items are reported each under its own id; items without text are ignored; repeated documents
-are judged alike; of several copies of an item in one text the one with the fewest edits, then the first, is reported.
+never reported; equal items are reported each under its own id; items without text or id are ignored; documents
+without an id aren't reported, but drop_contaminated judges them; repeated documents are judged alike; of several copies of an item in one text the one with the fewest edits, then the first, is reported.
 """
 
 from __future__ import annotations
