@@ -7,6 +7,9 @@ log2 of the sample's length, so samples of different length compare. The languag
 Texts are parsed whole, as segments of SEGMENT letters (a phrase never crosses a segment's end), so that many
 segments advance through the automata in lockstep.
 
+Every letter of a language's sample has a class in its automaton, whatever the other languages' scripts; the table is dense
+for alphabets of up to CLASSES - 3 letters and sparse beyond.
+
 Defined cases: a null text or a text without a letter gives `und` and score 0; letters that no sample holds count
 as phrases; ties go to the language that sorts first; without labelled rows every text is `und`; repeated rows are
 judged alike; the only learned language gets score 1.
@@ -38,8 +41,24 @@ UND = "und"
 class LanguageModel:
     languages: list[str]
     letters: dict[str, int]  # letter to class, from 3 on
-    tables: list[np.ndarray]  # per language: state * CLASSES + class to state * CLASSES, inverted bits where a new phrase starts
+    tables: list[np.ndarray | SparseTable]  # per language: state * CLASSES + class to state * CLASSES, inverted bits where a new phrase starts
     bits: list[float]  # of one phrase
+    own: list[np.ndarray | None]  # per language: class to the language's own class; none if all languages share theirs
+
+
+@dataclass
+class SparseTable:
+    """The same steps for a language of more letters than a dense table has room for: state and class to state."""
+
+    width: int
+    edges: np.ndarray  # state * width + class, sorted
+    to: np.ndarray
+    restart: np.ndarray  # by class
+
+    def step(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        asked = state * np.int64(self.width) + column
+        at = np.minimum(np.searchsorted(self.edges, asked), len(self.edges) - 1)
+        return np.where(self.edges[at] == asked, self.to[at], np.where(column == PAD, 0, ~self.restart[column])).astype(np.int32)
 
 
 def squeeze(text: str) -> str:
@@ -47,8 +66,8 @@ def squeeze(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def automaton(codes: list[int]) -> np.ndarray:
-    """Dense table of the suffix automaton of codes, with the restart after a mismatch folded in."""
+def automaton(codes: list[int], width: int = CLASSES) -> np.ndarray | SparseTable:
+    """Table of the suffix automaton of codes, with the restart after a mismatch folded in; dense up to CLASSES classes."""
     link, length, edges = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -74,6 +93,11 @@ def automaton(codes: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = split
         last = new
+    if width > CLASSES:
+        found = sorted((state * width + c, to) for state, out in enumerate(edges) for c, to in out.items())
+        restart = np.zeros(width, dtype=np.int32)
+        restart[list(edges[0])] = list(edges[0].values())
+        return SparseTable(width, np.array([k for k, _ in found], dtype=np.int64), np.array([to for _, to in found], dtype=np.int32), restart)
     table = np.empty((len(edges), CLASSES), dtype=np.int32)
     restart = np.zeros(CLASSES, dtype=np.int32)
     for c, to in edges[0].items():
@@ -96,10 +120,23 @@ def build_model(samples: dict[str, str], chars: int = SAMPLE_CHARS) -> LanguageM
         for c in text:
             counts[c] = counts.get(c, 0) + 1
     counts.pop(" ", None)
-    letters = {c: i + 3 for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[: CLASSES - 3])}
+    letters = {c: i + 3 for i, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c)))}
     code = {**letters, " ": SPACE}
-    tables = [automaton([code[c] for c in cut[k] if c in code]) for k in languages]
-    return LanguageModel(languages, letters, tables, [math.log2(max(2, len(cut[k]))) for k in languages])
+    tables, own = [], []
+    for k in languages:
+        codes = [code[c] for c in cut[k]]
+        if len(letters) + 3 <= CLASSES:
+            tables.append(automaton(codes))
+            own.append(None)
+            continue
+        # Letters of other languages are UNKNOWN here, the language's own ones all have a class.
+        held = sorted(set(codes) - {SPACE})
+        classes = np.full(len(letters) + 3, UNKNOWN, dtype=np.int32)
+        classes[[PAD, SPACE]] = PAD, SPACE
+        classes[held] = np.arange(3, len(held) + 3)
+        tables.append(automaton(classes[codes].tolist(), len(held) + 3))
+        own.append(classes)
+    return LanguageModel(languages, letters, tables, [math.log2(max(2, len(cut[k]))) for k in languages], own)
 
 
 def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", learn_from: Column | None = None) -> LanguageModel:
@@ -114,7 +151,7 @@ def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang",
     rows = rows.where("l is not null and length(t) > 0")
     share = {r["l"]: min(1.0, 2.0 * SAMPLE_ROWS / r["n"]) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not share:
-        return LanguageModel([], {}, [], [])
+        return LanguageModel([], {}, [], [], [])
     keep = F.create_map(*[x for k, v in sorted(share.items()) for x in (F.lit(k), F.lit(int(v * (1 << 30))))])
     picked = rows.withColumn("h", F.xxhash64(F.col("i").cast("string"), F.lit(17))).where(F.pmod("h", F.lit(1 << 30)) < keep[F.col("l")])
     texts: dict[str, list[str]] = {}
@@ -134,7 +171,8 @@ def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang",
 
 def class_table(model: LanguageModel) -> np.ndarray:
     """Class of each character of the basic plane; UNKNOWN for letters that no sample holds."""
-    table = np.fromiter((UNKNOWN if chr(i).isalpha() else SPACE for i in range(0x10000)), dtype=np.uint8, count=0x10000)
+    kind = np.uint8 if len(model.letters) + 3 <= 256 else np.int32
+    table = np.fromiter((UNKNOWN if chr(i).isalpha() else SPACE for i in range(0x10000)), dtype=kind, count=0x10000)
     for c, k in model.letters.items():
         if ord(c) < 0x10000:
             table[ord(c)] = k
@@ -167,8 +205,9 @@ def parse(texts: list[str], model: LanguageModel, table: np.ndarray) -> tuple[np
     for k, move in enumerate(model.tables):
         state = np.zeros(columns.shape[1], dtype=np.int32)
         count = np.ones(columns.shape[1], dtype=np.int32)
-        for column in columns:
-            state = move.take(state + column)
+        mine = columns if model.own[k] is None else model.own[k].take(columns)
+        for column in mine:
+            state = move.step(state, column) if isinstance(move, SparseTable) else move.take(state + column)
             fresh = state >> 31
             count -= fresh
             state ^= fresh

@@ -63,3 +63,24 @@ def test_held_out_accuracy(spark):
     right, n = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert n > 100 and right > 0.97
     assert docs.select(crc_mod(F.lit(0), 4)).first()[0] == pytest.approx(__import__("zlib").crc32(b"0") % 4)
+
+
+def test_scripts_of_any_size_keep_their_letters(spark):
+    import random
+
+    rng = random.Random(5)
+    scripts = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "en": "abcdefghijklmnopqrstuvwxyz", "ko": "".join(map(chr, range(0xAC00, 0xAC00 + 600))), "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 900))), "zz": "".join(map(chr, range(0x20000, 0x20000 + 300)))}
+    pools = {k: ["".join(rng.choices(v, k=5)) for _ in range(300)] for k, v in scripts.items()}
+    text = lambda k: " ".join(rng.choices(pools[k], k=80))
+    samples = {k: text(k) + " " + " ".join(pools[k]) for k in pools}
+    model = L.build_model(samples)
+    assert all(c in model.letters for v in samples.values() for c in v if c != " ")
+    texts = [text(k) for k in pools]
+    phrases, _ = L.parse(texts, model, L.class_table(model))
+    for i, t in enumerate(texts):
+        for k, name in enumerate(model.languages):
+            assert phrases[i, k] == brute_phrases(t, samples[name][: L.SAMPLE_CHARS]), (i, name)
+    docs = spark.createDataFrame([(i, text(k), k) for i in range(40) for k in pools], "doc_id long, text string, lang string")
+    judged = L.language_udf(docs, L.fit_language_model(docs))(F.col("text"))
+    rows = docs.select("lang", judged.alias("found")).collect()
+    assert all(r.found.lang_pred == r.lang and r.found.score > 0.02 for r in rows)
