@@ -9,9 +9,6 @@ Pairs meet where they agree in all but `radius` of the blocks their bits are cut
 for any pair within the radius). Where many meet, most are linked through the most frequent fingerprint of the bucket
 first, and pairs are made only between different components; no link that would join two components is lost.
 
-`similar_classes` takes the pairs that the fingerprints propose as candidates only, and links those whose sets of five-word
-shingles have a similarity of 0.8 or more. Its fingerprints are made of two-word shingles, which few edits move less.
-
 Defined cases: a text without words has fingerprint 0 and links like any other; null texts count as empty; a null id
 never names a component unless all ids in it are null; repeated rows share a component; an empty table gives no rows.
 """
@@ -33,11 +30,6 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 PIVOTS = 16
 #: Fingerprints that chance may put into one bucket on average; beyond it the bits are cut into more blocks.
 BUCKET = 4
-MAX_ROUNDS = 40
-#: Of `similar_classes`: radius and shingles of the candidates' fingerprints, shingles and similarity of the links.
-CANDIDATE_RADIUS, CANDIDATE_SHINGLE, LINK_SHINGLE, LINK_SIMILARITY = 6, 2, 5, 0.8
-#: As BUCKET, for `similar_classes`: comparing costs less there than moving more keys.
-CANDIDATE_BUCKET = 32
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -98,10 +90,10 @@ def within_pivots(a: str, b: str, radius: int) -> Column:
     return ok
 
 
-def block_count(n: int, radius: int, bucket: float | None = None) -> int:
+def block_count(n: int, radius: int) -> int:
     """Blocks for n fingerprints: of radius + e blocks a pair agrees in e, that is in about 64 e / (radius + e) bits."""
     e = 2
-    while e < 6 and n > (bucket or BUCKET) * 2 ** (BITS * e / (radius + e)):
+    while e < 6 and n > BUCKET * 2 ** (BITS * e / (radius + e)):
         e += 1
     return radius + e
 
@@ -126,17 +118,14 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("comp")))
-    for _ in range(MAX_ROUNDS):
+    moved = True
+    while moved:  # labels only fall, so this ends
         near = both.join(labels, both["b"] == labels["fp"]).groupBy("a").agg(F.min("comp").alias("m"))
         lower = labels.join(near, labels["fp"] == near["a"]).select("fp", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
         jump = labels.select(F.col("fp").alias("comp"), F.col("comp").alias("root"))
         new = checkpointed(lower.join(jump, "comp").select("fp", F.least("comp", "root").alias("comp"), "was"))
-        moved = new.where("comp <> was").limit(1).count()
+        moved = new.where("comp <> was").limit(1).count() > 0
         labels = new.select("fp", "comp")
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return vertices.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"))
 
 
@@ -173,75 +162,3 @@ def near_duplicate_classes(docs: DataFrame, id: str = "doc_id", text: str = "tex
     least = linked.groupBy("comp").agg(F.min("first").alias("component_id"))
     of = linked.join(least, "comp").select("fp", "component_id")
     return marked.join(of, "fp").select(F.col("i").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: bytes | None, shingle: int = LINK_SHINGLE) -> bytes:
-    """The sorted distinct hashes of a text's shingles; fewer words make one shingle, none make an empty set."""
-    words = text.lower().split() if text else []
-    found = {xxhash.xxh64_intdigest(b" ".join(words[at : at + shingle]), SEED) for at in range(max(1, len(words) - shingle + 1))} if words else set()
-    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found))).tobytes()
-
-
-def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets of shingle_set; two empty sets are alike."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Of pairs (a, b) of nodes those at least so similar. The set of each node is made once, of its first row's text."""
-
-    @F.pandas_udf("binary")
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle) for t in texts], dtype=object)
-
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(a, b) for a, b in zip(x, y, strict=True)], dtype="float64")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
-    chosen = nodes.join(wanted, "u", "left_semi").select(F.col("u").alias("_u"), F.col("first").alias("_i"))
-    rows = docs.join(chosen, (F.col("u") == F.col("_u")) & F.col("i").eqNullSafe(F.col("_i"))).select("u", sets(F.col("t").cast("binary")).alias("s"))
-    made = checkpointed(rows.dropDuplicates(["u"]))
-    met = pairs.join(made.select(F.col("u").alias("a"), F.col("s").alias("x")), "a").join(made.select(F.col("u").alias("b"), F.col("s").alias("y")), "b")
-    return checkpointed(met.where(alike("x", "y") >= least).select("a", "b"))
-
-
-def similar_classes(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = CANDIDATE_RADIUS, candidate_shingle: int = CANDIDATE_SHINGLE,
-    shingle: int = LINK_SHINGLE, least: float = LINK_SIMILARITY,
-) -> DataFrame:
-    """id, component_id (smallest id of the component) for each row of docs.
-
-    Nodes are distinct texts. Two of them link if their fingerprints lie within radius and their sets of shingles are at
-    least so similar; as in link_fingerprints, stars come first and pairs only between components.
-    """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col(id).alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("u", F.xxhash64("t"))
-    marked = checkpointed(rows.select("i", "u", fingerprints(F.col("t"), candidate_shingle).alias("fp")))
-    nodes = checkpointed(marked.groupBy("u").agg(F.first("fp").alias("fp"), F.count("*").alias("n"), F.min("i").alias("first")))
-    keyed = buckets(nodes.select("u", "fp", "n"), radius, block_count(nodes.count(), radius, CANDIDATE_BUCKET))
-    centre = F.max_by(F.struct("u", "fp"), F.struct("n", "u"))
-    centres = keyed.groupBy("choice", "bits").agg(F.count("*").alias("members"), centre.alias("centre")).where("members > 1").drop("members")
-    shared = checkpointed(keyed.join(centres, ["choice", "bits"]).select("choice", "bits", "u", "fp", "centre"))
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre.fp"))) <= radius
-    star = checkpointed(shared.where((F.col("u") != F.col("centre.u")) & close).select(F.col("u").alias("a"), F.col("centre.u").alias("b")).distinct())
-    first = checkpointed(components(nodes.select(F.col("u").alias("fp")), verified(star, nodes, rows, shingle, least)).withColumnRenamed("fp", "u"))
-    placed = shared.select("choice", "bits", "u", "fp").join(first, "u")
-    mixed = placed.groupBy("choice", "bits").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("choice", "bits")
-    sides = checkpointed(pivot_table(placed.join(mixed, ["choice", "bits"])))
-    pairs = sides.alias("x").join(
-        sides.alias("y"),
-        (F.col("x.choice") == F.col("y.choice")) & (F.col("x.bits") == F.col("y.bits")) & (F.col("x.comp") < F.col("y.comp"))
-        & within_pivots("x", "y", radius) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius),
-    )
-    # Star pairs that failed need no second look.
-    tried = star.union(star.select("b", "a")).toDF("a", "b")
-    pairs = checkpointed(pairs.select(F.col("x.u").alias("a"), F.col("y.u").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    linked = verified(pairs, nodes, rows, shingle, least)
-    more = linked.join(first.select(F.col("u").alias("a"), F.col("comp").alias("ca")), "a").join(first.select(F.col("u").alias("b"), F.col("comp").alias("cb")), "b")
-    joined = components(first.select(F.col("comp").alias("fp")).distinct(), more.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    of = checkpointed(first.join(joined.select(F.col("fp").alias("comp"), F.col("comp").alias("root")), "comp").select("u", "root").join(nodes.select("u", "first"), "u"))
-    least_id = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(of.join(least_id, "root").select("u", "component_id"), "u").select(F.col("i").alias(id), "component_id")

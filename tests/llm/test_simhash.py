@@ -93,46 +93,3 @@ def test_edge_cases(spark):
     assert by[2].fingerprint == "0" * 16 and by[7].component_id == 7
     assert sorted(str(r.component_id) for r in out if r.doc_id is None) == ["1", "None"]
     assert H.near_duplicate_classes(docs.where("false")).count() == 0
-
-
-def brute_similar(texts, radius, least):
-    """Root of each text by all pairs of fingerprints of two words within radius and sets of five words so similar."""
-    words = [re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or "")) for t in texts]
-    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
-    prints = np.array([H.fingerprint((t or "").encode(), 2) % (1 << 64) for t in texts], dtype=np.uint64)
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= radius):
-            if root[i] != root[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])):
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    return root
-
-
-def test_similar_classes_equal_brute_force(spark):
-    docs = table(spark, FOLDER, "documents").orderBy("doc_id").select("doc_id", "text").collect()
-    rng = np.random.default_rng(4)
-    base = [f"w{x}" for x in rng.integers(400, size=120)]
-    rows = [(r.doc_id, r.text) for r in docs]
-    for k in range(150):  # a dense group of copies with one to eight changed words
-        ws = list(base)
-        for at in rng.choice(120, 1 + k % 8, replace=False):
-            ws[at] = f"z{k}"
-        rows.append((80_000 + k, " ".join(ws)))
-    got = {r.doc_id: r.component_id for r in H.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    roots = brute_similar([t for _, t in rows], H.CANDIDATE_RADIUS, H.LINK_SIMILARITY)
-    assert len(got) == len(rows) and all(got[i] == rows[root][0] for (i, _), root in zip(rows, roots, strict=True))
-    assert any(got[80_000 + k] != got[80_000] for k in range(150)) and len(set(got.values())) < len(got)
-
-
-def test_similar_classes_edge_cases(spark):
-    text = "one two three four five six seven"
-    rows = [(1, text), (5, text.upper()), (2, None), (3, ""), (4, " \t\n"), (None, text), (None, "only here " * 9), (7, "w " * 200_000), (7, "w " * 200_000), (8, "a b"), (9, "b a")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for name in ("u", "fp", "a", "comp", "first"):
-        docs = docs.withColumn(name, F.lit(3))
-    out = H.similar_classes(docs).collect()
-    by = {r.doc_id: r.component_id for r in out if r.doc_id is not None}
-    assert len(out) == len(rows) and by == {1: 1, 5: 1, 2: 2, 3: 2, 4: 2, 7: 7, 8: 8, 9: 9}
-    assert sorted(str(r.component_id) for r in out if r.doc_id is None) == ["1", "None"]
-    assert H.similar_classes(docs.where("false")).count() == 0
