@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from tallyframe.llm import secret_scan as S
 from tallyframe.llm.common import table
@@ -25,8 +27,6 @@ def test_base_spans_equal_plain_patterns(spark):
 
 
 def test_formats_learned_are_found_and_words_are_not():
-    import random
-
     rng = random.Random(4)
     key = lambda: "ghp" + "".join(rng.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(20))
     words = ["".join(rng.choice("aeiounrst") for _ in range(rng.randint(16, 26))) for _ in range(300)]
@@ -36,6 +36,52 @@ def test_formats_learned_are_found_and_words_are_not():
     assert len(model.automata[0].out) < 200
 
 
+def tokens(rng, n):
+    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    kinds = [lambda: "ghx_" + some(digits + upper + lower, 36), lambda: f"{some(digits + upper, 8)}.{some(digits + upper, 12)}.{some(digits + upper, 16)}"]
+    return [kinds[i % 2]() for i in range(n)]
+
+
+def test_planted_credentials_outside_the_base_patterns(spark):
+    """Formats that are learned from assignments are found where they stand alone: recall 0.95, no false positive."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice(["ther", "and", "in", "ou", "ing", "est", "tion", "pre", "al"]) for _ in range(rng.randint(1, 7)))
+    prose = lambda: " ".join(word() for _ in range(60))
+    labelled = [(i, f'{prose()} api_key = "{t}" {prose()}') for i, t in enumerate(tokens(rng, 300))]
+    planted = [(1000 + i, f"{prose()} {t}. {prose()}") for i, t in enumerate(tokens(rng, 200))]
+    clean = [(2000 + i, f"{prose()} mail7.example.com/in/{word()}_{word()}.html 97.51.17.173 {word()}-{word()}-{word()} 2024-01-01T00:00:00 {prose()}") for i in range(200)]
+    docs = spark.createDataFrame(labelled + planted + clean, "doc_id long, text string")
+    found = {r.doc_id: r for r in S.scan_secrets(docs, S.learn_formats(docs)).collect()}
+    hits = 0
+    for i, t in planted:
+        assert found[i].base_spans == ""
+        spans = [tuple(map(int, x.split(":")[1:])) for x in found[i].spans.split(",") if x]
+        hits += any(any(t[a:b] == w.rstrip(".") for w in t.split(" ") if len(w) > 35) for a, b in spans)
+        assert len(spans) <= 1
+    assert hits >= 190
+    assert all(found[i].spans == "" for i, _ in clean)
+
+
+def test_literals_tell_prefixes_from_capitals():
+    rng = random.Random(1)
+    upper = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    a = S.Automaton(["QXKEY" + upper(15) for _ in range(100)])
+    assert a.bits("QXKEY" + upper(15)) + 20 < a.bits(upper(20))
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    text = " ".join(f"token={k:040x} thewordingoftheprose" for k in range(8000))
+    start = time.perf_counter()
+    spans = S.base_spans(text)
+    assert len(spans) == 16000 and len(S.candidates(text, spans)) == 8000
+    assert time.perf_counter() - start < 2
+    text = text[:40_000]
+    spans = S.base_spans(text)
+    brute = [(m.start(), m.end()) for m in S.CANDIDATE.finditer(text) if len(m[0]) >= 12 and not any(m.start() < e and a < m.end() for a, _, e, _ in spans)]
+    assert [x[:2] for x in S.candidates(text, spans)] == brute
+
+
 def test_automaton_is_a_distribution_over_its_words():
     a = S.Automaton(["ab1", "ab2", "ab3", "ab4"] * 30)
     assert a.bits("ab5") < a.bits("5ab") and a.bits("ab1") == a.bits("ab9")
