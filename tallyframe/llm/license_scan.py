@@ -2,12 +2,14 @@
 
 Words of texts and of license templates are cut into rolling k-grams. Spark joins the hashes of all k-grams of the
 texts to the templates' positions; each match votes for the diagonal (position in the text minus position in the
-template). Votes are summed by text, template and diagonal, neighbouring diagonals are merged, and a span is verified
-by the share of the template's k-grams that it holds. Short phrases count as a template that must be held whole, on one
-diagonal.
+template). Votes are gathered by text, template and diagonal, as a mask of the template's places that were hit, and
+neighbouring diagonals are merged. A span is verified by its places: each counts once, however often it was hit, and
+no more than the words between the span's ends can hold; MIN_SHARE of the template's places must be there. Short templates
+and phrases, which a word tells apart, must be held whole: all places on one diagonal, that is all their words in a row.
+Equal hashes of 64 bits are taken for equal words.
 
 Defined cases: a null text counts as empty, has no words and no labels; a phrase or template of fewer than two words
-can't be used; overlapping places count each; repeated rows are scanned alike; an empty table gives no rows.
+can't be used, nor a template of more than 64 words; overlapping places count each; repeated rows are scanned alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,8 +43,11 @@ TEMPLATES = (
     ("creative commons attribution", "cc-by"),
     ("all rights reserved", "reserved"),
 )
-#: Share of a template's k-grams that a span must hold, and diagonals by which inserted or lost words may shift it.
-MIN_SHARE, MAX_SHIFT = 0.6, 3
+#: Share of a template's k-grams that a span must hold, diagonals by which inserted or lost words may shift it, and
+#: k-grams below which a template must be held whole.
+MIN_SHARE, MAX_SHIFT, SHORT = 0.6, 3, 8
+#: Places of a template that a mask holds.
+MAX_GRAMS = 63
 
 
 def words(text: Column) -> Column:
@@ -59,6 +64,8 @@ def template_grams(spark: SparkSession, templates=TEMPLATES, phrases=PHRASES) ->
     for phrase, entries in ((True, phrases), (False, templates)):
         for text, label in entries:
             ws = re.findall(WORD, text.lower())
+            if len(ws) - GRAM + 1 > MAX_GRAMS:
+                raise ValueError(f"a template has more than {MAX_GRAMS + 1} words: {text[:40]}")
             rows += [(f"{label}:{text}", label, len(ws) - GRAM + 1, phrase, i, ws[i], ws[i + 1]) for i in range(len(ws) - 1)]
     grams = spark.createDataFrame(rows, "template string, label string, grams int, phrase boolean, offset int, a string, b string")
     return grams.select("template", "label", "grams", "phrase", "offset", gram_hash(F.col("a"), F.col("b")).alias("gram"))
@@ -76,10 +83,10 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
     rolled = split.where(F.size("w") >= GRAM).select("i", "t", F.posexplode(grams).alias("at", "gram"))
     votes = rolled.join(F.broadcast(template_grams(spark, templates, phrases)), "gram")
     diagonals = votes.groupBy("i", "t", "template", "label", "grams", "phrase", (F.col("at") - F.col("offset")).alias("diagonal")).agg(
-        # Rows that repeat an id and text vote together: positions are counted once.
-        F.count_distinct("at").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last")
+        # Rows that repeat an id and text vote together: places are marked once.
+        F.bit_or(F.expr("shiftleft(1L, offset)")).alias("mask"), F.min("at").alias("first"), F.max("at").alias("last")
     )
-    diagonals = checkpointed(diagonals)
+    diagonals = checkpointed(diagonals.withColumn("votes", F.bit_count("mask")))
     whole = diagonals.where("phrase and votes = grams").select("i", "t", "label", "diagonal")
     base = whole.groupBy("i", "t").agg(
         F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.collect_set("label").alias("base_set")
@@ -87,12 +94,13 @@ def scan_licenses(docs: DataFrame, id: str = "doc_id", text: str = "text", templ
     # A template whose votes are too few on all diagonals of a text together can't have a span there. What is left is
     # spread over windows of MAX_SHIFT + 1 neighbouring diagonals; both steps and the sums share one shuffle.
     total = F.sum("votes").over(Window.partitionBy("i", "t", "template"))
-    likely = diagonals.where("not phrase").withColumn("total", total).where(F.col("total") >= MIN_SHARE * F.col("grams")).drop("total")
+    likely = diagonals.where(f"not phrase and grams >= {SHORT}").withColumn("total", total).where(F.col("total") >= MIN_SHARE * F.col("grams")).drop("total")
     spread = likely.select("*", F.explode(F.sequence(F.col("diagonal") - MAX_SHIFT, F.col("diagonal"))).alias("anchor"))
-    merged = spread.groupBy("i", "t", "label", "grams", "template", "anchor").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
-    good = merged.withColumn("share", share).where(F.col("share") >= MIN_SHARE)
-    spans = good.groupBy("i", "t", "label", "first", "last").agg(F.max("share").alias("share"))
+    merged = spread.groupBy("i", "t", "label", "grams", "template", "anchor").agg(F.bit_or("mask").alias("mask"), F.min("first").alias("first"), F.max("last").alias("last"))
+    share = F.least(F.bit_count("mask"), F.col("last") - F.col("first") + 1) / F.col("grams")
+    good = merged.withColumn("share", share).where(F.col("share") >= MIN_SHARE).select("i", "t", "label", "first", "last", "share")
+    short = diagonals.where(f"not phrase and grams < {SHORT} and votes = grams").select("i", "t", "label", "first", "last", F.lit(1.0).alias("share"))
+    spans = good.unionByName(short).groupBy("i", "t", "label", "first", "last").agg(F.max("share").alias("share"))
     verified = spans.groupBy("i", "t").agg(F.array_sort(F.collect_list(F.struct("label", "first", "last", "share"))).alias("spans"), F.max("share").alias("best"))
     # One row for each id and text; a full join would hold a null id's two halves apart.
     halves = base.unionByName(verified, allowMissingColumns=True).groupBy("i", "t")
@@ -119,16 +127,19 @@ WITH grams(template, label, grams, phrase, off, a, b) AS (VALUES {", ".join(gram
 split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
 rolled AS (SELECT doc_id, unnest(list_zip(w[:-2], w[2:], range(len(w) - 1))) AS g FROM split WHERE len(w) >= 2),
-votes AS (SELECT doc_id, template, label, grams, phrase, g[3] - off AS diagonal, g[3] AS pos FROM rolled JOIN grams ON g[1] = a AND g[2] = b),
+votes AS (SELECT doc_id, template, label, grams, phrase, off, g[3] - off AS diagonal, g[3] AS pos FROM rolled JOIN grams ON g[1] = a AND g[2] = b),
 diagonals AS (
-  SELECT doc_id, template, label, grams, phrase, diagonal, count(*) AS votes, min(pos) AS first, max(pos) AS last FROM votes GROUP BY ALL),
+  SELECT doc_id, template, label, grams, phrase, diagonal, count(*) AS votes FROM votes GROUP BY ALL),
 base AS (
   SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS base_set
   FROM diagonals WHERE phrase AND votes = grams GROUP BY doc_id),
 merged AS (
-  SELECT doc_id, label, grams, template, anchor, sum(votes) AS votes FROM (
-    SELECT *, unnest(range(diagonal - {MAX_SHIFT}, diagonal + 1)) AS anchor FROM diagonals WHERE NOT phrase) GROUP BY ALL),
-spans AS (SELECT doc_id, list(DISTINCT label) AS more, max(least(1.0, votes / grams)) AS best FROM merged WHERE least(1.0, votes / grams) >= {MIN_SHARE} GROUP BY doc_id)
+  SELECT doc_id, label, grams, template, anchor, least(count(DISTINCT off), max(pos) - min(pos) + 1) / grams AS share FROM (
+    SELECT *, unnest(range(diagonal - {MAX_SHIFT}, diagonal + 1)) AS anchor FROM votes WHERE NOT phrase AND grams >= {SHORT}) GROUP BY doc_id, label, grams, template, anchor),
+good AS (
+  SELECT doc_id, label, share FROM merged WHERE share >= {MIN_SHARE}
+  UNION ALL SELECT doc_id, label, 1.0 FROM diagonals WHERE NOT phrase AND grams < {SHORT} AND votes = grams),
+spans AS (SELECT doc_id, list(DISTINCT label) AS more, max(share) AS best FROM good GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(base_set, []::VARCHAR[])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []::VARCHAR[]), coalesce(more, []::VARCHAR[])))), ',') AS labels,
