@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import exact_quantiles
+from .windows import global_number
 
 
 def select_prefix(df: DataFrame, *prefixes: str) -> DataFrame:
@@ -82,7 +83,7 @@ def pressure(a: str, b: str, top_a: int, top_b: int) -> Column:
 def ordinal_encode(df: DataFrame, train: DataFrame, column: str, out: str, unknown: int = 0) -> DataFrame:
     """Codes from 1 in the sort order of the training categories; unseen ones get `unknown`."""
     codes = train.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = codes.withColumn(out, F.dense_rank().over(Window.orderBy(column)))
+    codes = global_number(codes, [column], out).withColumn(out, (F.col(out) + 1).cast("int"))
     return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(unknown)))
 
 
@@ -113,6 +114,7 @@ def robust_scale(df: DataFrame, column: str, out: str, bound: float = 6.0) -> Da
 def standardise(df: DataFrame, source: DataFrame, column: str, out: str) -> DataFrame:
     """Missing values become the source's median, then z-scores by the source's mean and deviation."""
     x = F.col(column)
-    stats = source.agg(F.median(x).alias("_m"), F.avg(x).alias("_mu"), F.stddev_pop(x).alias("_sd"))
+    middle = exact_quantiles(source, [], column, (0.5,)).select(F.col("quantiles")[0].alias("_m"))
+    stats = source.agg(F.avg(x).alias("_mu"), F.stddev_pop(x).alias("_sd")).join(middle, how="left")
     z = (F.coalesce(x, F.col("_m")) - F.col("_mu")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
     return df.crossJoin(F.broadcast(stats)).withColumn(out, z).drop("_m", "_mu", "_sd")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import shrink
 from .aggregates import last_row
+from .quantiles import exact_quantiles
 
 
 def asof_counters(df: DataFrame, entity: Sequence[str], order: Sequence[str], target: str, n: str = "n", rate: str = "rate", digits: int = 6) -> DataFrame:
@@ -115,11 +116,19 @@ def previous_season_deviation(df: DataFrame, keys: Sequence[str], season: str, t
     return df.join(table, [*keys, season], "left")
 
 
-def leave_one_out(target: str, keys: Sequence[str], k: float, prior: Column, eps: float = 1e-4) -> Column:
-    """Shrunk rate of the row's group without the row itself, within [eps, 1 - eps]. Null keys make a group."""
-    w = Window.partitionBy(*keys)
-    rate = shrink(F.sum(target).over(w) - F.col(target), F.count(target).over(w) - 1, k, prior)
-    return F.least(F.greatest(rate, F.lit(eps)), F.lit(1 - eps))
+def leave_one_out(df: DataFrame, target: str, keys: Sequence[str], k: float, prior: Column, out: str, eps: float = 1e-4) -> DataFrame:
+    """df with the shrunk rate of the row's group without the row itself, within [eps, 1 - eps]. Null keys make a group.
+
+    Groups are summed in the tasks before the shuffle and joined back, so that a hot group is one row.
+    """
+    named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]
+    sums = df.groupBy(*named).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    rate = shrink(F.col("_s") - F.col(target), F.col("_n") - 1, k, prior)
+    held = df.join(sums, same).withColumn(out, F.least(F.greatest(rate, F.lit(eps)), F.lit(1 - eps)))
+    return held.drop("_s", "_n", *[f"_k{i}" for i in range(len(keys))])
 
 
 def leave_one_out_hierarchy(df: DataFrame, season: str, target: str, levels: Sequence[tuple[str, Sequence[str], float]], scoring: bool = False) -> DataFrame:
@@ -190,8 +199,8 @@ def adaptive_state(df: DataFrame, entity: str, season: str, target: str, at: int
     table = table.withColumns({"pe": F.lag("effect").over(w), "pv": F.lag("noise").over(w), "pn": F.lag("n").over(w)})
     table = table.withColumn("drift", F.greatest(F.pow(F.col("effect") - F.col("pe"), 2) - F.col("noise") - F.col("pv"), F.lit(0.0)))
     wide = table.where("pe is not null and n >= 100 and pn >= 100")
-    cap = wide.agg(F.percentile("drift", 0.9).alias("cap"))
-    whole = wide.crossJoin(F.broadcast(cap)).agg(F.greatest(F.coalesce(F.avg(F.least("drift", "cap")), F.lit(0.0)), F.lit(1e-6)).alias("g"))
+    cap = exact_quantiles(wide, [], "drift", (0.9,)).select(F.col("quantiles")[0].alias("cap"))
+    whole = wide.join(F.broadcast(cap), how="left").agg(F.greatest(F.coalesce(F.avg(F.least("drift", "cap")), F.lit(0.0)), F.lit(1e-6)).alias("g"))
     own = table.where("pe is not null and n >= 30 and pn >= 30").groupBy(entity).agg(F.sum("drift").alias("ds"), F.count("*").alias("dn"))
     latest = table.groupBy(entity).agg(F.max_by(F.struct("effect", "noise", "n"), season).alias("x")).select(entity, "x.*")
     now = league.agg(F.max_by("league", season).alias("m"))
@@ -232,40 +241,48 @@ def recent_form(r1: Column, r3: Column, r5: Column, career: Column) -> dict[str,
     return {"weighted": weighted, "mean": mean, "d13": gap(r1, r3), "d35": gap(r3, r5), "d15": gap(r1, r5), "range": span, "over_career": gap(weighted, career), "missing": 3 - known}
 
 
-def boundary_posterior(n: Column, s: Column, recent_n: Column, recent_s: Column, suffix_n: Sequence[Column], suffix_s: Sequence[Column], mean: Column, sd: Column, rate: Column) -> Column:
-    """Struct (expected_n, expected_s, mode, confidence): how many of the recent games belong to the current season.
+#: Fixed values of the season boundary: most rows of an open game, least deviation of a game's rows, least variance of
+#: events, and the least distance of a rate from 0 and 1.
+OPEN_ROWS, LEAST_SPREAD, LEAST_VARIANCE, RATE_MARGIN = 140, 8.0, 4.0, 1e-4
+
+
+def log_normal_density(x: Column, mean: Column, sd: Column) -> Column:
+    """Up to a constant."""
+    return -F.pow((x - mean) / sd, 2) / 2 - F.ln(sd)
 
-    Hypothesis k removes the last len - k games of the season before. Each is weighed by a Gaussian likelihood of the
-    games completed since; impossible ones weigh nothing. Without a possible one: zeros and mode -1.
+
+def season_boundary(seen: Column, recent: Column, tails: Column, games: Column) -> Column:
+    """How far a window of recent games reaches back into the season before, as a posterior over its places.
+
+    seen (n, s) are rows and events of the current season, recent (n, s) those of the window, tails the totals (n, s) of
+    the last 1, 2, ... games before the season, games (mean, sd, rate) an entity's rows a game and event rate. If h games
+    of the season are complete, the window less the longest fitting tail holds them, and what else was seen is the open
+    game. Complete games are normal in rows, with mean h * mean, and binomial in events by a normal approximation; an
+    open game longer than the mean is penalised as the upper half of a normal.
+
+    Returns a struct: expected_n and expected_s of the open game, mode (the likeliest h, ties to the smaller) and
+    confidence (its probability). Without a possible h, or with nulls, all are 0 and mode is -1.
     """
-    sd = F.greatest(sd, F.lit(8.0))
-    p = F.least(F.greatest(rate, F.lit(1e-4)), F.lit(1 - 1e-4))
-    window = len(suffix_n)
-    logs = []
-    for k in range(window):
-        dn, ds = recent_n - suffix_n[window - k - 1], recent_s - suffix_s[window - k - 1]
-        cn, cs = n - dn, s - ds
-        ok = (recent_n > 0) & (dn >= 0) & (ds >= 0) & (ds <= dn) & (cn >= 0) & (cn <= 140) & (cs >= 0) & (cs <= cn)
-        if k == 0:
-            ok, like = ok & (dn == 0) & (ds == 0), F.lit(0.0)
-        else:
-            wide = F.greatest(sd * (k**0.5), F.lit(8.0))
-            var = F.greatest(dn * p * (1 - p), F.lit(4.0))
-            like = -0.5 * F.pow((dn - k * mean) / wide, 2) - F.ln(wide) - 0.5 * F.pow((ds - dn * p) / F.sqrt(var), 2) - 0.5 * F.ln(var)
-        like -= 0.5 * F.pow(F.greatest((cn - mean) / sd, F.lit(0.0)), 2)
-        logs.append(F.struct(F.when(F.coalesce(ok, F.lit(False)), like).alias("l"), cn.cast("double").alias("n"), cs.cast("double").alias("s"), F.lit(k).alias("k")))
-    possible = F.filter(F.array(*logs), lambda x: x["l"].isNotNull())
-    top = F.array_max(F.transform(possible, lambda x: x["l"]))
-    weighed = F.transform(possible, lambda x: F.struct(F.exp(x["l"] - top).alias("w"), (-x["k"]).alias("k"), x["n"].alias("n"), x["s"].alias("s")))
-    add = lambda f: F.aggregate(weighed, F.lit(0.0), lambda a, x: a + f(x))
-    total = add(lambda x: x["w"])
-    best = F.array_max(weighed)
-    some = F.size(possible) > 0
-    safe = F.when(some, total)
-    return F.struct(
-        F.coalesce(add(lambda x: x["w"] * x["n"]) / safe, F.lit(0.0)).alias("expected_n"), F.coalesce(add(lambda x: x["w"] * x["s"]) / safe, F.lit(0.0)).alias("expected_s"),
-        F.when(some, -best["k"]).otherwise(-1).alias("mode"), F.coalesce(best["w"] / safe, F.lit(0.0)).alias("confidence"),
-    )
+    spread = F.greatest(games["sd"], F.lit(LEAST_SPREAD))
+    rate = F.least(F.greatest(games["rate"], F.lit(RATE_MARGIN)), F.lit(1 - RATE_MARGIN))
+
+    def hypothesis(tail: Column, i: Column) -> Column:
+        complete = F.size(tails) - 1 - i
+        done_n, done_s = recent["n"] - tail["n"], recent["s"] - tail["s"]
+        open_n, open_s = seen["n"] - done_n, seen["s"] - done_s
+        possible = done_s.between(F.lit(0), done_n) & open_s.between(F.lit(0), open_n) & (open_n <= OPEN_ROWS) & (recent["n"] > 0) & ((complete > 0) | (done_n == 0))
+        rows = log_normal_density(done_n, complete * games["mean"], F.greatest(spread * F.sqrt(complete), F.lit(LEAST_SPREAD)))
+        events = log_normal_density(done_s, done_n * rate, F.sqrt(F.greatest(done_n * rate * (1 - rate), F.lit(LEAST_VARIANCE))))
+        excess = F.greatest((open_n - games["mean"]) / spread, F.lit(0.0))
+        weight = F.when(complete > 0, rows + events).otherwise(0.0) - excess * excess / 2
+        return F.struct(F.when(possible, weight).alias("log"), (-complete).alias("rank"), open_n.cast("double").alias("n"), open_s.cast("double").alias("s"))
+
+    known = F.filter(F.transform(tails, hypothesis), lambda h: h["log"].isNotNull())
+    best = F.array_max(known)
+    grown = lambda sums, h, w: F.struct(*[(sums[c] + w * x).alias(c) for c, x in (("w", F.lit(1.0)), ("n", h["n"]), ("s", h["s"]))])
+    sums = F.aggregate(known, F.struct(*[F.lit(0.0).alias(c) for c in "wns"]), lambda sums, h: grown(sums, h, F.exp(h["log"] - best["log"])))
+    share = lambda x: F.coalesce(x / F.nullif(sums["w"], F.lit(0.0)), F.lit(0.0))
+    return F.struct(share(sums["n"]).alias("expected_n"), share(sums["s"]).alias("expected_s"), F.coalesce(-best["rank"], F.lit(-1)).alias("mode"), share(F.lit(1.0)).alias("confidence"))
 
 
 def normalised(df: DataFrame, row: Sequence[str], x: Column, out: str) -> DataFrame:

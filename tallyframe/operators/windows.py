@@ -11,20 +11,27 @@ from pyspark.sql import functions as F
 def sessionise(df: DataFrame, season: str, order: Sequence[str], keys: Sequence[str], falling: Sequence[str], out: str = "session") -> DataFrame:
     """Number sessions in order: one starts where a key changes or a value that should grow falls.
 
-    A new season always starts one, so sessions are numbered within each season and shifted by the sessions of the
-    seasons before; no window spans the whole table.
+    A new season always starts one. The rows are dealt into ranges of the first order column; each range of a season
+    takes over the last row of the one before it, and its sessions are shifted by those of all ranges before. No window
+    spans a season.
     """
-    w = Window.partitionBy(season).orderBy(*order)
-    starts = F.lag(F.lit(1)).over(w).isNull()
+    dealt = deal_ranges(df, order[0], "_range")
+    watched = [*dict.fromkeys([*keys, *falling])]
+    w = Window.partitionBy(season, "_range").orderBy(*order)
+    ends = dealt.groupBy(season, "_range").agg(F.max_by(F.struct(F.lit(1).alias("_one"), *watched), F.struct(*order)).alias("_end"))
+    carried = ends.select(season, "_range", F.lag("_end").over(Window.partitionBy(season).orderBy("_range")).alias("_carried"))
+    marked = dealt.join(F.broadcast(carried), [season, "_range"]).withColumn("_prior", F.coalesce(F.lag(F.struct(F.lit(1).alias("_one"), *watched)).over(w), F.col("_carried")))
+    starts = F.col("_prior").isNull()
     for k in keys:
-        starts |= ~F.col(k).eqNullSafe(F.lag(k).over(w))
+        starts |= ~F.col(k).eqNullSafe(F.col("_prior")[k])
     for v in falling:
-        starts |= F.coalesce(F.col(v) < F.lag(v).over(w), F.lit(False))
-    marked = df.withColumn("_starts", starts.cast("long"))
+        starts |= F.coalesce(F.col(v) < F.col("_prior")[v], F.lit(False))
+    marked = marked.withColumn("_starts", starts.cast("long"))
     local = marked.withColumn("_local", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per_season = marked.groupBy(season).agg(F.sum("_starts").alias("_n"))
-    offsets = per_season.select(season, F.coalesce(F.sum("_n").over(Window.orderBy(season).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return local.join(offsets, season).withColumn(out, F.col("_local") + F.col("_before") - 1).drop("_starts", "_local", "_before")
+    parts = marked.groupBy(season, "_range").agg(F.sum("_starts").alias("_n"))
+    offsets = parts.select(season, "_range", F.coalesce(F.sum("_n").over(Window.orderBy(season, "_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = local.join(F.broadcast(offsets), [season, "_range"]).withColumn(out, F.col("_local") + F.col("_before") - 1)
+    return numbered.drop("_starts", "_local", "_before", "_range", "_prior", "_carried")
 
 
 def running_index(keys: Sequence[str], order: Sequence[str]) -> Column:
@@ -55,15 +62,32 @@ def best_rank(order: Sequence, *keys: str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
 
 
+def deal_ranges(df: DataFrame, column: str, out: str, buckets: int = 1024) -> DataFrame:
+    """df with the range of each row in the sort order of a column, from 0; nulls lie in the first.
+
+    Numbers and times are cut at approximate quantiles. Other types are cut at those of the distinct values whose hash
+    falls in one residue, about `buckets` of them. Cut points only deal the rows: every row has a range.
+    """
+    kind = dict(df.dtypes)[column]
+    if kind in ("string", "binary", "boolean") or kind.startswith(("struct", "array")):
+        values = df.select(F.col(column).alias("_v")).where("_v is not null").distinct()
+        step = max(1, values.count() // buckets)
+        cuts = values.where(F.pmod(F.xxhash64("_v"), F.lit(step)) == 0).agg(F.sort_array(F.collect_list("_v")).alias("_cuts"))
+        key = F.col(column)
+    else:
+        key = (F.col(column).cast("timestamp") if kind.startswith(("timestamp", "date")) else F.col(column)).cast("double")
+        empty = F.array().cast("array<double>")
+        cuts = df.agg(F.coalesce(F.percentile_approx(key, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets)), empty).alias("_cuts"))
+    return df.crossJoin(F.broadcast(cuts)).withColumn(out, F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
+
+
 def global_number(df: DataFrame, order: Sequence[str], out: str, buckets: int = 1024) -> DataFrame:
     """Number all rows from 0 in a total order without a single task that holds them.
 
-    Cut points of the first order column (a number or a time) deal the rows into ranges; the places inside a range are
-    shifted by the rows of the ranges before.
+    The rows are dealt into ranges of the first order column; the places inside a range are shifted by the rows of the
+    ranges before.
     """
-    key = F.col(order[0]).cast("timestamp").cast("double") if dict(df.dtypes)[order[0]].startswith("timestamp") else F.col(order[0]).cast("double")
-    cuts = df.agg(F.coalesce(F.percentile_approx(key, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets)), F.array().cast("array<double>")).alias("_cuts"))
-    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
+    dealt = deal_ranges(df, order[0], "_range", buckets)
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     shift = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))

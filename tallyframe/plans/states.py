@@ -181,7 +181,7 @@ def eb14s(t):
 @query("eb15_leave_one_out", "WITH {EV}, p AS (SELECT avg(y) AS p FROM ev) SELECT basket, part, line, entity, round(least(greatest((sum(y) OVER w - y + 20 * p) / (count(*) OVER w - 1 + 20.0), 0.0001), 0.9999), 6) AS rate FROM ev, p WINDOW w AS (PARTITION BY part, flag)")
 def eb15(t):
     rows = t.ev.crossJoin(F.broadcast(t.ev.agg(F.avg("y").alias("p"))))
-    return rows.select(*ID, r6(E.leave_one_out("y", ["part", "flag"], 20.0, F.col("p"))).alias("rate"))
+    return E.leave_one_out(rows, "y", ["part", "flag"], 20.0, F.col("p"), "rate").select(*ID, r6("rate").alias("rate"))
 
 
 @query("eb16_platoon", """WITH {EV}, d AS (SELECT DISTINCT entity, line, season FROM ev), p AS (SELECT d.season, coalesce(avg(e.y), 0.5) AS p FROM (SELECT DISTINCT season FROM ev) d LEFT JOIN ev e ON e.season < d.season GROUP BY d.season),
@@ -331,17 +331,16 @@ SELECT basket, part, line, entity, round(coalesce(({total("cn#")}) / ({total("1"
 def eb29(t):
     games = t.ev.where("season < 1999").groupBy("entity", "basket").agg(F.sum("y").alias("s"), F.count("*").alias("n"), F.min("l_shipdate").alias("at"))
     place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("at"), F.desc("basket")))
-    upto = lambda c, k: F.sum(F.when(F.col("place") <= k, F.col(c)))
+    tail = lambda k: F.struct(*[F.sum(F.when(F.col("place") <= k, F.col(c))).alias(c) for c in ("n", "s")])
     frozen = games.withColumn("place", place).groupBy("entity").agg(
-        F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), (F.sum("s") / F.sum("n")).alias("rate"),
-        *[upto("n", k).alias(f"n{k}") for k in range(1, 6)], *[upto("s", k).alias(f"s{k}") for k in range(1, 6)],
+        F.struct(F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), (F.sum("s") / F.sum("n")).alias("rate")).alias("games"),
+        F.array(*[tail(k) for k in range(1, 6)]).alias("tails"),
     )
     rows = E.asof_counters(t.ev.where("season = 1999"), ["entity"], ROW, "y", rate="now").join(frozen, "entity")
-    s = F.rint(F.coalesce("now", F.lit(0.0)) * F.col("n"))
+    seen = {"n": F.col("n"), "s": F.rint(F.coalesce("now", F.lit(0.0)) * F.col("n"))}
     # The window of five games reaches back past the boundary as far as the season is short.
-    recent = lambda c, x: F.col(f"{c}4") + F.least(x, F.lit(6))
-    suffix = lambda c: [F.col(f"{c}{k}") for k in range(1, 6)]
-    post = E.boundary_posterior(F.col("n"), s, recent("n", F.col("n")), recent("s", s), suffix("n"), suffix("s"), F.col("mean"), F.col("sd"), F.col("rate"))
+    recent = F.struct(*[(F.col("tails")[3][c] + F.least(x, F.lit(6))).alias(c) for c, x in seen.items()])
+    post = E.season_boundary(F.struct(*[x.alias(c) for c, x in seen.items()]), recent, F.col("tails"), F.col("games"))
     return rows.select(*ID, post.alias("p")).select(*ID, *[r6(f"p.{c}").alias(c) for c in ("expected_n", "expected_s", "confidence")], "p.mode")
 
 

@@ -77,7 +77,7 @@ def test_end_state_with_and_without_final_row(seasons):
 
 def test_leave_one_out_of_small_groups(spark):
     df = frame(spark, [("a", 1), ("b", 1), ("b", 0), (None, 1), (None, 1)], "g string, y int")
-    got = sorted((r.g or "", r.y, round(r.p, 6)) for r in df.select("g", "y", E.leave_one_out("y", ["g"], 10.0, F.lit(0.5)).alias("p")).collect())
+    got = sorted((r.g or "", r.y, round(r.p, 6)) for r in E.leave_one_out(df, "y", ["g"], 10.0, F.lit(0.5), "p").collect())
     assert got == [("", 1, round(6 / 11, 6)), ("", 1, round(6 / 11, 6)), ("a", 1, 0.5), ("b", 0, round(6 / 11, 6)), ("b", 1, round(5 / 11, 6))]
 
 
@@ -198,12 +198,26 @@ def test_dates_keys_and_interpolation(spark):
     assert got[0].d == got[1].d and got[2].d is None and got[2].k == "x|__missing__" and [r.v for r in got] == [2.0, 4.0, None]
 
 
-def test_boundary_posterior_prefers_the_possible(spark):
-    df = frame(spark, [(20, 6, 100, 30), (500, 10, 0, 0)], "n int, s int, rn int, rs int")
-    suffix = lambda *x: [F.lit(v) for v in x]
-    p = E.boundary_posterior(F.col("n"), F.col("s"), F.col("rn"), F.col("rs"), suffix(20, 40, 60, 80, 100), suffix(6, 12, 18, 24, 30), F.lit(20.0), F.lit(5.0), F.lit(0.3))
-    a, b = [r.p for r in df.select(p.alias("p")).collect()]
+def test_season_boundary_prefers_the_possible(spark):
+    rows = [((20, 6), (100, 30)), ((500, 10), (0, 0)), (None, (100, 30)), ((45, 13), (105, 31))]
+    df = frame(spark, rows, "seen struct<n:int,s:int>, recent struct<n:int,s:int>")
+    tails = F.array(*[F.struct(F.lit(20 * k).alias("n"), F.lit(6 * k).alias("s")) for k in range(1, 6)])
+    games = F.struct(F.lit(20.0).alias("mean"), F.lit(5.0).alias("sd"), F.lit(0.3).alias("rate"))
+    a, b, null, d = [r.p for r in df.select(E.season_boundary(F.col("seen"), F.col("recent"), tails, games).alias("p")).collect()]
     assert a.mode == 0 and a.expected_n <= 20 and 0 < a.confidence <= 1 and b.mode == -1 and b.expected_n == 0
+    assert null == b and tuple(b) == (0.0, 0.0, -1, 0.0)
+
+    def density(x, mean, sd):
+        return math.exp(-((x - mean) ** 2) / (2 * sd * sd)) / sd
+
+    weights = {}
+    for h in range(5):
+        n, s = 105 - 20 * (5 - h), 31 - 6 * (5 - h)
+        if (h or not n) and 0 <= s <= n and 0 <= 13 - s <= 45 - n:
+            spread, deviation = max(8 * h**0.5, 8), max(n * 0.21, 4) ** 0.5
+            weights[h] = (density(n, 20 * h, spread) * density(s, 0.3 * n, deviation) if h else 1) * math.exp(-(max((45 - n - 20) / 8, 0) ** 2) / 2), 45 - n
+    total = sum(w for w, _ in weights.values())
+    assert weights and d.mode == max(weights, key=lambda h: weights[h][0]) and d.expected_n == pytest.approx(sum(w * n for w, n in weights.values()) / total)
 
 
 def test_profile_counts_missing_values(spark):
