@@ -4,11 +4,15 @@ Texts are normalised (lower case, runs of anything but letters and digits become
 characters and e allowed edits, a copy with at most e edits shares at least m + 1 - Q * (e + 1) of the item's
 character q-grams on diagonals at most e apart. Hits of q-grams are counted in diagonal bands that overlap by e, so
 that some band holds them all; bands that reach the bound are aligned within the band, and copies within the budget
-are reported. No copy within the budget is missed.
+are reported. No copy within the budget is missed. The budget is 8 % of an item's characters, but at most what leaves the
+bound positive: an item of 13 to 15 characters is allowed no edit. Hits are made and counted in slices along a text, and
+a band is closed once the text has passed it, so that memory is bounded by a slice and the open bands of the items.
 
 Defined cases: null and empty texts match nothing; an item of fewer than Q normalised characters has no q-gram and is
-never reported; equal items are reported each under its own id; items without text or id are ignored; documents
-without an id aren't reported, but drop_contaminated judges them; repeated documents are judged alike; of several copies of an item in one text the one with the fewest edits, then the first, is reported.
+reported where it stands exactly, as whole words; one without a letter or digit is never reported; equal items are
+reported each under its own id; items without text or id are ignored; documents without an id are reported with a null
+id; repeated documents are judged alike; of several copies of an item in one text the one with the fewest edits, then
+the first, is reported.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ BLOCK_CHARS = 8 << 20
 FILTER_BITS = 22
 #: Characters of documents whose q-grams are held at once.
 CHUNK_CHARS = 1 << 20
+#: Hits of q-grams that are held at once, and cells of the table of shared q-grams that spares texts without a band.
+SLICE_HITS, PAIR_CELLS = 1 << 20, 1 << 22
 #: 1 for each character of the basic plane that is a letter or digit.
 WORD_CHAR = np.fromiter((chr(i).isalnum() for i in range(0x10000)), dtype=bool, count=0x10000)
 
@@ -75,14 +81,17 @@ class GramIndex:
     seen: np.ndarray  # filter over the low bits of hashes
     budgets: np.ndarray
     bounds: np.ndarray  # q-grams that a copy shares at least
+    short: dict[str, list[int]]  # places in ids and texts of the items without a q-gram, which follow the others
 
 
 def index_items(items: list[tuple[int, str]]) -> GramIndex:
-    ids, texts = [], []
-    for i, t in items:
-        if len(n := normalise(t)) >= Q:
-            ids.append(i)
-            texts.append(n)
+    known = [(i, n) for i, t in items if (n := normalise(t))]
+    known.sort(key=lambda x: len(x[1]) < Q)
+    ids, every = [i for i, _ in known], [n for _, n in known]
+    texts = [n for n in every if len(n) >= Q]
+    short: dict[str, list[int]] = {}
+    for k in range(len(texts), len(every)):
+        short.setdefault(every[k], []).append(k)
     grams = [gram_hashes(code_points(t)) for t in texts]
     hashes = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
     item = np.repeat(np.arange(len(texts)), [len(g) for g in grams]).astype(np.int64)
@@ -92,7 +101,7 @@ def index_items(items: list[tuple[int, str]]) -> GramIndex:
     seen[(hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     budgets = np.array([budget(len(t)) for t in texts], dtype=np.int64)
-    return GramIndex(ids, texts, hashes[order], item[order], position[order], seen, budgets, lengths + 1 - Q * (budgets + 1))
+    return GramIndex(ids, every, hashes[order], item[order], position[order], seen, budgets, lengths + 1 - Q * (budgets + 1), short)
 
 
 def banded_edits(item: str, text: str, low: int, high: int) -> tuple[int, int, int] | None:
@@ -142,30 +151,71 @@ def candidate_bands(points: np.ndarray, starts: np.ndarray, index: GramIndex) ->
     at, left, times = at[times > 0], left[times > 0], times[times > 0]
     if not len(at):
         return none
-    entry = np.repeat(left - (np.cumsum(times) - times), times) + np.arange(times.sum())
-    where, item = np.repeat(at, times), index.item[entry]
-    text = np.searchsorted(starts, where, side="right") - 1
-    pair = text * len(index.ids) + item
-    if len(starts) * len(index.ids) <= 1 << 24:  # a text that shares too few q-grams with an item in all has no band
-        keep = np.bincount(pair, minlength=len(starts) * len(index.ids))[pair] >= index.bounds[item]
-        pair, text, item, where, entry = pair[keep], text[keep], item[keep], where[keep], entry[keep]
-    if not len(pair):
-        return none
-    position = index.position[entry]
-    diagonal = where - starts[text] - position
-    wide = 2 * index.budgets[item] + 2
-    band = diagonal // wide
-    again = diagonal - band * wide < index.budgets[item]  # also at the end of the band before
-    pair, band = np.concatenate([pair, pair[again]]), np.concatenate([band, band[again] - 1])
-    position = np.concatenate([position, position[again]])
-    order = np.lexsort((position, band, pair))
-    pair, band, position = pair[order], band[order], position[order]
-    change = np.append(True, (pair[1:] != pair[:-1]) | (band[1:] != band[:-1]))
-    fresh = np.append(True, change[1:] | (position[1:] != position[:-1]))  # each q-gram of the item counts once
-    first = np.flatnonzero(change)
-    count = np.add.reduceat(fresh.astype(np.int64), first)
-    good = first[count >= index.bounds[pair[first] % len(index.ids)]]
-    return np.stack([pair[good] // len(index.ids), pair[good] % len(index.ids), band[good]], axis=1)
+    n, hits = len(index.budgets), np.cumsum(times)
+    ends = np.unique(np.append(np.searchsorted(hits, np.arange(SLICE_HITS, hits[-1], SLICE_HITS), side="right"), len(at)))
+    slices = [(lo, hi) for lo, hi in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True) if lo < hi]
+
+    def expand(lo: int, hi: int) -> tuple[np.ndarray, ...]:
+        """Pair of text and item, place in the text and position in the item of the hits of a slice."""
+        t = times[lo:hi]
+        entry = np.repeat(left[lo:hi] - (np.cumsum(t) - t), t) + np.arange(t.sum())
+        text = np.searchsorted(starts, at[lo:hi], side="right") - 1
+        return np.repeat(text * n, t) + index.item[entry], np.repeat(at[lo:hi] - starts[text], t), index.position[entry]
+
+    shared = None
+    if len(starts) * n <= PAIR_CELLS:  # a text that shares too few q-grams with an item in all has no band
+        shared = np.zeros(len(starts) * n, dtype=np.int64)
+        for cut in slices:
+            shared += np.bincount(expand(*cut)[0], minlength=len(shared))
+    open_ = np.zeros((3, 0), dtype=np.int64)  # pair, band, position; each once
+    found = [none]
+    for k, cut in enumerate(slices):
+        pair, place, position = expand(*cut)
+        if shared is not None:
+            keep = shared[pair] >= index.bounds[pair % n]
+            pair, place, position = pair[keep], place[keep], position[keep]
+        wide, budgets = 2 * index.budgets[pair % n] + 2, index.budgets[pair % n]
+        band = (place - position) // wide
+        again = place - position - band * wide < budgets  # also at the end of the band before
+        rows = np.stack([np.concatenate([pair, pair[again]]), np.concatenate([band, band[again] - 1]), np.concatenate([position, position[again]])])
+        rows = np.concatenate([open_, rows], axis=1)
+        if not rows.shape[1]:
+            continue
+        rows = rows[:, np.lexsort(rows[::-1])]
+        change = (rows[:, 1:] != rows[:, :-1]).any(axis=0)
+        rows = rows[:, np.append(True, change)]  # each q-gram of the item counts once
+        pair, band, _ = rows
+        closed = np.ones(len(pair), dtype=bool)
+        if k + 1 < len(slices):
+            budgets, bound = index.budgets[pair % n], index.bounds[pair % n]
+            items_grams = bound + Q * (budgets + 1) - Q  # the last position of the item, plus 1
+            closed = starts[pair // n] + (band + 1) * (2 * budgets + 2) + budgets + items_grams <= at[cut[1]]
+        open_ = rows[:, ~closed]
+        pair, band = pair[closed], band[closed]
+        first = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (band[1:] != band[:-1]))[: len(pair)])
+        count = np.diff(np.append(first, len(pair)))
+        good = first[count >= index.bounds[pair[first] % n]]
+        found.append(np.stack([pair[good] // n, pair[good] % n, band[good]], axis=1))
+    found = np.concatenate(found)
+    return found[np.lexsort(found.T[::-1])]
+
+
+def short_copies(text: str, short: dict[str, list[int]]) -> Iterator[tuple[int, int]]:
+    """(item, start) of the first exact place of each short item among the words of a normalised text."""
+    at, seen = [i for i, c in enumerate(text) if c == " " or i == 0], set()
+    begins = [i + (text[i] == " ") for i in at]
+    for b in begins:
+        end = b
+        while True:
+            end = text.find(" ", end + 1)
+            stop = len(text) if end < 0 else end
+            if stop - b >= Q:
+                break
+            if (word := text[b:stop]) in short and word not in seen:
+                seen.add(word)
+                yield from ((item, b) for item in short[word])
+            if end < 0:
+                break
 
 
 def find_copies(texts: list[str | None], index: GramIndex) -> list[tuple[int, int, int, int, int]]:
@@ -189,6 +239,8 @@ def find_copies(texts: list[str | None], index: GramIndex) -> list[tuple[int, in
             if found and found[0] <= e:
                 hit = found if exact >= 0 else (found[0], found[1] + begin, found[2] + begin)
                 best[at + t, item] = min(best.get((at + t, item), hit), hit)
+        if index.short:
+            best |= {(at + t, item): (0, b, b + len(index.texts[item])) for t, text in enumerate(part) if text for item, b in short_copies(text, index.short)}
         at += len(part)
     return [(t, item, *hit) for (t, item), hit in sorted(best.items())]
 
@@ -211,7 +263,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", te
     spark = docs.sparkSession
     bounded_batches(spark)
     schema = "doc_id long, item_id long, edits int, first_char long, last_char long"
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("t"))
+    rows = docs.select(F.col(id).cast("string").alias("doc_id"), F.col(text).alias("t"))  # pandas would make null ids floats
     found = None
     for block in item_blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(index_items(block))
@@ -222,7 +274,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", te
                 hits = find_copies(pdf["t"].tolist(), index)
                 yield pd.DataFrame([(pdf["doc_id"].iat[t], index.ids[i], e, a, b) for t, i, e, a, b in hits], columns=["doc_id", "item_id", "edits", "first_char", "last_char"])
 
-        known = rows.where("doc_id is not null").mapInPandas(search, schema)
+        known = rows.mapInPandas(search, schema.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
         found = known if found is None else found.union(known)
     return spark.createDataFrame([], schema) if found is None else found
 

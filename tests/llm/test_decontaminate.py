@@ -61,8 +61,8 @@ def test_spans_point_at_the_copy():
 def test_edge_cases(spark):
     items = spark.createDataFrame([(1, "short"), (2, None), (3, ""), (None, "something long enough to match"), (4, "a passage that is long enough to match"), (5, "a passage that is long enough to match")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x a passage that is LONG enough, to match y"), (2, None), (3, ""), (4, "word " * 100_000), (1, "short"), (None, "a passage that is long enough to match")], "doc_id long, text string").withColumn("item_id", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(0))
-    assert sorted((r.doc_id, r.item_id, r.edits) for r in D.find_contamination(docs, items).collect()) == [(1, 4, 0), (1, 5, 0)]
-    assert D.drop_contaminated(docs, items).count() == 4
+    assert sorted((r.doc_id or 0, r.item_id, r.edits) for r in D.find_contamination(docs, items).collect()) == [(0, 4, 0), (0, 5, 0), (1, 1, 0), (1, 4, 0), (1, 5, 0)]
+    assert D.drop_contaminated(docs, items).count() == 3
     assert D.find_contamination(docs, items.where("false")).count() == 0 and D.find_contamination(docs.where("false"), items).count() == 0
     assert D.drop_contaminated(docs, items.where("false")).count() == 6
 
@@ -75,3 +75,34 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     texts = {r.doc_id: D.normalise(r.text) for r in docs.collect()}
     exact = {(d, i) for i, t in ((r.item_id, D.normalise(r.text)) for r in items.collect()) for d, x in texts.items() if t in x}
     assert exact and exact <= {(d, i) for d, i, *_ in whole}
+
+
+def test_slices_give_the_same(monkeypatch):
+    rng = random.Random(3)
+    items = [(i, "".join(rng.choice("ab ") for _ in range(rng.randint(8, 90)))) for i in range(20)]
+    items += [(90, "ab " * 20), (91, "aab " * 30)]
+    texts = ["".join(rng.choice("ab ") for _ in range(700)) + items[k % 22][1] + "ab " * 40 + edited(items[-1][1], 3, rng) for k in range(30)]
+    index = D.index_items(items)
+    whole = D.find_copies(texts, index)
+    assert len(whole) > 30
+    for hits, cells in ((1, 1 << 22), (50, 0), (997, 0), (5000, 1 << 22)):
+        monkeypatch.setattr(D, "SLICE_HITS", hits)
+        monkeypatch.setattr(D, "PAIR_CELLS", cells)
+        assert D.find_copies(texts[:6] if hits == 1 else texts, index) == [x for x in whole if hits > 1 or x[0] < 6]
+
+
+def test_periodic_text_keeps_memory_bounded():
+    import tracemalloc
+
+    index = D.index_items([(1, "ab " * 300)])
+    tracemalloc.start()
+    [(t, item, edits, start, end)] = D.find_copies(["ab " * 40_000], index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (t, item, edits, start, end) == (0, 0, 0, 0, 899) and peak < 500 << 20
+
+
+def test_short_items_stand_as_whole_words():
+    index = D.index_items([(1, "Hi, you"), (2, "42"), (3, "!?"), (4, "hi you"), (5, "you are long enough")])
+    got = {(t, index.ids[i]): (e, a, b) for t, i, e, a, b in D.find_copies(["Say: hi you 42", "shi you", "", None, "424", "HI YOU"], index)}
+    assert got == {(0, 1): (0, 4, 10), (0, 4): (0, 4, 10), (0, 2): (0, 11, 13), (5, 1): (0, 0, 6), (5, 4): (0, 0, 6)}
