@@ -1,12 +1,16 @@
 """URL filters by rules and empirical-Bayes host reputation; DataFrame operations only.
 
 Pages that a rule decides are the labelled outcomes (blocked or allowed). Their blocked shares are shrunk through
-beta-binomial priors: suffixes toward the whole, registered domains toward their suffix, hosts toward their domain. A
-page without a rule is blocked if its host's posterior share is above the threshold even at its lower bound.
+beta-binomial priors: suffixes toward the whole, registered domains toward their suffix, hosts toward their domain. How
+many pages a level's prior weighs is estimated from the level's own counts: by moments, from the spread of its groups
+around their parents beyond binomial noise. A page without a rule is blocked if its host's posterior share is above the
+threshold even at its lower bound, DEVIATIONS posterior deviations below the mean. By Cantelli's inequality the share
+lies above that with a probability of 1 - 1 / (1 + DEVIATIONS^2) = 0.8 at least, however few pages there are.
 
 Defined cases: a null url, or one without `://`, has an empty host and path and no rule; it is judged like any host
 without labelled pages, by the prior of its level above. Without labelled pages every page is allowed. Repeated rows are
-judged alike, and count as often as they stand in the table. A host without a dot is its own domain and suffix.
+judged alike, and count as often as they stand in the table. A host without a dot is its own domain and suffix. A level
+whose groups don't differ beyond noise, or without labelled pages, has the strongest prior, MOST_PAGES.
 """
 
 from __future__ import annotations
@@ -23,8 +27,12 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Pages that a level's prior weighs, deviations below the mean for the bound, and share from which a host is blocked.
-PRIOR_PAGES, DEVIATIONS, BLOCK_SHARE = 10.0, 1.645, 0.5
+#: Deviations below the mean for the bound, and share from which a host is blocked.
+DEVIATIONS, BLOCK_SHARE = 2.0, 0.5
+#: Bounds of the pages that a level's prior weighs.
+LEAST_PAGES, MOST_PAGES = 1.0, 1000.0
+#: Suffixes of two labels under which domains are registered (fixed values, a parameter of the operator).
+TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "com.br", "com.cn", "co.in", "co.jp", "ne.jp", "or.jp", "co.kr", "com.mx", "co.nz", "com.tr", "co.za")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -46,31 +54,46 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def registered_domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def suffix_and_domain(host: Column, two_labels=TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """Public suffix (the last label, or two that are listed) and registered domain (one label more)."""
+    last = [F.substring_index(host, ".", -k) for k in (1, 2, 3)]
+    listed = last[1].isin(*two_labels)
+    return F.when(listed, last[1]).otherwise(last[0]), F.when(listed, last[2]).otherwise(last[1])
 
 
-def suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def prior_pages(groups: DataFrame) -> DataFrame:
+    """One row: pages that the prior of a level weighs. groups: n, k and parent (the share of the level above).
+
+    With a correlation r of the outcomes in a group, (k - n p)^2 has the mean n p (1 - p) (1 + (n - 1) r), and the prior
+    weighs 1 / r - 1 pages.
+    """
+    noise = F.col("n") * F.col("parent") * (1 - F.col("parent"))
+    excess = F.sum(F.pow(F.col("k") - F.col("n") * F.col("parent"), 2) - noise)
+    room = F.sum(noise * (F.col("n") - 1))
+    pages = F.when((room > 0) & (excess > 0), room / excess - 1).otherwise(MOST_PAGES)
+    return groups.agg(F.least(F.greatest(pages, F.lit(LEAST_PAGES)), F.lit(MOST_PAGES)).alias("pages"))
+
+
+def shrink_level(groups: DataFrame) -> DataFrame:
+    """groups with their posterior share and the pages that their prior weighs."""
+    held = groups.crossJoin(F.broadcast(prior_pages(groups)))
+    return held.withColumn("share", (F.col("k") + F.col("pages") * F.col("parent")) / (F.col("n") + F.col("pages")))
 
 
-def host_reputation(hosts: DataFrame) -> DataFrame:
+def host_reputation(hosts: DataFrame, two_labels=TWO_LABEL_SUFFIXES) -> DataFrame:
     """host, share, low: posterior mean and lower bound of the blocked share. hosts: host, n (labelled pages), k (blocked)."""
-    hosts = hosts.select("host", "n", "k", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"))
-    level = lambda by, name: hosts.groupBy(by).agg(F.sum("n").alias(f"n_{name}"), F.sum("k").alias(f"k_{name}"))
-    whole = hosts.agg(F.sum("n").alias("n_all"), F.sum("k").alias("k_all"))
-    shrunk = lambda k, n, prior: (F.col(k) + PRIOR_PAGES * prior) / (F.col(n) + PRIOR_PAGES)
-    suffixes = level("suffix", "s").crossJoin(F.broadcast(whole))
-    top = F.when(F.col("n_all") > 0, F.col("k_all") / F.col("n_all")).otherwise(0.0)
-    suffixes = suffixes.select("suffix", shrunk("k_s", "n_s", top).alias("p_s"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n_d"), F.sum("k").alias("k_d")).join(suffixes, "suffix")
-    domains = domains.select("domain", shrunk("k_d", "n_d", F.col("p_s")).alias("p_d"))
-    judged = hosts.join(domains, "domain").select("host", "n", shrunk("k", "n", F.col("p_d")).alias("share"))
-    spread = F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("n") + PRIOR_PAGES + 1))
+    ending, domain = suffix_and_domain(F.col("host"), two_labels)
+    hosts = hosts.select("host", "n", "k", domain.alias("domain"), ending.alias("suffix"))
+    sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
+    whole = hosts.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("parent"))
+    suffixes = shrink_level(hosts.groupBy("suffix").agg(*sums).crossJoin(F.broadcast(whole)))
+    domains = hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes.select("suffix", F.col("share").alias("parent")), "suffix")
+    judged = shrink_level(hosts.join(shrink_level(domains).select("domain", F.col("share").alias("parent")), "domain"))
+    spread = F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("n") + F.col("pages") + 1))
     return judged.select("host", "share", (F.col("share") - DEVIATIONS * spread).alias("low"))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, id: str = "page_id", url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, id: str = "page_id", url: str = "url", two_labels=TWO_LABEL_SUFFIXES) -> DataFrame:
     """id, host, path, rule, verdict for each row of pages.
 
     Counts by host are combined in each task before the shuffle. Only pages without a rule are joined to the hosts.
@@ -80,7 +103,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id: str = "page_id", url: str = "
     ruled = parts.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
     ruled = ruled.select(F.col("i").alias(id), "host", "path", "found.rule", "found.verdict")
     hosts = ruled.groupBy("host").agg(F.count("verdict").alias("n"), F.count_if(F.col("verdict") == "block").alias("k"))
-    blocked = checkpointed(host_reputation(hosts).where(F.col("low") > BLOCK_SHARE).select("host", F.lit("block").alias("method")))
+    blocked = checkpointed(host_reputation(checkpointed(hosts), two_labels).where(F.col("low") > BLOCK_SHARE).select("host", F.lit("block").alias("method")))
     return ruled.join(blocked, "host", "left").select(id, "host", "path", "rule", F.coalesce("verdict", "method", F.lit("allow")).alias("verdict"))
 
 
@@ -96,20 +119,35 @@ def rule_sql(host: str, path: str, rules=RULES) -> tuple[str, str]:
 
 
 RULE_SQL, VERDICT_SQL = rule_sql("host", "path")
+LAST = lambda k: f"array_to_string(list_slice(string_split(host, '.'), -{k}, -1), '.')"
+LISTED = f"{LAST(2)} IN ({', '.join(repr(x) for x in TWO_LABEL_SUFFIXES)})"
+
+
+def level_sql(name: str) -> str:
+    """Two named queries: the pages that the prior of a level weighs, and its shares."""
+    noise = "n * parent * (1 - parent)"
+    excess, room = f"sum(pow(k - n * parent, 2) - {noise})", f"sum({noise} * (n - 1))"
+    return f"""{name}_prior AS (SELECT least(greatest(CASE WHEN {room} > 0 AND {excess} > 0 THEN {room} / {excess} - 1 ELSE {MOST_PAGES} END, {LEAST_PAGES}), {MOST_PAGES}) AS pages FROM {name}),
+{name}_shares AS (SELECT *, (k + pages * parent) / (n + pages) AS share FROM {name}, {name}_prior)"""
+
+
 ORACLE_SQL = f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 parts AS (
   SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
 ruled AS (SELECT page_id, host, path, {RULE_SQL} AS rule, {VERDICT_SQL} AS decided FROM parts),
-hosts AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix,
+counts AS (
+  SELECT host, CASE WHEN {LISTED} THEN {LAST(3)} ELSE {LAST(2)} END AS domain, CASE WHEN {LISTED} THEN {LAST(2)} ELSE {LAST(1)} END AS suffix,
     count(decided)::DOUBLE AS n, count(*) FILTER (decided = 'block')::DOUBLE AS k FROM ruled GROUP BY host),
-whole AS (SELECT CASE WHEN sum(n) > 0 THEN sum(k) / sum(n) ELSE 0 END AS p FROM hosts),
-suffixes AS (SELECT suffix, (sum(k) + {PRIOR_PAGES} * (SELECT p FROM whole)) / (sum(n) + {PRIOR_PAGES}) AS p FROM hosts GROUP BY suffix),
-domains AS (SELECT domain, (sum(k) + {PRIOR_PAGES} * any_value(s.p)) / (sum(n) + {PRIOR_PAGES}) AS p FROM hosts JOIN suffixes s USING (suffix) GROUP BY domain),
-judged AS (SELECT host, n, (k + {PRIOR_PAGES} * d.p) / (n + {PRIOR_PAGES}) AS share FROM hosts JOIN domains d USING (domain))
+whole AS (SELECT CASE WHEN sum(n) > 0 THEN sum(k) / sum(n) ELSE 0 END AS parent FROM counts),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(parent) AS parent FROM counts, whole GROUP BY suffix),
+{level_sql("suffixes")},
+domains AS (SELECT domain, sum(c.n) AS n, sum(c.k) AS k, any_value(s.share) AS parent FROM counts c JOIN suffixes_shares s USING (suffix) GROUP BY domain),
+{level_sql("domains")},
+hosts AS (SELECT host, c.n, c.k, d.share AS parent FROM counts c JOIN domains_shares d USING (domain)),
+{level_sql("hosts")}
 SELECT page_id, host, path, rule,
-  coalesce(decided, CASE WHEN share - {DEVIATIONS} * sqrt(share * (1 - share) / (n + {PRIOR_PAGES} + 1)) > {BLOCK_SHARE} THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled JOIN judged USING (host)
+  coalesce(decided, CASE WHEN share - {DEVIATIONS} * sqrt(share * (1 - share) / (n + pages + 1)) > {BLOCK_SHARE} THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN hosts_shares USING (host)
 """

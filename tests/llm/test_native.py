@@ -134,3 +134,25 @@ def test_license_rows_without_id_are_scanned_once(spark):
     rows = [(None, text), (1, text), (None, text), (None, "mit license"), (None, None), (2, "")]
     out = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows) and sorted(r.labels for r in out) == ["", "", "mit", "mit,unlicense", "mit,unlicense", "mit,unlicense"]
+
+
+def test_prior_weighs_what_the_groups_differ(spark):
+    def reputation(rows):
+        hosts = spark.createDataFrame(rows, "host string, n long, k long")
+        return {r.host: r for r in url_filter.host_reputation(hosts).collect()}
+
+    alike = reputation([(f"h{i}.site.com", 20, 10) for i in range(20)] + [("new.site.com", 0, 0)])
+    assert all(abs(r.share - 0.5) < 1e-9 for r in alike.values())
+    split = reputation([(f"h{i}.site.com", 20, 20 * (i % 2)) for i in range(20)] + [("new.site.com", 0, 0)])
+    assert split["h1.site.com"].low > 0.5 > split["new.site.com"].low and split["h0.site.com"].share < 0.1
+    groups = spark.createDataFrame([(10, 9, 0.5), (10, 1, 0.5), (4, 4, 0.5), (7, 3, 0.5)], "n long, k long, parent double")
+    excess = sum((k - n * 0.5) ** 2 - n * 0.25 for n, k in ((10, 9), (10, 1), (4, 4), (7, 3)))
+    room = sum(n * 0.25 * (n - 1) for n in (10, 10, 4, 7))
+    assert abs(url_filter.prior_pages(groups).first().pages - (room / excess - 1)) < 1e-9
+    assert url_filter.prior_pages(groups.where("false")).first().pages == url_filter.MOST_PAGES
+
+
+def test_domains_under_listed_suffixes(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",), (None,)], "host string")
+    ending, domain = url_filter.suffix_and_domain(url_filter.F.col("host"))
+    assert [tuple(r) for r in hosts.select(ending, domain).collect()] == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "y.com"), ("com", "com"), ("", ""), (None, None)]
