@@ -3,12 +3,15 @@
 Vectors are floor(1024 * component). A further coordinate sqrt(M^2 - |v|^2) gives all of them the largest norm M, so that
 the largest inner products with a query are the smallest Euclidean distances, a metric. The routing nodes, a bounded
 sample of vectors, hold covering radii and the distance to their parent; every vector of a leaf's pages holds the distance
-to its leaf. Each query first visits the leaf with the least lower bound. The k-th best score so far then discards
-nodes, leaves and vectors by the triangle inequality, without computing their distances; the rest is scored exactly.
-
-Defined cases: null vectors or ids, and vectors with null or non-finite components, take no part; shorter vectors count as
-followed by zeros; an id that is queried twice is one query, and no row with the query's id is its candidate; ties go to
-the smaller id; with fewer than k candidates all are returned; an empty table gives no rows.
+to its leaf. The search is best-first in waves: each query visits its unvisited leaves with the least lower bounds, 1 in
+the first wave and four times as many in each further one. The k-th best score so far discards nodes, leaves and vectors by
+the triangle inequality, without computing their distances; a query ends when no leaf is left within it. Leaves that a
+query has visited are kept with it, so that rounding can't make it skip or repeat one.
+
+Defined cases: null vectors or ids, and vectors with null or non-finite components, take no part; shorter vectors, empty
+ones too, count as followed by zeros; each row that asks is a query of its own, and only itself is not its candidate, so
+that an id that asks in several rows has each rank several times, and other rows with the query's id are candidates; ties go
+to the smaller id; with fewer than k candidates all are returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import checkpointed
+from .common import bounded_batches, checkpointed
 
 SCALE = 1024.0
 #: Bounds of the routing tree and sizes of a page and of a block of queries.
-MAX_LEAVES, LEAF_ROWS, PAGE_ROWS, QUERY_ROWS = 1024, 256, 512, 256
+MAX_LEAVES, LEAF_ROWS, PAGE_ROWS, QUERY_ROWS = 16384, 256, 512, 256
+#: Factor by which a wave visits more leaves of a query than the wave before.
+WIDER = 4
 #: Below this product of dimension and squared component, sums are exact in doubles.
 EXACT = 2.0**52
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "u long, query_id long, vec_id long, score long"
 
 
 @dataclass
@@ -69,12 +74,26 @@ def build_tree(sample: list[tuple[int, list[int]]], dim: int, top: float, widest
     centres = tree.lengthen(integers([v for _, v in sample], dim))
     nodes = centres[:: max(1, int(np.sqrt(len(centres))))]
     apart = distances(centres, nodes)
-    parent = apart.argmin(axis=1)
+    held, parent = np.unique(apart.argmin(axis=1), return_inverse=True)  # of equal nodes only one has leaves
+    nodes, apart = nodes[held], apart[:, held]
     tree.node, tree.leaf, tree.parent, tree.to_parent = nodes, centres, parent, apart[np.arange(len(centres)), parent]
     tree.leaf_radius = np.zeros(len(centres))
     return tree
 
 
+def place_rows(tree: Tree, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest leaf of the nearest node for each vector, and the distance to it."""
+    long = tree.lengthen(v)
+    node = distances(long, tree.node).argmin(axis=1)
+    leaf, dist = np.zeros(len(v), dtype=np.int32), np.zeros(len(v))
+    for at in np.unique(node):
+        rows, leaves = np.flatnonzero(node == at), np.flatnonzero(tree.parent == at)
+        apart = distances(long[rows], tree.leaf[leaves])
+        near = apart.argmin(axis=1)
+        leaf[rows], dist[rows] = leaves[near], apart[np.arange(len(rows)), near]
+    return leaf, dist
+
+
 def cover(tree: Tree, rows: list) -> None:
     """Set the leaves' radii and pages from rows (leaf, radius, n), and from these the nodes' radii."""
     for r in rows:
@@ -104,8 +123,24 @@ def open_leaves(tree: Tree, q: np.ndarray, limit: np.ndarray) -> tuple[np.ndarra
     return bound <= limit[:, None] + slack, bound
 
 
-def search_page(tree: Tree, leaf: int, ids: np.ndarray, dist: np.ndarray, vectors: np.ndarray, qid: np.ndarray, q: np.ndarray, least: np.ndarray, k: int):
-    """(query, vec, score) of the page's k best for each query. The page is ordered by distance to its leaf."""
+def best_leaves(tree: Tree, q: np.ndarray, least: np.ndarray, seen: np.ndarray, step: int) -> np.ndarray:
+    """Which leaves each query visits next: up to `step` unseen ones with the least bounds among those it can't discard."""
+    known = np.isfinite(least)
+    limit = np.where(known, reach(tree, q, np.where(known, least, 0.0)), np.inf)
+    wanted, bound = open_leaves(tree, q, limit)
+    bound[seen | ~wanted] = np.inf
+    order = np.argsort(bound, axis=1, kind="stable")[:, :step]
+    chosen = np.zeros_like(wanted)
+    np.put_along_axis(chosen, order, True, axis=1)
+    return chosen & np.isfinite(bound)
+
+
+def search_page(tree: Tree, leaf: int, page: tuple[np.ndarray, ...], queries: tuple[np.ndarray, ...], q: np.ndarray, least: np.ndarray, k: int):
+    """(query's row and id, vec, score) of the page's k best for each query.
+
+    A page has rows, ids, distances to its leaf, in whose order it is, and vectors; queries have rows and ids.
+    """
+    rows, ids, dist, vectors = page
     slack = 1e-6 + 1e-9 * np.sqrt(tree.top)
     centre = distances(np.hstack([q, np.zeros((len(q), 1))]), tree.leaf[leaf : leaf + 1])[:, 0]
     limit = reach(tree, q, least) + slack
@@ -116,120 +151,142 @@ def search_page(tree: Tree, leaf: int, ids: np.ndarray, dist: np.ndarray, vector
         if part.start >= part.stop:
             continue
         score = vectors[part] @ q[i] if tree.exact else vectors[part].astype(np.int64) @ q[i].astype(np.int64)
-        good = np.flatnonzero((score >= least[i]) & (ids[part] != qid[i]))
+        good = np.flatnonzero((score >= least[i]) & (rows[part] != queries[0][i]))
         order = good[np.lexsort((ids[part][good], -score[good]))[:k]]
-        out.append((np.full(len(order), qid[i]), ids[part][order], score[order].astype(np.int64)))
+        out.append((*[np.full(len(order), x[i]) for x in queries], ids[part][order], score[order].astype(np.int64)))
     return out
 
 
 def usable(vector: Column) -> Column:
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, odd)
+    return vector.isNotNull() & ~F.exists(vector, odd)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("u").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner products for each row that satisfies `queries`."""
     spark = vectors.sparkSession
+    bounded_batches(spark)
     whole = F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * SCALE))
     rows = vectors.where(F.col(id).isNotNull() & usable(F.col(vector))).select(F.col(id).cast("long").alias("i"), whole.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     widest = F.array_max(F.transform("v", lambda x: F.abs(x)))
     facts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("asks"), F.max(F.size("v")).alias("dim"), F.max(norm).alias("top"), F.max(widest).alias("widest")).first()
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not facts["n"] or not facts["asks"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return nothing
     leaves = int(min(MAX_LEAVES, max(1, facts["n"] // LEAF_ROWS)))
     sample = [(r["i"], r["v"]) for r in rows.orderBy(F.xxhash64("i"), "i").limit(leaves).select("i", "v").collect()]
-    tree = build_tree(sample, facts["dim"], float(facts["top"]), float(facts["widest"]))
+    tree = build_tree(sample, max(1, facts["dim"]), float(facts["top"]), float(facts["widest"] or 0))
     routing = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = routing.value
         for pdf in batches:
             v = integers(pdf["v"], t.dim)
-            apart = distances(t.lengthen(v), t.leaf)
-            leaf = apart.argmin(axis=1)
-            yield pd.DataFrame({"i": pdf["i"], "asks": pdf["asks"], "leaf": leaf.astype("int32"), "dist": apart[np.arange(len(v)), leaf], "v": [x.tobytes() for x in v]})
+            leaf, dist = place_rows(t, v)
+            yield pd.DataFrame({"i": pdf["i"], "asks": pdf["asks"], "leaf": leaf, "dist": dist, "v": [x.tobytes() for x in v]})
 
-    placed = checkpointed(rows.mapInPandas(place, "i long, asks boolean, leaf int, dist double, v binary"))
-    cover(tree, placed.groupBy("leaf").agg(F.max("dist").alias("radius"), F.count("*").alias("n")).collect())
+    placed = rows.mapInPandas(place, "i long, asks boolean, leaf int, dist double, v binary")
+    placed = checkpointed(placed.withColumn("u", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("leaf").agg(F.max("dist").alias("radius"), F.count("*").alias("n")).collect()
+    cover(tree, sizes)
     covered = spark.sparkContext.broadcast(tree)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("dist")
-        return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "ids": [pdf["i"].to_numpy().tobytes()], "dists": [pdf["dist"].to_numpy().tobytes()], "vs": [b"".join(pdf["v"])]})
+        packed = {c: [pdf[x].to_numpy().tobytes()] for c, x in (("us", "u"), ("ids", "i"), ("dists", "dist"))}
+        return pd.DataFrame({"leaf": pdf["leaf"].iloc[:1], "page": pdf["page"].iloc[:1], **packed, "vs": [b"".join(pdf["v"])]})
 
-    salt = F.element_at(F.array(*[F.lit(int(n)) for n in tree.pages]), F.col("leaf") + 1)
-    paged = placed.select("i", "leaf", "dist", "v", F.pmod(F.xxhash64("i", F.lit(3)), salt).alias("page"))
-    pages = checkpointed(paged.groupBy("leaf", "page").applyInPandas(pack, "leaf int, ids binary, dists binary, vs binary"))
-    asked = placed.where("asks").dropDuplicates(["i"]).select("i", "v").repartition(-(-facts["asks"] // QUERY_ROWS), "i")
+    # A row for each leaf, MAX_LEAVES at most.
+    counts = spark.createDataFrame([(r["leaf"], int(tree.pages[r["leaf"]])) for r in sizes], "leaf int, pages int")
+    page = F.pmod(F.xxhash64("u", F.lit(3)), F.col("pages")).cast("int")
+    paged = placed.join(F.broadcast(counts), "leaf").select("u", "i", "leaf", "dist", "v", page.alias("page"))
+    pages = checkpointed(paged.groupBy("leaf", "page").applyInPandas(pack, "leaf int, page int, us binary, ids binary, dists binary, vs binary"))
 
-    def blocks(first: bool):
-        """Query blocks for the leaves they open: in the first wave the nearest leaf only, then the others."""
+    def choose(step: int):
+        """Queries with a leaf left, their threshold, the leaves of this wave and all that they have seen."""
 
-        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = covered.value
             for pdf in batches:
                 for at in range(0, len(pdf), QUERY_ROWS):
                     part = pdf.iloc[at : at + QUERY_ROWS]
-                    q, qid = np.frombuffer(b"".join(part["v"]), dtype=float).reshape(-1, t.dim), part["i"].to_numpy()
-                    seeds = q @ t.leaf[:, :-1].T
-                    seeds[qid[:, None] == t.ids[None, :]] = -np.inf
-                    least = np.sort(seeds, axis=1)[:, -k] if seeds.shape[1] >= k else np.full(len(q), -np.inf)
-                    if not first:
-                        least = np.maximum(least, part["least"].to_numpy(dtype=float))
-                    limit = np.where(np.isfinite(least), reach(t, q, np.where(np.isfinite(least), least, 0.0)), np.inf)
-                    # The first wave's choice needs no threshold, so that the second wave finds the same leaf.
-                    nearest = open_leaves(t, q, np.full(len(q), np.inf))[1].argmin(axis=1)
-                    wanted = open_leaves(t, q, limit)[0]
-                    near = np.zeros_like(wanted)
-                    near[np.arange(len(q)), nearest] = True
-                    wanted = near if first else wanted & ~near
-                    leaves = np.flatnonzero(wanted.any(axis=0))
-                    rows_of = [np.flatnonzero(wanted[:, leaf]) for leaf in leaves]
-                    yield pd.DataFrame(
-                        {"leaf": leaves.astype("int32"), "qids": [qid[r].tobytes() for r in rows_of], "qs": [q[r].tobytes() for r in rows_of], "leasts": [least[r].tobytes() for r in rows_of]}
+                    q = np.frombuffer(b"".join(part["v"]), dtype=float).reshape(-1, t.dim)
+                    bits = np.frombuffer(b"".join(part["seen"]), dtype=np.uint8).reshape(len(part), -1)
+                    seen = np.unpackbits(bits, axis=1)[:, : len(t.leaf)].astype(bool)
+                    seeds = q @ t.leaf[:, :-1].T  # scores of the sampled rows, which are candidates themselves
+                    seeds[part["i"].to_numpy()[:, None] == t.ids[None, :]] = -np.inf
+                    least = part["least"].to_numpy(dtype=float)
+                    if seeds.shape[1] >= k:
+                        least = np.maximum(least, np.partition(seeds, -k, axis=1)[:, -k])
+                    chosen = best_leaves(t, q, least, seen, step)
+                    more = np.flatnonzero(chosen.any(axis=1))
+                    after = np.packbits(seen | chosen, axis=1)
+                    yield part[["u", "i", "v"]].iloc[more].assign(
+                        least=least[more], seen=[after[x].tobytes() for x in more], now=[np.flatnonzero(chosen[x]).astype(np.int32).tobytes() for x in more]
                     )
 
-        return route
+        return plan
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The queries that visit a leaf, in blocks."""
+        t = covered.value
+        for pdf in batches:
+            for at in range(0, len(pdf), QUERY_ROWS):
+                part = pdf.iloc[at : at + QUERY_ROWS]
+                q, least = np.frombuffer(b"".join(part["v"]), dtype=float).reshape(-1, t.dim), part["least"].to_numpy(dtype=float)
+                u, qid = part["u"].to_numpy(), part["i"].to_numpy()
+                now = [np.frombuffer(x, dtype=np.int32) for x in part["now"]]
+                leaf, row = np.concatenate(now), np.repeat(np.arange(len(part)), [len(x) for x in now])
+                order = np.argsort(leaf, kind="stable")
+                starts = np.unique(leaf[order], return_index=True)[1]
+                groups = np.split(row[order], starts[1:])
+                visited = leaf[order][starts]
+                yield pd.DataFrame(
+                    {"leaf": visited, "pages": t.pages[visited].astype(np.int32), "qus": [u[r].tobytes() for r in groups], "qids": [qid[r].tobytes() for r in groups], "qs": [q[r].tobytes() for r in groups], "leasts": [least[r].tobytes() for r in groups]}
+                )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = covered.value
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                ids, dist = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.dists, dtype=float)
-                vs, q = np.frombuffer(r.vs, dtype=float).reshape(-1, t.dim), np.frombuffer(r.qs, dtype=float).reshape(-1, t.dim)
-                out += search_page(t, r.leaf, ids, dist, vs, np.frombuffer(r.qids, dtype=np.int64), q, np.frombuffer(r.leasts, dtype=float), k)
+                us, ids, qus, qids = (np.frombuffer(x, dtype=np.int64) for x in (r.us, r.ids, r.qus, r.qids))
+                vs, q = (np.frombuffer(x, dtype=float).reshape(-1, t.dim) for x in (r.vs, r.qs))
+                out += search_page(t, r.leaf, (us, ids, np.frombuffer(r.dists, dtype=float), vs), (qus, qids), q, np.frombuffer(r.leasts, dtype=float), k)
             if out:
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    block_schema = "leaf int, qids binary, qs binary, leasts binary"
-
-    def wave(asking: DataFrame, first: bool) -> DataFrame:
-        routed = asking.mapInPandas(blocks(first), block_schema)
-        met = pages.join(routed, "leaf").select("leaf", "ids", "dists", "vs", "qids", "qs", "leasts")
-        return checkpointed(met.mapInPandas(search, FOUND))
-
-    nearest = wave(asked, True)
-    kth = best(nearest, k).where(F.col("rank") == k).select(F.col("query_id").alias("i"), F.col("score").cast("double").alias("least"))
-    lowest = F.coalesce("least", F.lit(float("-inf"))).alias("least")
-    others = wave(asked.join(kth, "i", "left").select("i", "v", lowest), False)
-    return best(nearest.unionByName(others), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                yield pd.DataFrame(dict(zip(("u", "query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    unseen = F.lit(bytearray(-(-len(tree.leaf) // 8)))
+    asked = placed.where("asks").select("u", "i", "v", F.lit(float("-inf")).alias("least"), unseen.alias("seen"))
+    asked, found, step = asked.repartition(-(-facts["asks"] // QUERY_ROWS), "u"), None, 1
+    while True:
+        plan = checkpointed(asked.mapInPandas(choose(step), "u long, i long, v binary, least double, seen binary, now binary"))
+        if plan.isEmpty():
+            break
+        routed = plan.mapInPandas(blocks, "leaf int, pages int, qus binary, qids binary, qs binary, leasts binary")
+        routed = routed.withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1))).drop("pages")
+        hits = pages.join(routed, ["leaf", "page"]).select("leaf", "us", "ids", "dists", "vs", "qus", "qids", "qs", "leasts").mapInPandas(search, FOUND)
+        found = checkpointed(best(hits if found is None else hits.unionByName(found.drop("rank")), k))
+        kth = found.where(F.col("rank") == k).select("u", F.col("score").cast("double").alias("kth"))
+        asked = plan.join(kth, "u", "left").select("u", "i", "v", F.greatest("least", "kth").alias("least"), "seen")
+        step *= WIDER
+    return nothing if found is None else found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE_SQL = """
-WITH whole AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
-ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.r <> c.r),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """

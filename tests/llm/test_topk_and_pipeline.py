@@ -43,11 +43,44 @@ def test_search_edge_cases(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (None, [9.0, 9.0]), (7, [-3.0, 0.5]), (8, []), (10, [4.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk_search.top_k(df, F.col("vec_id") % 10 == 0, 10).collect()
-    assert sorted((r.query_id, r.vec_id) for r in got) == [(0, 1), (0, 7), (0, 10), (10, 0), (10, 1), (10, 7)]
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(0, 1), (0, 7), (0, 8), (0, 10), (10, 0), (10, 1), (10, 7), (10, 8)]
     assert topk_search.top_k(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0
     assert topk_search.top_k(df, F.lit(False)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_candidates_of_each_other(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"u": F.lit("x"), "page": F.lit("y")})
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score >> 20) for r in topk_search.top_k(df, F.col("vec_id") == 0, 3).collect())
+    brute = []
+    for a, (i, v) in enumerate(rows):
+        if i == 0:
+            order = sorted((-int(v[0] * w[0] + v[1] * w[1]), j) for b, (j, w) in enumerate(rows) if a != b)[:3]
+            brute += [(i, n + 1, j, -s) for n, (s, j) in enumerate(order)]
+    assert got == sorted(brute)
+    empty = spark.createDataFrame([(0, []), (1, [])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk_search.top_k(empty, F.col("vec_id") == 0, 3).collect()] == [(0, 1, 1, 0)]
+
+
+def test_clustered_vectors_leave_most_leaves_unvisited():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 4000
+    v = np.floor(centres[rng.integers(40, size=4000)] + rng.normal(size=(4000, 16)) * 40)
+    top = float((v * v).sum(axis=1).max())
+    tree = topk_search.build_tree([(i, x.tolist()) for i, x in enumerate(v[:200])], 16, top, float(np.abs(v).max()))
+    leaf, dist = topk_search.place_rows(tree, v)
+    topk_search.cover(tree, [{"leaf": at, "radius": dist[leaf == at].max(), "n": int((leaf == at).sum())} for at in np.unique(leaf)])
+    q = v[-50:]
+    scores = q @ v.T
+    least, seen, visited = np.full(50, -np.inf), np.zeros((50, 200), dtype=bool), 0
+    for step in (1, 4, 16, 64, 256):
+        chosen = topk_search.best_leaves(tree, q, least, seen, step)
+        visited, seen = visited + chosen.sum(), seen | chosen
+        held = np.where(seen[:, leaf], scores, -np.inf)
+        least = np.sort(held, axis=1)[:, -10]
+    assert (least == np.sort(scores, axis=1)[:, -10]).all() and visited < 0.35 * seen.size
+
+
 def test_stages_take_effect_and_keep_clean_documents(spark):
     docs = table(spark, FOLDER, "documents")
     bench = table(spark, FOLDER, "benchmark").first().text
