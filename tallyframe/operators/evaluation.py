@@ -54,8 +54,8 @@ def segments(df: DataFrame, masks: dict[str, Column], y: str, p: str) -> DataFra
 def cluster_bootstrap(df: DataFrame, cluster: str, y: str, base: str, candidate: str, replicates: int = 2000, seed: int = 7) -> dict[str, float]:
     """Mean change of the squared error and its 95 % interval by resampling clusters.
 
-    Spark sums by cluster and deals the clusters into 1,024 strata; resampling works on these sums. Weights are Poisson,
-    drawn in the tasks from seed and cluster, so no cluster leaves its task.
+    Spark sums by cluster; resampling works on these sums. Weights are Poisson, drawn in the tasks from seed and cluster,
+    so no cluster leaves its task.
     """
     delta = squared(F.col(candidate), F.col(y)) - squared(F.col(base), F.col(y))
     sums = df.groupBy(cluster).agg(F.sum(delta).alias("d"), F.count("*").alias("n")).withColumn("h", F.xxhash64(F.col(cluster), F.lit(seed)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -176,7 +176,3 @@ def expand_from_history(queries: DataFrame, history: DataFrame, keys: Sequence[s
     sample = evenly_spaced(history.select(entity, *order, value), [entity], order, n)
     means = wanted.join(sample, entity).groupBy(*keys).agg(F.avg(value).alias("mean"), F.count("*").alias("sampled"))
     return queries.join(means, list(keys), "left")
-
-
-def ratio_of(x: Column, y: Column) -> Column:
-    return F.when(y > 0, x / y)

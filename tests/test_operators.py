@@ -10,6 +10,7 @@ from tallyframe.functions import scalar as S
 from tallyframe.operators import aggregates as A
 from tallyframe.operators import evaluation as V
 from tallyframe.operators import joins as J
+from tallyframe.operators import profiles as P
 from tallyframe.operators import rows as R
 from tallyframe.operators import states as E
 from tallyframe.operators import windows as W
@@ -270,3 +271,30 @@ def test_global_numbers_have_no_gaps(spark):
         got = W.global_number(df, ["k", "id"], "n", buckets).orderBy("k", "id").collect()
         assert [r.n for r in got] == list(range(500))
     assert W.global_number(df.where("false"), ["k", "id"], "n").count() == 0
+
+
+def test_standardise_and_codes_with_nulls(spark):
+    df = frame(spark, [(1, 1.0), (2, None), (3, 3.0), (4, 8.0)], "i int, x double")
+    got = {r.i: r.z for r in R.standardise(df, df, "x", "z").collect()}
+    mean, sd = 4.0, float(np.std([1.0, 3.0, 8.0]))
+    assert got[2] == pytest.approx((3.0 - mean) / sd) and got[4] == pytest.approx((8.0 - mean) / sd)
+    codes = R.ordinal_encode(frame(spark, [("b",), (None,), ("z",)], "c string"), frame(spark, [("b",), ("a",), ("b",), (None,)], "c string"), "c", "code")
+    assert {r.c: r.code for r in codes.collect()} == {"b": 2, None: 0, "z": 0}
+
+
+def test_ridge_and_coordinate_search_reach_their_optimum():
+    x = np.array([[1.0, 0.0], [1.0, 1.0], [1.0, 2.0], [1.0, 3.0]])
+    y = np.array([1.0, 3.0, 5.0, 7.0])
+    q, c = x.T @ x, x.T @ y
+    gram = {"g_a_a": q[0, 0], "g_a_b": q[0, 1], "g_b_b": q[1, 1], "g_a_y": c[0], "g_b_y": c[1]}
+    fit = V.ridge(gram, ["a", "b"], "y", 0.0)
+    assert (fit["a"], fit["b"]) == (pytest.approx(1.0), pytest.approx(2.0))
+    w, least = V.coordinate_search(np.array([[2.0, 0.0], [1.6, 0.0]]), np.array([np.eye(2), np.eye(2)]), [i / 10 for i in range(11)])
+    assert w.tolist() == [pytest.approx(0.8), 0.0] and least == pytest.approx(1.6 * 0.8 - 0.64)
+
+
+def test_archetypes_part_two_clouds(spark):
+    rows = [(i, float(i % 2 * 50 + i % 5), float(i % 2 * 50 + i % 3) if i else None) for i in range(40)]
+    out = {r.id: r for r in P.archetypes(frame(spark, rows, "id int, a double, b double"), "id", ["a", "b"], 1, 2).collect()}
+    assert len(out) == 40 and all(r.margin >= 0 for r in out.values())
+    assert len({out[i].archetype for i in range(2, 40, 2)}) == 1 and out[2].archetype != out[3].archetype
