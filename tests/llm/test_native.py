@@ -99,7 +99,7 @@ def test_surrogates_are_consistent_distinct_and_typed(spark):
     text = "Mr. John Smith and Mrs Anna Smith wrote to jo.doe@mail.example.com, JO.DOE@MAIL.EXAMPLE.COM from 10.0.0.7; card 4111 1111 1111 1111 or 4111111111111111, +1 (456) 555-2186, +1 456 555 2186, DE89370400440532013000, 123-45-6789."
     rows = [(i, text) for i in range(3)] + [(10, None), (11, ""), (None, "see 8.8.8.8"), (12, "nothing here"), (13, "a" * 300_000 + " 9.9.9.9"), (14, "Señora Ана and Mr Иван")] + [(100 + i, f"user{i}@mail.example.com at 10.1.{i}.1") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash"))
-    out = {r.doc_id: r for r in pii.replace_personal_data(docs).collect()}
+    out = {r.doc_id: r for r in pii.replace_personal_data(docs, "test key").collect()}
     assert len(out) == len(rows) and out[10].text is None and out[11].text == "" and out[12].text == "nothing here"
     new = out[0].text
     assert new == out[1].text == out[2].text
@@ -118,17 +118,56 @@ def test_surrogates_are_consistent_distinct_and_typed(spark):
     others = {re.search(r"\S+@\S+", out[100 + i].text)[0] for i in range(200)}
     assert len(others) == 200 and len({out[100 + i].text.split()[-1] for i in range(200)}) == 200
     assert out[0].kinds == "card:2,email:2,iban:1,ip:1,name:2,phone:2,ssn:1" and out[0].n_entities == 11
-    assert pii.replace_personal_data(docs.where("false")).count() == 0
+    assert pii.replace_personal_data(docs.where("false"), "test key").count() == 0
 
 
 def test_no_original_of_the_corpus_stays(spark):
     docs = table(spark, FOLDER, "documents")
-    out = {r.doc_id: r.text for r in pii.replace_personal_data(docs).collect()}
+    out = {r.doc_id: r.text for r in pii.replace_personal_data(docs, "test key").collect()}
     for r in docs.collect():
         for x in re.findall(r"[a-z]+\.\d\d@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}", r.text):
             assert x not in out[r.doc_id]
 
 
+def test_bare_names_follow_their_titled_mention(spark):
+    texts = [
+        "Mr. John Smith met Mary. Smith said John is late. SMITH left. Blacksmith and Johnny stay.",
+        "Mrs Anna-Maria O'Neil and Dr. Paul Jones. O'Neil called Jones.",
+        "Smith and John have no title here.",
+        "Call (555) 123-4567 or 555-123-4567 or 555.123.4567, from 2001:db8::7 or 2001:0DB8:0:0:0:0:0:7, not at 10:20:30 of 1.2.3.",
+        "Госпожа Анна Иванова и Господин Пётр Иванов. Иванова ушла. Κύριος Νίκος Παππάς, Παππάς.",
+    ]
+    out = {r.doc_id: r for r in pii.replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "test key").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mary\. (\w+) said (\w+) is late\. (\w+) left\. Blacksmith and Johnny stay\.", out[0].text)
+    assert m[3] == m[2] != "Smith" and m[4] == m[1] != "John" and m[5] == m[2].upper() and out[0].kinds == "name:4" and out[0].n_entities == 4
+    assert m[1] in pii.FIRST_NAMES["m"]
+    m = re.fullmatch(r"Mrs (\w+)-(\w+) (\w+) and Dr\. (\w+) (\w+)\. (\w+) called (\w+)\.", out[1].text)
+    assert m[6] == m[3] and m[7] == m[5] and m[1] in pii.FIRST_NAMES["f"] and m[4] in pii.FIRST_NAMES["n"] and "Maria" not in out[1].text
+    assert out[2].text == texts[2] and out[2].n_entities == 0
+    m = re.fullmatch(r"Call \((\d{3})\) (\d{3})-(\d{4}) or \1-\2-\3 or \1\.\2\.\3, from ([0-9a-f:]{39}) or (\S{39}), not at 10:20:30 of 1\.2\.3\.", out[3].text)
+    assert m and "123" not in m[2] and m[5].lower() == m[4] and out[3].kinds == "ipv6:2,phone:3"
+    m = re.fullmatch(r"Госпожа (\w+) (\w+ова) и Господин (\w+) (\w+ов)\. (\w+) ушла\. Κύριος (\w+) (\w+), (\w+)\.", out[4].text)
+    assert m[5] == m[2] and m[8] == m[7] and m[1] in pii.CYRILLIC_NAMES["f"] and m[3] in pii.CYRILLIC_NAMES["m"] and m[6] in pii.GREEK_NAMES["m"]
+
+
+def test_dense_numbers_are_permuted(spark):
+    phones = [("phone", f"1555{i:05d}") for i in range(3000)]
+    cards = [("card", f"41111111{i:06d}") for i in range(3000)]
+    rows = phones + cards + [("ssn", f"{i:09d}") for i in range(500)] + [("first_m", f"n{i}") for i in range(60)]
+    for draws in (0, 12):
+        out = pii.distinct_surrogates(spark.createDataFrame(rows, "type string, canonical string"), "test key", draws).collect()
+        assert sorted((r.type, r.canonical) for r in out) == sorted(rows)
+        assert len({(r.type, r.sub) for r in out}) == len(rows)
+        assert all(len(r.sub) == len(r.canonical) and r.sub[:1] == r.canonical[:1] for r in out if r.type in ("phone", "card"))
+        passes = lambda d: sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+        assert all(passes(r.sub) == passes(r.canonical) for r in out if r.type == "card")
+
+
+def test_a_key_is_required(spark):
+    with pytest.raises(ValueError):
+        pii.replace_personal_data(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
+
+
 def test_license_rows_without_id_are_scanned_once(spark):
     text = "MIT license. This is free and unencumbered software released into the public domain"
     rows = [(None, text), (1, text), (None, text), (None, "mit license"), (None, None), (2, "")]
