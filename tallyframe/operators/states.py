@@ -139,18 +139,19 @@ def leave_one_out_hierarchy(df: DataFrame, season: str, target: str, levels: Seq
     """
     own = F.lit(0) if scoring else F.col(target)
     one = F.lit(0) if scoring else F.lit(1)
-
-    def counts(out: DataFrame, keys: Sequence[str], i: int) -> DataFrame:
-        table = df.groupBy(*keys, season).agg(F.sum(target).alias(f"_s{i}"), F.count("*").alias(f"_n{i}"))
-        if scoring:
-            table = table.withColumn(season, F.col(season) + 1)
-        return out.join(table, [*keys, season], "left")
-
-    out = counts(df, [], 99)
+    # All levels are summed from the finest cells, and meet the rows in one join; null keys keep their coarser levels.
+    cell = [*dict.fromkeys(c for _, keys, _ in levels for c in keys), season]
+    sums = df.groupBy(*cell).agg(F.sum(target).alias("_s"), F.count("*").alias("_n"))
+    out = sums.select(*cell)
+    for i, keys in ((99, []), *((i, keys) for i, (_, keys, _) in enumerate(levels))):
+        table = sums.groupBy(*keys, season).agg(F.sum("_s").alias(f"_s{i}"), F.sum("_n").alias(f"_n{i}"))
+        out = out.join(table.withColumn(season, F.col(season) + 1) if scoring else table, [*keys, season], "left")
+    renamed = out.withColumnsRenamed({c: f"_key_{c}" for c in cell})
+    same = [df[c].eqNullSafe(renamed[f"_key_{c}"]) for c in cell]
+    out = df.join(renamed, same, "left").drop(*[f"_key_{c}" for c in cell])
     parent = F.when(F.col("_n99") - one > 0, (F.col("_s99") - own) / F.greatest(F.col("_n99") - one, F.lit(1))).otherwise(0.5)
     columns = {}
     for i, (name, keys, k) in enumerate(levels):
-        out = counts(out, keys, i)
         n = F.greatest(F.coalesce(F.col(f"_n{i}"), F.lit(0)) - one, F.lit(0))
         rate = shrink(F.coalesce(F.col(f"_s{i}"), F.lit(0)) - F.when(F.col(f"_n{i}").isNull(), 0).otherwise(own), n, k, parent)
         trust = n / (n + k)

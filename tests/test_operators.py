@@ -298,3 +298,19 @@ def test_archetypes_part_two_clouds(spark):
     out = {r.id: r for r in P.archetypes(frame(spark, rows, "id int, a double, b double"), "id", ["a", "b"], 1, 2).collect()}
     assert len(out) == 40 and all(r.margin >= 0 for r in out.values())
     assert len({out[i].archetype for i in range(2, 40, 2)}) == 1 and out[2].archetype != out[3].archetype
+
+
+def test_leave_one_out_hierarchy_by_hand_with_null_keys(spark):
+    rows = [(1, 1, "a", 1.0), (2, 1, "a", 0.0), (3, 1, "b", 1.0), (4, 1, None, 1.0), (5, 2, "a", 0.0)]
+    df = frame(spark, rows, "id int, season int, k string, y double")
+    levels = [("all", [], 10.0), ("k", ["k"], 2.0)]
+    own = {r.id: r for r in E.leave_one_out_hierarchy(df, "season", "y", levels).collect()}
+    assert len(own) == len(rows)
+    # Row 1: the others of season 1 are 0, 1, 1; the other row of "a" is 0.
+    assert own[1].all_rate == pytest.approx(2 / 3) and own[1].k_rate == pytest.approx((0 + 2.0 * own[1].all_rate) / 3)
+    # A null key is no group, but its row keeps the level above; row 5 is alone in its season.
+    assert own[4].all_rate == pytest.approx(2 / 3) and own[4].k_rate == pytest.approx(own[4].all_rate)
+    assert own[5].all_rate == 0.5 and own[5].k_rate == 0.5
+    past = {r.id: r for r in E.leave_one_out_hierarchy(df, "season", "y", levels, scoring=True).collect()}
+    assert past[5].all_rate == pytest.approx(3 / 4) and past[5].k_rate == pytest.approx((1 + 2.0 * past[5].all_rate) / 4)
+    assert past[1].all_rate == past[1].k_rate == 0.5
