@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from . import license_scan, mixing, topk_search, url_filter
+from . import license_scan, mixing, quality_rules, topk_search, url_filter
 from .decontaminate import find_contamination
 from .language_id import fit_language_model, identify_languages
 from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .pii import replace_personal_data
+from .quality_rules import judge_quality
 from .secret_scan import learn_formats, scan_secrets
 from .simhash import near_duplicate_classes
 from .topk_search import top_k
@@ -69,6 +70,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents")).drop("lang", "source", "n_lines")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_topk_search": op9_topk_search,
     "op10_url_filter": op10_url_filter,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
@@ -87,4 +93,5 @@ ORACLES: dict[str, str] = {
     "op8_mixing": mixing.ORACLE_SQL,
     "op9_topk_search": topk_search.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op13_quality_rules": quality_rules.ORACLE_SQL,
 }
