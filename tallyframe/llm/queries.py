@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from . import license_scan, mixing, quality_rules, topk_search, url_filter
+from . import lexical_search, license_scan, mixing, quality_rules, topk_search, url_filter
 from .decontaminate import find_contamination
 from .language_id import fit_language_model, identify_languages
+from .lexical_search import lexical_top_k
 from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .pii import replace_personal_data
@@ -70,6 +71,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents")).drop("lang", "source", "n_lines")
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_topk_search": op9_topk_search,
     "op10_url_filter": op10_url_filter,
+    "op12_lexical_search": op12_lexical_search,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -93,5 +99,6 @@ ORACLES: dict[str, str] = {
     "op8_mixing": mixing.ORACLE_SQL,
     "op9_topk_search": topk_search.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
     "op13_quality_rules": quality_rules.ORACLE_SQL,
 }
