@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, table
-from . import lexical_search, license_scan, mixing, quality_rules, topk_search, url_filter
+from . import lexical_search, license_scan, mixing, prefix_trie, quality_rules, topk_search, url_filter
 from .decontaminate import find_contamination
 from .language_id import fit_language_model, identify_languages
 from .lexical_search import lexical_top_k
 from .license_scan import scan_licenses
 from .mixing import mix_sources
 from .pii import replace_personal_data
+from .prefix_trie import conversation_trie
 from .quality_rules import judge_quality
 from .secret_scan import learn_formats, scan_secrets
 from .simhash import near_duplicate_classes
@@ -71,6 +72,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_topk_search": op9_topk_search,
     "op10_url_filter": op10_url_filter,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_lexical_search": op12_lexical_search,
     "op13_quality_rules": op13_quality_rules,
 }
@@ -99,6 +105,7 @@ ORACLES: dict[str, str] = {
     "op8_mixing": mixing.ORACLE_SQL,
     "op9_topk_search": topk_search.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
     "op12_lexical_search": lexical_search.ORACLE_SQL,
     "op13_quality_rules": quality_rules.ORACLE_SQL,
 }
