@@ -7,31 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def sessionise(df: DataFrame, season: str, order: Sequence[str], keys: Sequence[str], falling: Sequence[str], out: str = "session") -> DataFrame:
     """Number sessions in order: one starts where a key changes or a value that should grow falls.
 
-    A new season always starts one. The rows are dealt into ranges of the first order column; each range of a season
-    takes over the last row of the one before it, and its sessions are shifted by those of all ranges before. No window
-    spans a season.
+    A new season always starts one. Rows are numbered within ranges of the order (see deal_ranges). Whether a range's first
+    row starts a session is decided by the last row of the range before, in a table of one row for each range.
     """
-    dealt = deal_ranges(df, order[0], "_range")
-    watched = [*dict.fromkeys([*keys, *falling])]
-    w = Window.partitionBy(season, "_range").orderBy(*order)
-    ends = dealt.groupBy(season, "_range").agg(F.max_by(F.struct(F.lit(1).alias("_one"), *watched), F.struct(*order)).alias("_end"))
-    carried = ends.select(season, "_range", F.lag("_end").over(Window.partitionBy(season).orderBy("_range")).alias("_carried"))
-    marked = dealt.join(F.broadcast(carried), [season, "_range"]).withColumn("_prior", F.coalesce(F.lag(F.struct(F.lit(1).alias("_one"), *watched)).over(w), F.col("_carried")))
-    starts = F.col("_prior").isNull()
-    for k in keys:
-        starts |= ~F.col(k).eqNullSafe(F.col("_prior")[k])
-    for v in falling:
-        starts |= F.coalesce(F.col(v) < F.col("_prior")[v], F.lit(False))
-    marked = marked.withColumn("_starts", starts.cast("long"))
-    local = marked.withColumn("_local", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = marked.groupBy(season, "_range").agg(F.sum("_starts").alias("_n"))
-    offsets = parts.select(season, "_range", F.coalesce(F.sum("_n").over(Window.orderBy(season, "_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = local.join(F.broadcast(offsets), [season, "_range"]).withColumn(out, F.col("_local") + F.col("_before") - 1)
-    return numbered.drop("_starts", "_local", "_before", "_range", "_prior", "_carried")
+    watched = [*dict.fromkeys([season, *keys, *falling])]
+    row = F.struct(*watched)
+
+    def starts(now: Column, prior: Column) -> Column:
+        found = prior.isNull()
+        for k in (season, *keys):
+            found |= ~now[k].eqNullSafe(prior[k])
+        for v in falling:
+            found |= F.coalesce(now[v] < prior[v], F.lit(False))
+        return found.cast("long")
+
+    order = [season, *order]
+    w = Window.partitionBy("_range").orderBy(*order)
+    marked = deal_ranges(df, order).withColumn("_row", row).withColumn("_starts", F.when(F.row_number().over(w) == 1, 0).otherwise(starts(F.col("_row"), F.lag("_row").over(w))))
+    local = stored(marked.withColumn("_local", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    place = F.struct(*order)
+    ranges = local.groupBy("_range").agg(F.min_by("_row", place).alias("_first"), F.max_by("_row", place).alias("_last"), F.max("_local").alias("_n"))
+    ranges = ranges.withColumn("_opens", starts(F.col("_first"), F.lag("_last").over(Window.orderBy("_range"))))
+    before = F.sum(F.col("_n") + F.col("_opens")).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    return local.join(ranges.select("_range", before.alias("_before")), "_range").withColumn(out, F.col("_local") + F.col("_before") - 1).drop("_starts", "_local", "_before", "_range", "_row")
 
 
 def running_index(keys: Sequence[str], order: Sequence[str]) -> Column:
@@ -62,36 +66,25 @@ def best_rank(order: Sequence, *keys: str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
 
 
-def deal_ranges(df: DataFrame, column: str, out: str, buckets: int = 1024) -> DataFrame:
-    """df with the range of each row in the sort order of a column, from 0; nulls lie in the first.
+def deal_ranges(df: DataFrame, order: Sequence[str], out: str = "_range") -> DataFrame:
+    """df with the number of the range in which each row lies in a total order. Null values come first.
 
-    Numbers and times are cut at approximate quantiles. Other types are cut at those of the distinct values whose hash
-    falls in one residue, about `buckets` of them. Cut points only deal the rows: every row has a range.
+    The ranges are the partitions of a range shuffle, as many as spark.sql.shuffle.partitions or fewer. Use the result once
+    and store what comes of it: another evaluation may cut elsewhere.
     """
-    kind = dict(df.dtypes)[column]
-    if kind in ("string", "binary", "boolean") or kind.startswith(("struct", "array")):
-        values = df.select(F.col(column).alias("_v")).where("_v is not null").distinct()
-        step = max(1, values.count() // buckets)
-        cuts = values.where(F.pmod(F.xxhash64("_v"), F.lit(step)) == 0).agg(F.sort_array(F.collect_list("_v")).alias("_cuts"))
-        key = F.col(column)
-    else:
-        key = (F.col(column).cast("timestamp") if kind.startswith(("timestamp", "date")) else F.col(column)).cast("double")
-        empty = F.array().cast("array<double>")
-        cuts = df.agg(F.coalesce(F.percentile_approx(key, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(10 * buckets)), empty).alias("_cuts"))
-    return df.crossJoin(F.broadcast(cuts)).withColumn(out, F.size(F.filter("_cuts", lambda c: c < key))).drop("_cuts")
-
-
-def global_number(df: DataFrame, order: Sequence[str], out: str, buckets: int = 1024) -> DataFrame:
+    return df.repartitionByRange(*order).withColumn(out, F.spark_partition_id())
+
+
+def global_number(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """Number all rows from 0 in a total order without a single task that holds them.
 
-    The rows are dealt into ranges of the first order column; the places inside a range are shifted by the rows of the
-    ranges before.
+    Places inside a range of the order are shifted by the rows of the ranges before, a table of one row for each range.
     """
-    dealt = deal_ranges(df, order[0], "_range", buckets)
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    shift = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.withColumn("_place", place).join(F.broadcast(shift), "_range").withColumn(out, F.col("_place") + F.col("_before") - 1).drop("_range", "_place", "_before")
+    dealt = stored(deal_ranges(df, order).withColumn("_place", place))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    return dealt.join(sizes.select("_range", before.alias("_before")), "_range").withColumn(out, F.col("_place") + F.col("_before") - 1).drop("_range", "_place", "_before")
 
 
 def first_seen_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-made frames and properties: ties, nulls, leakage, invariance, empty history."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -100,6 +101,25 @@ def test_sessions_start_on_change_and_fall(spark):
     assert [r.session for r in out] == [0, 0, 1, 2, 3, 4, 4]
 
 
+def test_sessions_over_many_ranges_equal_one_pass(spark):
+    rnd = random.Random(3)
+    rows = [(i // 70, i, rnd.choice("aab"), rnd.randrange(4)) for i in range(400)]
+    want, prior, n = [], None, -1
+    for s, _, k, v in rows:
+        n += prior is None or (s, k) != prior[:2] or v < prior[2]
+        prior = (s, k, v)
+        want.append(n)
+    df = frame(spark, rows, "s int, o int, k string, v int").repartition(5)
+    got = W.sessionise(df, "s", ["o"], ["k"], ["v"]).orderBy("o").collect()
+    assert [r.session for r in got] == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = W.sessionise(df, "s", ["o"], ["k"], ["v"]).orderBy("o").collect()
+        assert [r.session for r in got] == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_rolling_needs_a_full_window(spark):
     df = frame(spark, [(1, i, i) for i in range(1, 5)], "g int, o int, v int")
     out = df.select("o", W.rolling_sum(F.col("v"), ["g"], ["o"], 2).alias("s")).orderBy("o").collect()
@@ -267,8 +287,8 @@ def test_quantiles_of_large_groups(spark):
 
 def test_global_numbers_have_no_gaps(spark):
     df = spark.range(500).selectExpr("cast(id % 37 as double) as k", "id")
-    for buckets in (2, 16):
-        got = W.global_number(df, ["k", "id"], "n", buckets).orderBy("k", "id").collect()
+    for parts in (2, 16):
+        got = W.global_number(df.repartition(parts), ["k", "id"], "n").orderBy("k", "id").collect()
         assert [r.n for r in got] == list(range(500))
     assert W.global_number(df.where("false"), ["k", "id"], "n").count() == 0
 
