@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import samples as P
+from ..operators.intervals import interval_join, seconds_since_1970
 from ..registry import query, r6
 
 
@@ -185,3 +186,15 @@ SELECT entity, line, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (entity, line)
 def jn21(t):
     n = t.ev.where("season = 1998").groupBy("entity", "line").agg(F.count("*").alias("n"))
     return J.grid(t.ev, {"entity": None, "line": [1, 2, 3, 8]}, n, {"n": 0})
+
+
+@query("rng1_interval_join", """WITH o AS (SELECT o_orderkey, 1704067200 + CAST(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS BIGINT) * 1078 + o_orderkey % 1078 AS placed FROM orders),
+p AS (SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS opens, CAST(floor(epoch(ts)) AS BIGINT) + CAST(floor(value * 10) AS BIGINT) AS closes FROM events WHERE event_type = 'purchase')
+SELECT o_orderkey, event_id, least(placed + 600, closes) - greatest(placed, opens) AS shared FROM o JOIN p ON placed <= closes AND opens <= placed + 600""")
+def rng1(t):
+    placed = F.lit(1704067200) + F.date_diff("o_orderdate", F.lit("1995-01-01").cast("date")).cast("long") * 1078 + F.col("o_orderkey") % 1078
+    orders = t.orders.select("o_orderkey", placed.alias("placed")).withColumn("kept_until", F.col("placed") + 600)
+    opens = F.floor(seconds_since_1970(F.col("ts"))).cast("long")
+    offers = t.events.where("event_type = 'purchase'").select("event_id", opens.alias("opens"), (opens + F.floor(F.col("value") * 10)).alias("closes"))
+    pairs = interval_join(orders, offers, ("placed", "kept_until"), ("opens", "closes"))
+    return pairs.select("o_orderkey", "event_id", (F.least("kept_until", "closes") - F.greatest("placed", "opens")).alias("shared"))
