@@ -122,32 +122,6 @@ def identity_map(rows: DataFrame, a: str, b: str, purity: float, injective: bool
     return out
 
 
-def align_sequences(a: DataFrame, b: DataFrame, pairs: DataFrame, left: str, right: str, order: str, state: str, least: float) -> DataFrame:
-    """Rows of matched groups paired along the longest matching blocks of their states.
-
-    left, right, order_a, order_b for the groups whose ratio 2 * matched / (n1 + n2) is at least `least`. A group is one
-    game or basket, short by nature; groups are spread over the cluster.
-    """
-    import difflib
-
-    import pandas as pd
-
-    def side(rows: DataFrame, key: str) -> DataFrame:
-        joined = pairs.select(left, right).join(rows.select(F.col(key).alias("_key"), F.col(order).alias("o"), F.col(state).alias("s")), F.col(key) == F.col("_key"))
-        return joined.select(F.col(left).alias(left), F.col(right).alias(right), F.col("o").alias("o"), F.col("s").alias("s"))
-
-    x, y = side(a, left), side(b, right)
-
-    def one(key, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        p, q = p.sort_values("o"), q.sort_values("o")
-        blocks = difflib.SequenceMatcher(None, p["s"].tolist(), q["s"].tolist(), autojunk=False).get_matching_blocks()
-        rows = [(*key, p["o"].iat[m.a + i], q["o"].iat[m.b + i]) for m in blocks for i in range(m.size)]
-        ok = len(p) + len(q) and 2 * len(rows) / (len(p) + len(q)) >= least
-        return pd.DataFrame(rows if ok else [], columns=[left, right, "order_a", "order_b"])
-
-    return x.groupBy(left, right).cogroup(y.groupBy(left, right)).applyInPandas(one, f"{left} long, {right} long, order_a long, order_b long")
-
-
 def nearest_prototypes(queries: DataFrame, prototypes: DataFrame, bucket: str, id: str, other: str, vector: str, k: int) -> DataFrame:
     """The k prototypes of the query's own bucket that are nearest by Euclidean distance: id, other, dist, rank.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins as J
 from ..operators import samples as P
+from ..operators import similarity as M
 from ..operators.intervals import interval_join, seconds_since_1970
 from ..registry import query, r6
 
@@ -128,14 +129,41 @@ def jn14(t):
     return J.mutual_best(scored, "basket", "other", "dice", 0.05).select("basket", "other")
 
 
-@query("jn15_sequence_alignment")
+@query("jn12_similar_candidates", SIMILAR + " SELECT basket, other FROM d WHERE dice >= 0.6")
+def jn12_similar(t):
+    a, b = logs(t)
+    return M.similar_pairs(a, b, "basket", "other", "state", 0.6, ["part", "line"]).select("basket", "other")
+
+
+@query("jn13_similar_pairs", SIMILAR.replace("JOIN b USING (part, line)", "JOIN b USING (state)") + " SELECT basket, other, round(dice, 6) AS dice, round(jaccard, 6) AS jaccard FROM d WHERE dice >= 0.4")
+def jn13_similar(t):
+    a, b = logs(t)
+    out = M.similar_pairs(a, b, "basket", "other", "state", 0.4)
+    return out.select("basket", "other", r6("dice").alias("dice"), r6("jaccard").alias("jaccard"))
+
+
+@query("jn14_best_links", SIMILAR + """, r AS (SELECT *, row_number() OVER x AS ra, row_number() OVER y AS rb, dice - coalesce(lead(dice) OVER x, 0) AS ma, dice - coalesce(lead(dice) OVER y, 0) AS mb FROM d WINDOW x AS (PARTITION BY basket ORDER BY dice DESC, other), y AS (PARTITION BY other ORDER BY dice DESC, basket))
+SELECT basket, other, round(dice, 6) AS dice FROM r WHERE ra = 1 AND rb = 1 AND ma >= 0.05 AND mb >= 0.05 AND dice >= 0.5""")
+def jn14_links(t):
+    a, b = logs(t)
+    return M.best_links(a, b, "basket", "other", "state", 0.5, 0.05, ["part", "line"]).select("basket", "other", r6("dice").alias("dice"))
+
+
+@query("jn15_sequence_alignment", """WITH RECURSIVE {EV}, a AS (SELECT basket, CAST(part * 100 + CAST(qty AS INTEGER) AS BIGINT) AS state, line FROM ev),
+x AS (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY line, state) AS o FROM a), y AS (SELECT *, row_number() OVER (PARTITION BY basket ORDER BY o) AS j FROM x WHERE (basket + line) % 9 <> 0),
+n AS (SELECT basket, (SELECT count(*) FROM x WHERE x.basket = k.basket) + (SELECT count(*) FROM y WHERE y.basket = k.basket) AS n FROM (SELECT DISTINCT basket FROM x) k),
+m AS (SELECT x.basket, x.o AS i, y.j, y.o AS oj FROM x JOIN y ON x.basket = y.basket AND x.state = y.state),
+c AS (SELECT basket, i, j, 1 AS k, [{'i': i, 'j': j}] AS p, [oj] AS q FROM m
+  UNION ALL SELECT c.basket, m.i, m.j, k + 1, list_append(p, {'i': m.i, 'j': m.j}), list_append(q, oj) FROM c JOIN m ON m.basket = c.basket AND m.i > c.i AND m.j > c.j),
+best AS (SELECT basket, k, p, q FROM c QUALIFY row_number() OVER (PARTITION BY basket ORDER BY k DESC, p) = 1)
+SELECT basket, 1000000 - basket AS other, unnest(list_transform(p, lambda z: z.i)) AS order_a, unnest(q) AS order_b FROM best JOIN n USING (basket) WHERE 2 * k >= 0.9 * n""")
 def jn15(t):
     a, b = logs(t)
     order = F.row_number().over(P.Window.partitionBy("basket").orderBy("line", "state")).cast("long")
     x = a.withColumn("o", order)
     y = x.where("(basket + line) % 9 <> 0").select((1000000 - F.col("basket")).alias("other"), "o", "state")
     pairs = x.select("basket").distinct().select("basket", (1000000 - F.col("basket")).alias("other"))
-    return J.align_sequences(x, y, pairs, "basket", "other", "o", "state", 0.9)
+    return M.align_sequences(x, y, pairs, "basket", "other", "o", "state", 0.9)
 
 
 @query("jn16_identity_map", """WITH {EV}, n AS (SELECT part, CASE WHEN basket % 20 = 0 THEN part % 13 ELSE part + 5000 END AS code, count(*) AS n FROM ev GROUP BY ALL),

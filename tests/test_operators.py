@@ -13,6 +13,7 @@ from tallyframe.operators import evaluation as V
 from tallyframe.operators import joins as J
 from tallyframe.operators import profiles as P
 from tallyframe.operators import rows as R
+from tallyframe.operators import similarity as M
 from tallyframe.operators import states as E
 from tallyframe.operators import windows as W
 from tallyframe.sources import tables as T
@@ -263,9 +264,9 @@ def test_sources_round_trip(spark, tmp_path):
 def test_sequence_alignment(spark):
     a = frame(spark, [(1, i, s) for i, s in enumerate("abcdef")], "x long, o long, s string")
     b = frame(spark, [(9, i, s) for i, s in enumerate("abdef")], "z long, o long, s string")
-    out = J.align_sequences(a, b, frame(spark, [(1, 9)], "x long, z long"), "x", "z", "o", "s", 0.8).collect()
+    out = M.align_sequences(a, b, frame(spark, [(1, 9)], "x long, z long"), "x", "z", "o", "s", 0.8).collect()
     assert sorted((r.order_a, r.order_b) for r in out) == [(0, 0), (1, 1), (3, 2), (4, 3), (5, 4)]
-    assert J.align_sequences(a, b, frame(spark, [(1, 9)], "x long, z long"), "x", "z", "o", "s", 0.99).count() == 0
+    assert M.align_sequences(a, b, frame(spark, [(1, 9)], "x long, z long"), "x", "z", "o", "s", 0.99).count() == 0
 
 
 def test_quantiles_of_large_groups(spark):
