@@ -122,17 +122,6 @@ def identity_map(rows: DataFrame, a: str, b: str, purity: float, injective: bool
     return out
 
 
-def nearest_prototypes(queries: DataFrame, prototypes: DataFrame, bucket: str, id: str, other: str, vector: str, k: int) -> DataFrame:
-    """The k prototypes of the query's own bucket that are nearest by Euclidean distance: id, other, dist, rank.
-
-    The bucket is the blocking key; a prototype is never its own neighbour; ties go to the smaller prototype.
-    """
-    pairs = queries.select(bucket, F.col(id), F.col(vector).alias("_q")).join(prototypes.select(bucket, F.col(other), F.col(vector).alias("_p")), bucket).where(F.col(id) != F.col(other))
-    square = F.aggregate(F.zip_with("_q", "_p", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
-    near = pairs.select(id, other, F.sqrt(square).alias("dist"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy(id).orderBy("dist", other))).where(F.col("rank") <= k)
-
-
 def weighted_quantile(df: DataFrame, value: str, weight: str, q: Sequence[float]) -> DataFrame:
     """Smallest values whose cumulative weight reaches q of the total. df is summed by value first."""
     sums = df.groupBy(value).agg(F.sum(weight).alias("_w"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import neighbours as N
 from ..operators import samples as P
 from ..operators import similarity as M
 from ..operators.intervals import interval_join, seconds_since_1970
@@ -189,10 +190,27 @@ d AS (SELECT q.vec_id, p.vec_id AS proto, sqrt(list_sum(list_transform(list_zip(
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, proto) AS rank FROM d) SELECT vec_id, proto, CAST(rank AS INTEGER) AS rank, round(dist, 5) AS dist FROM r WHERE rank <= 3""")
 def jn18(t):
     e = t.embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    out = J.nearest_prototypes(e, e.withColumnRenamed("vec_id", "proto"), "label", "vec_id", "proto", "v", 3)
+    out = N.nearest_prototypes(e, e.withColumnRenamed("vec_id", "proto"), "label", "vec_id", "proto", "v", 3)
     return out.select("vec_id", "proto", "rank", F.round("dist", 5).alias("dist"))
 
 
+@query("jn18_prototype_means", """WITH raw AS (SELECT label, vec_id, vec_id % 500 + 1 AS n, (vec_id * 37 % 101) / 101 AS y, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+c AS (SELECT pos, quantile_cont(x, 0.5) AS m, CASE WHEN (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349 > 1e-3 THEN (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349 WHEN stddev_pop(x) > 1e-3 THEN stddev_pop(x) ELSE 1 END AS s
+  FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM raw) GROUP BY pos),
+l AS (SELECT list(m ORDER BY pos) AS ms, list(s ORDER BY pos) AS ss FROM c),
+e AS (SELECT label, vec_id, n, y, list_transform(list_zip(v, ms, ss), lambda z: greatest(least((z[1] - z[2]) / z[3], 6.0), -6.0)) AS v FROM raw, l),
+d AS (SELECT q.vec_id, p.n, p.y, p.vec_id AS proto, sqrt(list_sum(list_transform(list_zip(q.v, p.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM e q JOIN e p ON q.label = p.label AND q.vec_id <> p.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, proto) AS rank FROM d), w AS (SELECT *, sqrt(least(n, 256)) / (1 + dist) AS w FROM r WHERE rank <= 8)
+SELECT vec_id, round(sum(w * y) / sum(w), 6) AS y, count(*) AS neighbours FROM w GROUP BY vec_id""")
+def jn18_means(t):
+    y = (F.col("vec_id") * 37 % 101 / 101).alias("y")
+    e = t.embeddings.select("vec_id", "label", (F.col("vec_id") % 500 + 1).alias("n"), y, "embedding")
+    z = N.scaled(e, N.robust_scales(e, "embedding"), "embedding")
+    protos = z.withColumnRenamed("vec_id", "proto")
+    near = N.nearest_prototypes(z, protos, "label", "vec_id", "proto", "embedding", 8)
+    return N.neighbour_means(near, protos, "vec_id", "proto", "n", ["y"]).select("vec_id", r6("y").alias("y"), "neighbours")
+
+
 @query("jn19_history_expansion", """WITH {EV}, h AS (SELECT entity, price, row_number() OVER (PARTITION BY entity ORDER BY {ORD}) - 1 AS i, count(*) OVER (PARTITION BY entity) AS n FROM ev WHERE season = 1996),
 s AS (SELECT entity, avg(price) AS m, count(*) AS k FROM h WHERE n <= 5 OR i = 0 OR floor(i * 4 / (n - 1)) > floor((i - 1) * 4 / (n - 1)) GROUP BY entity)
 SELECT basket, part, line, e.entity, round(m, 6) AS mean, k AS sampled FROM ev e LEFT JOIN s ON s.entity = e.entity WHERE season = 1997""")
