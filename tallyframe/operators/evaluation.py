@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import logit
+from .stored import stored
 
 
 def squared(p: Column, y: Column) -> Column:
@@ -107,17 +108,43 @@ def two_model_weight(df: DataFrame, y: str, h: str, l: str) -> DataFrame:  # noq
     return df.agg(F.least(F.greatest(w, F.lit(0.0)), F.lit(1.0)).alias("w"))
 
 
-def convex_weights(gram_row: dict, models: Sequence[str], y: str, rounds: int = 2000) -> dict[str, float]:
-    """Convex weights with the least squared error, by exponentiated gradient on the k x k sums."""
+def convex_weights(gram_row: dict, models: Sequence[str], y: str) -> dict[str, float]:
+    """Convex weights with the least squared error, exactly, by active sets on the k x k sums.
+
+    The best single model starts as the support. The support's own best weights are taken; where one would be negative, the
+    way there stops at the first that vanishes, which leaves the support. They are optimal once no other model's slope is
+    below the support's common one; else the model with the lowest slope enters.
+    """
     g = lambda a, b: gram_row.get(f"g_{a}_{b}", gram_row.get(f"g_{b}_{a}"))
-    q = np.array([[g(a, b) for b in models] for a in models])
-    c = np.array([g(a, y) for a in models])
-    w = np.full(len(models), 1 / len(models))
-    rate = 1 / max(1e-12, np.abs(q).max())
-    for _ in range(rounds):
-        w = w * np.exp(-rate * 2 * (q @ w - c))
-        w /= w.sum()
-    return dict(zip(models, w.tolist(), strict=True))
+    q = np.array([[g(a, b) for b in models] for a in models], dtype=float)
+    c = np.array([g(a, y) for a in models], dtype=float)
+    k, tiny = len(models), 1e-12 * max(1.0, np.abs(q).max())
+    w = np.zeros(k)
+    w[np.argmin(np.diag(q) - 2 * c)] = 1.0
+    support = list(np.flatnonzero(w))
+    for _ in range(3**k + k):  # no support comes twice but by rounding
+        while True:
+            m = len(support)
+            lhs = np.block([[q[np.ix_(support, support)], np.ones((m, 1))], [np.ones((1, m)), np.zeros((1, 1))]])
+            best = np.linalg.lstsq(lhs, np.append(c[support], 1.0), rcond=None)[0][:m]
+            now = w[support]
+            if (best >= -1e-12).all():
+                w[:] = 0.0
+                w[support] = np.maximum(best, 0.0)
+                break
+            falls = best < -1e-12
+            step = (now[falls] / (now[falls] - best[falls])).min()
+            moved = now + step * (best - now)
+            w[support] = np.where(moved > 1e-12, moved, 0.0)
+            support = [i for i in support if w[i] > 0]
+        slope = q @ w - c
+        level = float(slope @ w / w.sum())
+        support = list(np.flatnonzero(w > 0))
+        enters = int(np.argmin(np.where(w > 0, np.inf, slope)))
+        if w[enters] > 0 or slope[enters] >= level - tiny:
+            break
+        support.append(enters)
+    return dict(zip(models, (w / w.sum()).tolist(), strict=True))
 
 
 def affine_calibrator(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -126,28 +153,25 @@ def affine_calibrator(df: DataFrame, y: str, p: str) -> DataFrame:
     return df.agg((F.avg(y) - slope * F.avg(p)).alias("intercept"), slope.alias("slope"))
 
 
-def intercept_calibrator(df: DataFrame, y: str, p: str, rounds: int = 40) -> float:
-    """The shift of the logits that makes the mean prediction equal the rate, by bisection over one histogram of logits."""
-    z = F.round(logit(F.col(p)), 3)
-    hist = df.groupBy(z.alias("z")).agg(F.count("*").alias("n"), F.sum(y).alias("s")).collect()
-    zs, n = np.array([r["z"] for r in hist], dtype=float), np.array([r["n"] for r in hist], dtype=float)
-    rate, low, high = sum(r["s"] for r in hist) / n.sum(), -10.0, 10.0
+def intercept_calibrator(df: DataFrame, y: str, p: str, rounds: int = 60) -> float:
+    """The shift of the logits that makes the mean prediction equal the rate: Newton steps held within a bracket.
+
+    Each step is one aggregate over the sums by distinct prediction.
+    """
+    sums = stored(df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(logit(F.col(p)).alias("z")).agg(F.count("*").alias("n"), F.sum(y).alias("s")))
+    total = sums.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    shift, low, high = 0.0, -40.0, 40.0
     for _ in range(rounds):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (n / (1 + np.exp(-(zs + mid)))).sum() / n.sum() < rate else (low, mid)
-    return (low + high) / 2
-
-
-def isotonic(df: DataFrame, y: str, p: str, digits: int = 3) -> list[tuple[float, float]]:
-    """Monotone calibration by pooling adjacent violators over the sums at rounded predictions: (p, value) pairs."""
-    bins = sorted((r["b"], r["s"], r["n"]) for r in df.groupBy(F.round(p, digits).alias("b")).agg(F.sum(y).alias("s"), F.count("*").alias("n")).collect())
-    blocks: list[list] = []
-    for b, s, n in bins:
-        blocks.append([[b], float(s), float(n)])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            last = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
-    return [(b, s / n) for bs, s, n in blocks for b in bs]
+        q = 1 / (1 + F.exp(-(F.col("z") + shift)))
+        at = sums.agg(F.sum(F.col("n") * q).alias("s"), F.sum(F.col("n") * q * (1 - q)).alias("slope")).first()
+        gap = total["s"] - at["s"]
+        low, high = (shift, high) if gap > 0 else (low, shift)
+        step = shift + gap / at["slope"] if at["slope"] else (low + high) / 2
+        after = step if low < step < high else (low + high) / 2
+        if abs(after - shift) < 1e-13 * max(1.0, abs(shift)) or gap == 0:
+            break
+        shift = after
+    return shift
 
 
 def analytic_gain(df: DataFrame, y: str, p: str, c: str, g: float) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import scalar as S
 from ..operators import aggregates as A
 from ..operators import evaluation as V
 from ..operators import states as E
+from ..operators.isotonic import isotonic_fit
 from ..registry import query, r6
 
 #: Predictions of y: the part's rate before the season, the line's, and a constant.
@@ -96,7 +97,17 @@ def ev11(t):
 def ev11b(t):
     rows = scored(t)
     shift = V.intercept_calibrator(rows, "y", "z")
-    return t.spark.createDataFrame([(float(b), float(v), float(shift)) for b, v in V.isotonic(rows, "y", "z", 2)], "p double, value double, shift double")
+    return isotonic_fit(rows, "y", "z").withColumn("shift", F.lit(float(shift)))
+
+
+@query("ev11_isotonic", "WITH " + SCORED + """, r AS (SELECT y, round(z, 6) AS z FROM sc), d AS (SELECT z, sum(y) AS s, count(*) AS n, row_number() OVER (ORDER BY z) AS k FROM r GROUP BY z),
+c AS (SELECT k, z, sum(s) OVER (ORDER BY k) AS cs, sum(n) OVER (ORDER BY k) AS cn, s, n FROM d),
+m AS (SELECT i.k AS i, j.k AS j, (j.cs - i.cs + i.s) / (j.cn - i.cn + i.n) AS mean FROM c i JOIN c j ON i.k <= j.k),
+low AS (SELECT a.k, m.i, min(m.mean) AS least FROM d a JOIN m ON m.i <= a.k AND m.j >= a.k GROUP BY a.k, m.i)
+SELECT z AS p, round(max(least), 6) AS value FROM low JOIN d USING (k) GROUP BY z""")
+def ev11c(t):
+    rows = scored(t).withColumn("z", r6("z"))  # sums of decimals differ between engines
+    return isotonic_fit(rows, "y", "z").withColumn("value", r6("value"))
 
 
 @query("ev12_analytic_gain", "WITH " + SCORED + " SELECT round(1e5 * (2 * 0.5 * avg((y - q) * (p - q)) - 0.25 * avg((p - q) * (p - q))) / (avg(y) * (1 - avg(y))), 4) AS gain FROM sc")
@@ -115,11 +126,15 @@ def ev13(t):
     return t.spark.createDataFrame([(float(w[0]), float(w[1]), least)], "w1 double, w2 double, least double")
 
 
-@query("ev14_ridge")
+@query("ev14_ridge", "WITH " + SCORED + """, g AS (SELECT 1 + 1e-3 AS a, avg(p) AS b, avg(z) AS c, avg(p * p) + 1e-3 AS d, avg(p * z) AS e, avg(z * z) + 1e-3 AS f, avg(y) AS u, avg(p * y) AS v, avg(z * y) AS w FROM sc),
+x AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM g)
+SELECT 'one' AS name, round((u * (d * f - e * e) - b * (v * f - w * e) + c * (v * e - w * d)) / det, 6) AS weight FROM x
+UNION ALL SELECT 'p', round((a * (v * f - e * w) - u * (b * f - c * e) + c * (b * w - c * v)) / det, 6) FROM x
+UNION ALL SELECT 'z', round((a * (d * w - e * v) - b * (b * w - c * v) + u * (b * e - c * d)) / det, 6) FROM x""")
 def ev14(t):
     g = A.gram(scored(t).withColumn("one", F.lit(1.0)), ["one", "p", "z", "y"]).first().asDict()
     w = V.ridge(g, ["one", "p", "z"], "y", 1e-3)
-    return t.spark.createDataFrame([(k, float(v)) for k, v in w.items()], "name string, weight double")
+    return t.spark.createDataFrame([(k, round(float(v), 6)) for k, v in w.items()], "name string, weight double")
 
 
 @query("ev15_asof_baseline_grid", "WITH " + SCORED + ", g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS a), s AS (SELECT a, avg(pow(a * p + (1 - a) * q - y, 2)) AS brier FROM sc, g WHERE season = 1998 GROUP BY a) SELECT a AS alpha, round(brier, 6) AS brier FROM s")
@@ -144,10 +159,17 @@ def ev17(t):
     return V.invariance_gap(state, shuffled, ["entity", "line", "season"], ["base", "residual"]).select(F.round("gap", 9).alias("gap"))
 
 
-@query("ev18_convex_weights")
+@query("ev18_convex_weights", "WITH " + SCORED + """, g AS (SELECT avg(p * p) AS pp, avg(q * q) AS qq, avg(z * z) AS zz, avg(p * q) AS pq, avg(p * z) AS pz, avg(q * z) AS qz, avg(p * y) AS py, avg(q * y) AS qy, avg(z * y) AS zy FROM sc),
+k AS (SELECT *, pp - 2 * pz + zz AS a, pq - pz - qz + zz AS b, qq - 2 * qz + zz AS c, py - zy - pz + zz AS u, qy - zy - qz + zz AS v FROM g),
+w AS (SELECT 1.0 AS wp, 0.0 AS wq, 0.0 AS wz UNION ALL SELECT 0.0, 1.0, 0.0 UNION ALL SELECT 0.0, 0.0, 1.0
+  UNION ALL SELECT (py - qy - pq + qq) / (pp - 2 * pq + qq), 1 - (py - qy - pq + qq) / (pp - 2 * pq + qq), 0 FROM k
+  UNION ALL SELECT u / a, 0, 1 - u / a FROM k UNION ALL SELECT 0, v / c, 1 - v / c FROM k
+  UNION ALL SELECT (u * c - b * v) / (a * c - b * b), (a * v - b * u) / (a * c - b * b), 1 - (u * c - b * v) / (a * c - b * b) - (a * v - b * u) / (a * c - b * b) FROM k),
+best AS (SELECT wp, wq, wz FROM w, g WHERE wp >= 0 AND wq >= 0 AND wz >= 0 ORDER BY wp * wp * pp + wq * wq * qq + wz * wz * zz + 2 * (wp * wq * pq + wp * wz * pz + wq * wz * qz) - 2 * (wp * py + wq * qy + wz * zy) LIMIT 1)
+SELECT 'p' AS name, round(wp, 6) AS weight FROM best UNION ALL SELECT 'q', round(wq, 6) FROM best UNION ALL SELECT 'z', round(wz, 6) FROM best""")
 def ev18(t):
     g = A.gram(scored(t), ["p", "q", "z", "y"]).first().asDict()
-    return t.spark.createDataFrame([(k, float(v)) for k, v in V.convex_weights(g, ["p", "q", "z"], "y").items()], "name string, weight double")
+    return t.spark.createDataFrame([(k, round(float(v), 6)) for k, v in V.convex_weights(g, ["p", "q", "z"], "y").items()], "name string, weight double")
 
 
 @query("ev19_artifact_screen", "SELECT * FROM (VALUES ('p', true), ('y', false), ('qty', false)) v(name, usable)")
