@@ -44,6 +44,8 @@ ORDER_CELLS = 1 << 16
 KEY_BITS = 48
 #: Bits of a table that picks rows out of a scan: 8 MB.
 PICK_BITS = 1 << 26
+#: Texts of a key that one task pairs with all others of the key.
+KEY_ROWS = 512
 #: Rounds of stars before pairs are made.
 STARS = 1
 
@@ -232,14 +234,18 @@ def text_classes(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
     for k in range(STARS + 1):
         # First the text that passed the least of its shingles, then any.
         rank = F.struct(-F.col("pos") / F.greatest("size", F.lit(1)), "n") if k == 0 else F.struct(F.xxhash64("n", F.lit(k)), "n")
-        groups = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by(F.struct("n", "size", "pos", "comp"), rank).alias("c"))
+        groups = placed.groupBy("key").agg(F.count("*").alias("texts"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by(F.struct("n", "size", "pos", "comp"), rank).alias("c"))
         mixed = groups.where("low < high")
         if k < STARS:
             ends = placed.alias("x").join(mixed.select("key", "c.*").alias("y"), "key").where(F.col("x.comp") != F.col("y.comp"))
         else:
             # A bucket within one component stays so.
-            placed = checkpointed(placed.join(mixed.select("key"), "key"))
-            ends = placed.alias("x").join(placed.alias("y"), "key").where(F.col("x.comp") < F.col("y.comp"))
+            parts = F.ceil(F.col("texts") / KEY_ROWS).cast("int").alias("parts")
+            placed = checkpointed(placed.join(mixed.select("key", parts), "key"))
+            # The texts of a hot key are dealt over tasks, each of which sees all others of the key.
+            x = placed.withColumn("part", F.pmod(F.xxhash64("n", F.lit(5)), F.col("parts")).cast("int"))
+            y = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            ends = x.alias("x").join(y.alias("y"), ["key", "part"]).where(F.col("x.comp") < F.col("y.comp"))
         met_at = ends.where(may_link("x", "y", least)).select(F.col("x.n").alias("a"), F.col("y.n").alias("b"))
         pairs = met_at.groupBy("a", "b").agg(F.count("*").alias("times")) if k < STARS else met_at.distinct()
         # Pairs that failed need no second look.
