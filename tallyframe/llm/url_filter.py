@@ -3,11 +3,13 @@
 Pages that a rule decides are the labelled outcomes (blocked or allowed). Their blocked shares are shrunk through
 beta-binomial priors: suffixes toward the whole, registered domains toward their suffix, hosts toward their domain. How
 many pages a level's prior weighs is estimated from the level's own counts: by moments, from the spread of its groups
-around their parents beyond binomial noise. A page without a rule is blocked if its host's posterior share is above the
-threshold even at its lower bound, DEVIATIONS posterior deviations below the mean. By Cantelli's inequality the share
-lies above that with a probability of 1 - 1 / (1 + DEVIATIONS^2) = 0.8 at least, however few pages there are.
+around their parents beyond binomial noise. A parent's share isn't known either: its posterior variance goes down to its
+children, by the square of the weight that the prior has in their means, so a host without pages is no surer than what
+is known of its domain or suffix. A page without a rule is blocked if its host's posterior share is above the threshold
+even at its lower bound, DEVIATIONS posterior deviations below the mean. By Cantelli's inequality the share lies above that
+with a probability of 1 - 1 / (1 + DEVIATIONS^2) = 0.8 at least, however few pages there are.
 
-Defined cases: a null url, or one without `://`, has an empty host and path and no rule; it is judged like any host
+Defined cases: where no page under a suffix is labelled, nothing but other suffixes speaks about it, and its pages are allowed; a null url, or one without `://`, has an empty host and path and no rule; it is judged like any host
 without labelled pages, by the prior of its level above. Without labelled pages every page is allowed. Repeated rows are
 judged alike, and count as often as they stand in the table. A host without a dot is its own domain and suffix. A level
 whose groups don't differ beyond noise, or without labelled pages, has the strongest prior, MOST_PAGES.
@@ -75,22 +77,28 @@ def prior_pages(groups: DataFrame) -> DataFrame:
 
 
 def shrink_level(groups: DataFrame) -> DataFrame:
-    """groups with their posterior share and the pages that their prior weighs."""
+    """groups (n, k, and the parent's share and variance) with their posterior share and variance."""
     held = groups.crossJoin(F.broadcast(prior_pages(groups)))
-    return held.withColumn("share", (F.col("k") + F.col("pages") * F.col("parent")) / (F.col("n") + F.col("pages")))
+    held = held.withColumn("share", (F.col("k") + F.col("pages") * F.col("parent")) / (F.col("n") + F.col("pages")))
+    own = F.col("share") * (1 - F.col("share")) / (F.col("n") + F.col("pages") + 1)
+    return held.withColumn("variance", own + F.pow(F.col("pages") / (F.col("n") + F.col("pages")), 2) * F.col("parent_variance"))
 
 
 def host_reputation(hosts: DataFrame, two_labels=TWO_LABEL_SUFFIXES) -> DataFrame:
-    """host, share, low: posterior mean and lower bound of the blocked share. hosts: host, n (labelled pages), k (blocked)."""
+    """host, share, low, known: posterior mean and lower bound of the blocked share, and the labelled pages under its suffix.
+
+    hosts: host, n (labelled pages), k (blocked).
+    """
     ending, domain = suffix_and_domain(F.col("host"), two_labels)
     hosts = hosts.select("host", "n", "k", domain.alias("domain"), ending.alias("suffix"))
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
-    whole = hosts.agg(F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0)).alias("parent"))
+    above = lambda df, *keys: df.select(*keys, F.col("share").alias("parent"), F.col("variance").alias("parent_variance"))
+    rate = F.coalesce(F.sum("k") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.0))
+    whole = hosts.agg(rate.alias("parent"), (rate * (1 - rate) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("parent_variance"))
     suffixes = shrink_level(hosts.groupBy("suffix").agg(*sums).crossJoin(F.broadcast(whole)))
-    domains = hosts.groupBy("domain", "suffix").agg(*sums).join(suffixes.select("suffix", F.col("share").alias("parent")), "suffix")
-    judged = shrink_level(hosts.join(shrink_level(domains).select("domain", F.col("share").alias("parent")), "domain"))
-    spread = F.sqrt(F.col("share") * (1 - F.col("share")) / (F.col("n") + F.col("pages") + 1))
-    return judged.select("host", "share", (F.col("share") - DEVIATIONS * spread).alias("low"))
+    domains = shrink_level(hosts.groupBy("domain", "suffix").agg(*sums).join(above(suffixes, "suffix"), "suffix"))
+    judged = shrink_level(hosts.join(above(domains, "domain"), "domain")).join(suffixes.select("suffix", F.col("n").alias("known")), "suffix")
+    return judged.select("host", "share", (F.col("share") - DEVIATIONS * F.sqrt("variance")).alias("low"), "known")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, id: str = "page_id", url: str = "url", two_labels=TWO_LABEL_SUFFIXES) -> DataFrame:
@@ -103,7 +111,7 @@ def filter_urls(pages: DataFrame, rules=RULES, id: str = "page_id", url: str = "
     ruled = parts.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
     ruled = ruled.select(F.col("i").alias(id), "host", "path", "found.rule", "found.verdict")
     hosts = ruled.groupBy("host").agg(F.count("verdict").alias("n"), F.count_if(F.col("verdict") == "block").alias("k"))
-    blocked = checkpointed(host_reputation(checkpointed(hosts), two_labels).where(F.col("low") > BLOCK_SHARE).select("host", F.lit("block").alias("method")))
+    blocked = checkpointed(host_reputation(checkpointed(hosts), two_labels).where((F.col("low") > BLOCK_SHARE) & (F.col("known") > 0)).select("host", F.lit("block").alias("method")))
     return ruled.join(blocked, "host", "left").select(id, "host", "path", "rule", F.coalesce("verdict", "method", F.lit("allow")).alias("verdict"))
 
 
@@ -128,7 +136,8 @@ def level_sql(name: str) -> str:
     noise = "n * parent * (1 - parent)"
     excess, room = f"sum(pow(k - n * parent, 2) - {noise})", f"sum({noise} * (n - 1))"
     return f"""{name}_prior AS (SELECT least(greatest(CASE WHEN {room} > 0 AND {excess} > 0 THEN {room} / {excess} - 1 ELSE {MOST_PAGES} END, {LEAST_PAGES}), {MOST_PAGES}) AS pages FROM {name}),
-{name}_shares AS (SELECT *, (k + pages * parent) / (n + pages) AS share FROM {name}, {name}_prior)"""
+{name}_means AS (SELECT *, (k + pages * parent) / (n + pages) AS share FROM {name}, {name}_prior),
+{name}_shares AS (SELECT *, share * (1 - share) / (n + pages + 1) + pow(pages / (n + pages), 2) * above AS variance FROM {name}_means)"""
 
 
 ORACLE_SQL = f"""
@@ -140,14 +149,15 @@ ruled AS (SELECT page_id, host, path, {RULE_SQL} AS rule, {VERDICT_SQL} AS decid
 counts AS (
   SELECT host, CASE WHEN {LISTED} THEN {LAST(3)} ELSE {LAST(2)} END AS domain, CASE WHEN {LISTED} THEN {LAST(2)} ELSE {LAST(1)} END AS suffix,
     count(decided)::DOUBLE AS n, count(*) FILTER (decided = 'block')::DOUBLE AS k FROM ruled GROUP BY host),
-whole AS (SELECT CASE WHEN sum(n) > 0 THEN sum(k) / sum(n) ELSE 0 END AS parent FROM counts),
-suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(parent) AS parent FROM counts, whole GROUP BY suffix),
+rate AS (SELECT CASE WHEN sum(n) > 0 THEN sum(k) / sum(n) ELSE 0 END AS parent, sum(n) AS total FROM counts),
+whole AS (SELECT parent, parent * (1 - parent) / (total + 1) AS above FROM rate),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(parent) AS parent, any_value(above) AS above FROM counts, whole GROUP BY suffix),
 {level_sql("suffixes")},
-domains AS (SELECT domain, sum(c.n) AS n, sum(c.k) AS k, any_value(s.share) AS parent FROM counts c JOIN suffixes_shares s USING (suffix) GROUP BY domain),
+domains AS (SELECT domain, sum(c.n) AS n, sum(c.k) AS k, any_value(s.share) AS parent, any_value(s.variance) AS above FROM counts c JOIN suffixes_shares s USING (suffix) GROUP BY domain),
 {level_sql("domains")},
-hosts AS (SELECT host, c.n, c.k, d.share AS parent FROM counts c JOIN domains_shares d USING (domain)),
+hosts AS (SELECT host, c.suffix, c.n, c.k, d.share AS parent, d.variance AS above FROM counts c JOIN domains_shares d USING (domain)),
 {level_sql("hosts")}
-SELECT page_id, host, path, rule,
-  coalesce(decided, CASE WHEN share - {DEVIATIONS} * sqrt(share * (1 - share) / (n + pages + 1)) > {BLOCK_SHARE} THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled JOIN hosts_shares USING (host)
+SELECT page_id, r.host, path, rule,
+  coalesce(decided, CASE WHEN h.share - {DEVIATIONS} * sqrt(h.variance) > {BLOCK_SHARE} AND s.n > 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r JOIN hosts_shares h ON r.host = h.host JOIN suffixes s ON h.suffix = s.suffix
 """

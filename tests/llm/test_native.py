@@ -195,3 +195,22 @@ def test_domains_under_listed_suffixes(spark):
     hosts = spark.createDataFrame([("a.b.co.uk",), ("co.uk",), ("x.y.com",), ("com",), ("",), (None,)], "host string")
     ending, domain = url_filter.suffix_and_domain(url_filter.F.col("host"))
     assert [tuple(r) for r in hosts.select(ending, domain).collect()] == [("co.uk", "b.co.uk"), ("co.uk", "co.uk"), ("com", "y.com"), ("com", "com"), ("", ""), (None, None)]
+
+
+def test_suffix_without_labelled_pages_is_allowed(spark):
+    # Nearly all labelled pages are blocked, all of them under .net.
+    urls = ["x://bad.net/es/"] * 300 + ["x://other.net/fr/1"] * 100 + ["x://a.com/"] * 10 + ["x://bad.net/q", "x://unseen.net/q", "x://host.org/q", "x://host.info/", "x://b.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdict = {r.host: r.verdict for r in url_filter.filter_urls(pages).where("rule is null").collect()}
+    assert verdict == {"bad.net": "block", "unseen.net": "block", "host.org": "allow", "host.info": "allow", "b.org": "allow"}
+
+
+def test_parents_variance_reaches_hosts(spark):
+    def low(pages):
+        rows = [("seen.a.net", pages, pages), ("new.b.net", 0, 0), ("x.com", 50, 0)]
+        hosts = spark.createDataFrame(rows, "host string, n long, k long")
+        return {r.host: r for r in url_filter.host_reputation(hosts).collect()}["new.b.net"]
+
+    few, many = low(3), low(3000)
+    assert few.low < many.low  # the fewer pages speak for the suffix, the wider is the bound of a host without any
+    assert many.known == 3000
