@@ -214,3 +214,19 @@ def test_parents_variance_reaches_hosts(spark):
     few, many = low(3), low(3000)
     assert few.low < many.low  # the fewer pages speak for the suffix, the wider is the bound of a host without any
     assert many.known == 3000
+
+
+def test_many_rows_of_one_id_come_near_the_target(spark):
+    text = "w " * 50
+    rows = [(None, text, "a")] * 200 + [(7, text, "b")] * 100 + [(7, "x " * 10, "b")] * 50 + [(i, text, "c") for i in range(200)] + [(i, None, "d") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix_sources(docs).collect()
+    assert len(out) == len(rows)
+    taken, target = {}, {}
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert r.taken % r["size"] == 0 if r["size"] else r.taken == 0
+    assert all(abs(taken[s] - target[s]) <= 50 for s in "abc") and taken["d"] == target["d"] == 0
+    again = mixing.mix_sources(docs.repartition(5)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
