@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregates, encodings, evaluation, joins, profiles, scans, states, streams, windows  # noqa: F401
+from .plans import aggregates, encodings, evaluation, extensions, joins, profiles, scans, states, streams, windows  # noqa: F401
 from .registry import REGISTERED, Tables
 
 
