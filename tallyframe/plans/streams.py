@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..streaming import counters as C
+from ..streaming import joins as S
 
 
 def events(t):
@@ -38,3 +39,22 @@ def sessions(t):
 def running(t):
     rows = events(t).withColumn("y", (F.col("event_type") == "purchase").cast("int")).select("user_id", "event_id", "y")
     return C.drain(C.running_counters(rows, "user_id", "event_id", "y"), t.spark, "append")
+
+
+@query("stream_followed_by", """WITH c AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'), p AS (SELECT user_id, event_id AS bought, ts AS tb FROM events WHERE event_type = 'purchase'),
+w AS (SELECT date_trunc('milliseconds', least((SELECT max(ts) FROM c), (SELECT max(tb) FROM p))) - INTERVAL '2 hours' AS mark)
+SELECT c.user_id, event_id, bought FROM c LEFT JOIN p ON c.user_id = p.user_id AND tb BETWEEN ts AND ts + INTERVAL '1 hour', w WHERE bought IS NOT NULL OR ts + INTERVAL '1 hour' < mark""")
+def followed(t):
+    """Clicks and the purchases of the hour after; clicks without any are emitted once the watermark has passed that hour."""
+    rows = events(t).select("user_id", "event_id", "event_type", "ts")
+    clicks = rows.where("event_type = 'click'").drop("event_type")
+    bought = rows.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("bought"), F.col("ts").alias("at"))
+    return C.drain(S.followed_by(clicks, bought, "user_id", "ts", "at", "1 hour", "2 hours").select("user_id", "event_id", "bought"), t.spark, "append")
+
+
+@query("stream_without_repeats", "SELECT user_id, date_trunc('day', ts) AS day, event_type, count(*) > 0 AS seen FROM events GROUP BY ALL")
+def repeats(t):
+    """Each user's kinds of event by day, of a stream in which they repeat."""
+    rows = events(t).withColumn("day", F.date_trunc("day", "ts"))
+    found = S.without_repeats(rows, ["user_id", "day", "event_type"], "ts", "40 days")
+    return local(C.drain(found.select("user_id", "day", "event_type", F.lit(True).alias("seen")), t.spark, "append"), "day")
