@@ -226,7 +226,8 @@ def artifact_screen(df: DataFrame, y: str, names: Sequence[str]) -> DataFrame:
 
 
 def invariance_gap(a: DataFrame, b: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Largest difference of values between two runs over the same keys."""
-    both = a.alias("a").join(b.alias("b"), list(key))
+    """n, gap: keys that either of two runs has, and the largest difference of their values; null if a run lacks a key."""
+    both = a.withColumn("_in_a", F.lit(True)).alias("a").join(b.withColumn("_in_b", F.lit(True)).alias("b"), list(key), "full")
     gaps = [F.max(F.abs(F.col(f"a.{v}") - F.col(f"b.{v}"))) for v in values]
-    return both.agg(F.greatest(*gaps, F.lit(0.0)).alias("gap"))
+    whole = F.bool_and(F.col("_in_a").isNotNull() & F.col("_in_b").isNotNull())
+    return both.agg(F.count("*").alias("n"), F.when(whole, F.greatest(*gaps, F.lit(0.0))).alias("gap"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import shrink
 from .aggregates import mixture_moments, pooled_correlation, variance_parts
+from .quantiles import exact_quantiles
 
 
 def simple_profile(df: DataFrame, entity: str, group: str, groups: Sequence[str], metric: str) -> DataFrame:
@@ -97,12 +98,14 @@ def archetypes(table: DataFrame, id: str, columns: Sequence[str], components: in
     """id, archetype, distance and margin to the second nearest, after median imputation, scaling and PCA."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    names = [f"{c}_filled" for c in columns]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in columns]))
+    medians = exact_quantiles(table.select(each.alias("e")).select("e.*"), ["name"], "x", (0.5,)).collect()  # a row a column
+    table = table.fillna({r["name"]: r["quantiles"][0] for r in medians})
     steps = [
-        Imputer(strategy="median", inputCols=list(columns), outputCols=names), VectorAssembler(inputCols=names, outputCol="_raw"),
+        VectorAssembler(inputCols=list(columns), outputCol="_raw"),
         StandardScaler(withMean=True, inputCol="_raw", outputCol="_scaled"), PCA(k=components, inputCol="_scaled", outputCol="_pc"), KMeans(k=k, seed=seed, featuresCol="_pc", predictionCol="archetype"),
     ]
     model = Pipeline(stages=steps).fit(table)

@@ -224,11 +224,11 @@ def player_forecast(df: DataFrame, entity: str, season: str, target: str, at: in
     return out.withColumn("forecast", F.least(F.greatest(forecast, F.lit(0.02)), F.lit(0.98)))
 
 
-def residual_effects(df: DataFrame, key_sets: Sequence[Sequence[str]], residual: str, ks: Sequence[float]) -> DataFrame:
-    """keys, value, k, effect = sum(residual) / (n + k) for each key set and k; all key sets in one pass."""
+def residual_effects(df: DataFrame, key_sets: Sequence[Sequence[str]], residual: str, ks: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, keys, value, k, effect = sum(residual) / (n + k) for each key set and k; all key sets in one pass."""
     each = F.explode(F.array(*[F.struct(F.lit("+".join(ks_)).alias("keys"), F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("__missing__")) for c in ks_]).alias("value")) for ks_ in key_sets]))
-    sums = df.select(each.alias("g"), F.col(residual).alias("_r")).groupBy("g.keys", "g.value").agg(F.sum("_r").alias("_s"), F.count("*").alias("n"))
-    return sums.select("keys", "value", "n", F.explode(F.array(*[F.lit(float(k)) for k in ks])).alias("k"), "_s").select("keys", "value", "n", "k", (F.col("_s") / (F.col("n") + F.col("k"))).alias("effect"))
+    sums = df.select(*by, each.alias("g"), F.col(residual).alias("_r")).groupBy(*by, "g.keys", "g.value").agg(F.sum("_r").alias("_s"), F.count("*").alias("n"))
+    return sums.select(*by, "keys", "value", "n", F.explode(F.array(*[F.lit(float(k)) for k in ks])).alias("k"), "_s").select(*by, "keys", "value", "n", "k", (F.col("_s") / (F.col("n") + F.col("k"))).alias("effect"))
 
 
 def recent_form(r1: Column, r3: Column, r5: Column, career: Column) -> dict[str, Column]:

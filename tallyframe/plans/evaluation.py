@@ -137,13 +137,13 @@ def ev14(t):
     return t.spark.createDataFrame([(k, round(float(v), 6)) for k, v in w.items()], "name string, weight double")
 
 
-@query("ev15_asof_baseline_grid", "WITH " + SCORED + ", g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS a), s AS (SELECT a, avg(pow(a * p + (1 - a) * q - y, 2)) AS brier FROM sc, g WHERE season = 1998 GROUP BY a) SELECT a AS alpha, round(brier, 6) AS brier FROM s")
+@query("ev15_asof_baseline_grid", "WITH " + SCORED + ", g AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS a), s AS (SELECT season, a, avg(pow(a * p + (1 - a) * q - y, 2)) AS brier FROM sc, g GROUP BY season, a) SELECT season, a AS alpha, round(brier, 6) AS brier FROM s")
 def ev15(t):
     grid = t.spark.createDataFrame([(a,) for a in (0.0, 0.25, 0.5, 0.75, 1.0)], "alpha double")
-    gram = A.gram(scored(t).where("season = 1998"), ["p", "q", "y"])
+    gram = A.gram(scored(t), ["p", "q", "y"], ["season"])
     a, b = F.col("alpha"), 1 - F.col("alpha")
     mse = a * a * F.col("g_p_p") + 2 * a * b * F.col("g_p_q") + b * b * F.col("g_q_q") - 2 * a * F.col("g_p_y") - 2 * b * F.col("g_q_y") + F.col("g_y_y")
-    return gram.crossJoin(F.broadcast(grid)).select("alpha", r6(mse).alias("brier"))
+    return gram.crossJoin(F.broadcast(grid)).select("season", "alpha", r6(mse).alias("brier"))
 
 
 @query("ev16_split_half_ceiling", "WITH {EV}, s AS (SELECT *, CAST(('0x' || substr(md5(CAST(basket AS VARCHAR)), 1, 8))::BIGINT % 2 AS INTEGER) AS half FROM ev), m AS (SELECT avg(y) AS m FROM s WHERE half = 0), r AS (SELECT entity, line, sum(y) AS s, count(*) AS n FROM s WHERE half = 0 GROUP BY ALL), x AS (SELECT y, (coalesce(r.s, 0) + 60 * m) / (coalesce(n, 0) + 60.0) AS p FROM s LEFT JOIN r ON r.entity = s.entity AND r.line = s.line, m WHERE half = 1) SELECT " + SKILL + " FROM x")
@@ -151,12 +151,13 @@ def ev16(t):
     return shown(V.split_half_ceiling(t.ev, S.md5_fold(F.col("basket"), 2), ["entity", "line"], "y", 60.0))
 
 
-@query("ev17_row_invariance", "SELECT 0.0::DOUBLE AS gap")
+@query("ev17_row_invariance", "WITH {EV}, s AS (SELECT DISTINCT entity, line, season FROM ev) SELECT count(*) AS n, 0.0::DOUBLE AS gap FROM s")
 def ev17(t):
-    rows = t.ev.where("season < 1999")
-    state = E.platoon(rows, "entity", "line", "season", "y", 200.0, 200.0)
-    shuffled = E.platoon(rows.repartition(5, "part").select(*reversed(rows.columns)), "entity", "line", "season", "y", 200.0, 200.0)
-    return V.invariance_gap(state, shuffled, ["entity", "line", "season"], ["base", "residual"]).select(F.round("gap", 9).alias("gap"))
+    """Largest difference of the states of the same rows in another order, and over how many states."""
+    state = E.platoon(t.ev, "entity", "line", "season", "y", 200.0, 200.0)
+    shuffled = E.platoon(t.ev.repartition(5, "part").select(*reversed(t.ev.columns)), "entity", "line", "season", "y", 200.0, 200.0)
+    gap = V.invariance_gap(state, shuffled, ["entity", "line", "season"], ["base", "residual"])
+    return gap.select("n", F.round("gap", 9).alias("gap"))
 
 
 @query("ev18_convex_weights", "WITH " + SCORED + """, g AS (SELECT avg(p * p) AS pp, avg(q * q) AS qq, avg(z * z) AS zz, avg(p * q) AS pq, avg(p * z) AS pz, avg(q * z) AS qz, avg(p * y) AS py, avg(q * y) AS qy, avg(z * y) AS zy FROM sc),
@@ -172,7 +173,7 @@ def ev18(t):
     return t.spark.createDataFrame([(k, round(float(v), 6)) for k, v in V.convex_weights(g, ["p", "q", "z"], "y").items()], "name string, weight double")
 
 
-@query("ev19_artifact_screen", "SELECT * FROM (VALUES ('p', true), ('y', false), ('qty', false)) v(name, usable)")
+@query("ev19_artifact_screen", "WITH " + SCORED + " SELECT unnest(['p', 'y', 'qty']) AS name, unnest([bool_and(coalesce(p BETWEEN 0 AND 1, false)) AND NOT bool_and(p = y), bool_and(coalesce(y BETWEEN 0 AND 1, false)) AND NOT bool_and(y = y), bool_and(coalesce(qty BETWEEN 0 AND 1, false)) AND NOT bool_and(qty = y)]) AS usable FROM sc")
 def ev19(t):
     return V.artifact_screen(scored(t), "y", ["p", "y", "qty"])
 

@@ -12,16 +12,16 @@ from ..operators.intervals import interval_join, seconds_since_1970
 from ..registry import query, r6
 
 
-@query("jn1_lookup", "WITH {EV}, r AS (SELECT entity, avg(y) AS rate FROM ev WHERE season < 1997 GROUP BY entity HAVING count(*) > 170) SELECT basket, part, line, e.entity, round(coalesce(rate, 0.5), 6) AS rate FROM ev e LEFT JOIN r ON r.entity = e.entity WHERE season = 1997")
+@query("jn1_lookup", "WITH {EV}, r AS (SELECT entity, avg(y) AS rate FROM ev GROUP BY entity HAVING count(*) > 600) SELECT basket, part, line, e.entity, round(coalesce(rate, 0.5), 6) AS rate FROM ev e LEFT JOIN r ON r.entity = e.entity")
 def jn1(t):
-    rates = t.ev.where("season < 1997").groupBy("entity").agg(F.avg("y").alias("rate"), F.count("*").alias("n")).where("n > 170")
-    return J.lookup(t.ev.where("season = 1997"), rates, ["entity"], {"rate": 0.5}).select("basket", "part", "line", "entity", r6("rate").alias("rate"))
+    rates = t.ev.groupBy("entity").agg(F.avg("y").alias("rate"), F.count("*").alias("n")).where("n > 600")
+    return J.lookup(t.ev, rates, ["entity"], {"rate": 0.5}).select("basket", "part", "line", "entity", r6("rate").alias("rate"))
 
 
-@query("jn2_composite_lookup", "WITH {EV}, r AS (SELECT entity, line, sum(y) AS s, count(*) AS n FROM ev WHERE season < 1998 GROUP BY entity, line) SELECT basket, part, e.line, e.entity, CAST(coalesce(s, 0) AS BIGINT) AS s, coalesce(n, 0) AS n FROM ev e LEFT JOIN r ON r.entity = e.entity AND r.line = e.line WHERE season = 1998")
+@query("jn2_composite_lookup", "WITH {EV}, r AS (SELECT entity, line, season + 1 AS season, sum(y) AS s, count(*) AS n FROM ev GROUP BY ALL) SELECT basket, part, e.line, e.entity, CAST(coalesce(s, 0) AS BIGINT) AS s, coalesce(n, 0) AS n FROM ev e LEFT JOIN r ON r.entity = e.entity AND r.line = e.line AND r.season = e.season")
 def jn2(t):
-    sums = t.ev.where("season < 1998").groupBy("entity", "line").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
-    return J.lookup(t.ev.where("season = 1998"), sums, ["entity", "line"], {"s": 0, "n": 0}).select("basket", "part", "line", "entity", "s", "n")
+    sums = t.ev.groupBy("entity", "line", (F.col("season") + 1).alias("season")).agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    return J.lookup(t.ev, sums, ["entity", "line", "season"], {"s": 0, "n": 0}).select("basket", "part", "line", "entity", "s", "n")
 
 
 @query("jn3_order_kept", "SELECT o_orderkey, c_mktsegment AS seg, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -36,19 +36,19 @@ def jn4(t):
     return J.contracted_join(t.orders.select("o_orderkey", "o_custkey"), customers, ["o_custkey"], "many_to_one").drop("o_custkey")
 
 
-@query("jn5_suffixed", "WITH {EV}, s AS (SELECT entity, season, count(*) AS n, avg(y) AS m FROM ev GROUP BY entity, season) SELECT a.entity, a.n AS n_a, round(a.m, 6) AS m_a, b.n AS n_b, round(b.m, 6) AS m_b FROM s a JOIN s b ON a.entity = b.entity AND a.season = 1997 AND b.season = 1998")
+@query("jn5_suffixed", "WITH {EV}, s AS (SELECT entity, season, count(*) AS n, avg(y) AS m FROM ev GROUP BY entity, season) SELECT a.entity, a.season, a.n AS n_a, round(a.m, 6) AS m_a, b.n AS n_b, round(b.m, 6) AS m_b FROM s a JOIN s b ON a.entity = b.entity AND a.season = b.season - 1")
 def jn5(t):
     s = t.ev.groupBy("entity", "season").agg(F.count("*").alias("n"), r6(F.avg("y")).alias("m"))
-    return J.suffixed_join(s.where("season = 1997").drop("season"), s.where("season = 1998").drop("season"), ["entity"], "_a", "_b")
+    return J.suffixed_join(s, s.withColumn("season", F.col("season") - 1), ["entity", "season"], "_a", "_b")
 
 
-@query("jn7_fallback_chain", """WITH {EV}, a AS (SELECT entity, line, avg(y) AS v FROM ev WHERE season = 1996 GROUP BY entity, line HAVING count(*) >= 10), b AS (SELECT line, avg(y) AS v FROM ev WHERE season = 1996 GROUP BY line HAVING count(*) >= 1000)
-SELECT basket, part, e.line, e.entity, round(coalesce(a.v, b.v, 0), 6) AS v FROM ev e LEFT JOIN a ON a.entity = e.entity AND a.line = e.line LEFT JOIN b ON b.line = e.line WHERE season = 1997""")
+@query("jn7_fallback_chain", """WITH {EV}, a AS (SELECT entity, line, season + 1 AS season, avg(y) AS v FROM ev GROUP BY ALL HAVING count(*) >= 10), b AS (SELECT line, season + 1 AS season, avg(y) AS v FROM ev GROUP BY ALL HAVING count(*) >= 1000)
+SELECT basket, part, e.line, e.entity, round(coalesce(a.v, b.v, 0), 6) AS v FROM ev e LEFT JOIN a ON a.entity = e.entity AND a.line = e.line AND a.season = e.season LEFT JOIN b ON b.line = e.line AND b.season = e.season""")
 def jn7(t):
-    past = t.ev.where("season = 1996")
-    a = past.groupBy("entity", "line").agg(F.avg("y").alias("v"), F.count("*").alias("n")).where("n >= 10")
-    b = past.groupBy("line").agg(F.avg("y").alias("v"), F.count("*").alias("n")).where("n >= 1000")
-    return J.fallback_lookup(t.ev.where("season = 1997"), [(a, ["entity", "line"]), (b, ["line"])], "v", "v", 0.0).select("basket", "part", "line", "entity", r6("v").alias("v"))
+    past = t.ev.withColumn("season", F.col("season") + 1)
+    a = past.groupBy("entity", "line", "season").agg(F.avg("y").alias("v"), F.count("*").alias("n")).where("n >= 10")
+    b = past.groupBy("line", "season").agg(F.avg("y").alias("v"), F.count("*").alias("n")).where("n >= 1000")
+    return J.fallback_lookup(t.ev, [(a, ["entity", "line", "season"]), (b, ["line", "season"])], "v", "v", 0.0).select("basket", "part", "line", "entity", r6("v").alias("v"))
 
 
 @query("jn8_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)")
@@ -227,10 +227,10 @@ def jn20(t):
     return J.aligned(a, t.events.select("event_id", y, r6(F.col("value") / 400).alias("p2")), "event_id", "y")
 
 
-@query("jn21_grid_completion", """WITH {EV}, g AS (SELECT entity, line FROM (SELECT DISTINCT entity FROM ev), (SELECT unnest([1, 2, 3, 8]) AS line)), n AS (SELECT entity, line, count(*) AS n FROM ev WHERE season = 1998 GROUP BY ALL)
+@query("jn21_grid_completion", """WITH {EV}, g AS (SELECT entity, line FROM (SELECT DISTINCT entity FROM ev), (SELECT unnest([1, 2, 3, 8]) AS line)), n AS (SELECT entity, line, count(*) AS n FROM ev GROUP BY ALL)
 SELECT entity, line, coalesce(n, 0) AS n FROM g LEFT JOIN n USING (entity, line)""")
 def jn21(t):
-    n = t.ev.where("season = 1998").groupBy("entity", "line").agg(F.count("*").alias("n"))
+    n = t.ev.groupBy("entity", "line").agg(F.count("*").alias("n"))
     return J.grid(t.ev, {"entity": None, "line": [1, 2, 3, 8]}, n, {"n": 0})
 
 

@@ -237,11 +237,17 @@ def eb21(t):
 KEYSETS = [["entity"], ["entity", "line"], ["status", "flag"]]
 
 
-@query("eb22_residual_library", "WITH {EV}, r AS (SELECT *, y - avg(y) OVER () AS r FROM ev WHERE season = 1998), g AS (SELECT 'entity' AS keys, CAST(entity AS VARCHAR) AS value, r FROM r UNION ALL SELECT 'entity+line', entity || '|' || line, r FROM r UNION ALL SELECT 'status+flag', status || '|' || flag, r FROM r), s AS (SELECT keys, value, sum(r) AS s, count(*) AS n FROM g GROUP BY ALL) SELECT keys, value, n, k, round(s / (n + k), 6) + 0 AS effect FROM s, (SELECT unnest([20.0, 100.0, 500.0])::DOUBLE AS k)")
+#: The grid of pseudo-counts (fixed values).
+PSEUDO = (20, 50, 100, 200, 500, 1000, 3000, 10000)
+
+
+@query("eb22_residual_library", "WITH {EV}, r AS (SELECT *, y - avg(y) OVER (PARTITION BY season) AS r FROM ev), g AS (SELECT season, 'entity' AS keys, CAST(entity AS VARCHAR) AS value, r FROM r UNION ALL SELECT season, 'entity+line', entity || '|' || line, r FROM r UNION ALL SELECT season, 'status+flag', status || '|' || flag, r FROM r), s AS (SELECT season, keys, value, sum(r) AS s, count(*) AS n FROM g GROUP BY ALL) SELECT season + 1 AS season, keys, value, n, k, round(s / (n + k), 6) + 0 AS effect FROM s, (SELECT unnest([" + ", ".join(f"{k}.0" for k in PSEUDO) + "])::DOUBLE AS k)")
 def eb22(t):
-    rows = t.ev.where("season = 1998")
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.avg("y").alias("m")))).withColumn("r", F.col("y") - F.col("m"))
-    return E.residual_effects(rows, KEYSETS, "r", (20, 100, 500)).withColumn("effect", r6("effect") + 0)
+    """Effects learned in each season, for use in the next."""
+    means = t.ev.groupBy("season").agg(F.avg("y").alias("m"))
+    rows = t.ev.join(means, "season").withColumn("r", F.col("y") - F.col("m"))
+    library = E.residual_effects(rows, KEYSETS, "r", PSEUDO, ["season"])
+    return library.withColumns({"season": F.col("season") + 1, "effect": r6("effect") + 0})
 
 
 @query("eb23_nested_axes", "WITH {EV}, a AS (SELECT entity, avg(y) AS m FROM ev GROUP BY ALL), b AS (SELECT entity, status, count(*) AS n, avg(y) AS m FROM ev GROUP BY ALL), c AS (SELECT entity, status, line, count(*) AS n, avg(y) AS m FROM ev GROUP BY ALL) SELECT entity, status, c.line, round(b.n / (b.n + 40.0) * (b.m - a.m) + 0.5 * c.n / (c.n + 25.0) * (c.m - b.m), 6) AS score FROM c JOIN b USING (entity, status) JOIN a USING (entity)")
