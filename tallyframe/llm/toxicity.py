@@ -49,10 +49,14 @@ FLUSH_WORDS = 200_000
 WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+def beginnings(word: str) -> set[str]:
+    return {word[:n] + "*" for n in (4, 5) if len(word) > n}
+
+
 def words(text: str | None) -> set[str]:
     """Distinct lower-cased words, and beginnings of words, which catch inflected and compound forms."""
     found = set(WORD.findall(text.lower())) if text else set()
-    return found | {w[:4] + "*" for w in found if len(w) > 4} | {w[:5] + "*" for w in found if len(w) > 5}
+    return found.union(*map(beginnings, found))
 
 
 @dataclass
@@ -62,14 +66,19 @@ class ToxicityModel:
 
 
 def swaps(found: set[str], groups=IDENTITY_TERMS) -> list[set[str]]:
-    """Copies of a text's words with every identity term replaced by the next, and by the one after."""
+    """Copies of a text's words with every identity term, and its beginnings, replaced by those of the next, of the one after, and by none.
+
+    Swaps among terms alone would let all of them share a weight; the copy without a term ties it to that of neutral words.
+    """
+    terms = {w: g for g in groups for w in g if w in found}
+    rest = found - set(terms)
+    held = set().union(*map(beginnings, (w for w in rest if not w.endswith("*"))))
+    rest -= set().union(*map(beginnings, terms)) - held
     copies = []
-    for step in (1, 2):
-        changed = set()
-        for w in found:
-            group = next((g for g in groups if w in g), None)
-            changed.add(group[(group.index(w) + step) % len(group)] if group else w)
-        if changed != found:
+    for step in (1, 2, None):
+        others = {g[(g.index(w) + step) % len(g)] for w, g in terms.items()} if step else set()
+        changed = rest | others.union(*map(beginnings, others))
+        if terms and changed != found:
             copies.append(changed)
     return copies
 
