@@ -118,4 +118,4 @@ def test_queries_are_named_by_number():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
