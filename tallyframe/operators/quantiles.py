@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAF, CUTS, MAX_ROUNDS = 1_000_000, 127, 12
+from .stored import stored
+
+LEAF, CUTS = 1_000_000, 127
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: Sequence[float], leaf: int = LEAF) -> DataFrame:
@@ -28,8 +30,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: Sequenc
     ranks = F.array_distinct(F.array(*[f(place(q)).cast("long") for q in qs for f in (F.floor, F.ceil)]))
     # Intervals (lo, hi] with the rows below them and inside.
     open_ = sizes.select(*group, F.explode(ranks).alias("_rank"), F.lit(float("-inf")).alias("_lo"), "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_m"), (F.col("_min") == F.col("_hi")).alias("_same"))
-    open_ = open_.persist()
-    for _ in range(MAX_ROUNDS):
+    open_ = stored(open_)
+    while True:  # every round cuts each open interval at a value inside it
         wide = open_.where((F.col("_m") > leaf) & ~F.col("_same"))
         if not wide.limit(1).count():
             break
@@ -47,9 +49,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], column: str, qs: Sequenc
         narrowed = wide.join(counted, [*group, "_hi"]).where(hit).select(
             *group, "_rank", F.coalesce("_new_lo", "_lo").alias("_lo"), F.col("_new_hi").alias("_hi"), F.col("_new_below").alias("_below"), F.col("_new_m").alias("_m"), F.col("_new_same").alias("_same")
         )
-        open_ = open_.where((F.col("_m") <= leaf) | F.col("_same")).unionByName(narrowed).persist()
-    else:
-        raise RuntimeError(f"quantiles did not settle in {MAX_ROUNDS} rounds")
+        open_ = stored(open_.where((F.col("_m") <= leaf) | F.col("_same")).unionByName(narrowed))
     values = within(rows, open_.select(*group, "_lo", "_hi", "_below").distinct(), group).groupBy(*group, "_hi", "_below", "_x").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*group, "_hi").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ends = values.withColumn("_upto", F.col("_below") + F.sum("_c").over(w)).select(*group, "_hi", "_x", "_upto", "_c")
