@@ -132,14 +132,14 @@ def nearest_prototypes(queries: DataFrame, prototypes: DataFrame, bucket: str, i
     named = lambda df, key, out: df.select(F.col(bucket).alias("b"), F.col(key).cast("long").alias(out), F.col(vector).cast("array<double>").alias("v")).where(f"b is not null and {out} is not null and v is not null")
     few = F.row_number().over(Window.partitionBy("b", "v").orderBy("j"))
     protos = stored(named(prototypes, other, "j").withColumn("few", few).where(F.col("few") <= k + 1).drop("few").withColumn("h", F.pmod(F.xxhash64("j"), F.lit(HASH))))
-    sizes = stored(protos.groupBy("b").agg(F.count("*").alias("n"), F.min("h").alias("low")))
+    sizes = protos.groupBy("b").agg(F.count("*").alias("n"), F.min("h").alias("low"))
     share = F.least(F.ceil(F.sqrt("n")), F.lit(MAX_PIVOTS)) / F.col("n") * HASH
     chosen = protos.join(sizes, "b").where((F.col("h") < share) | (F.col("h") == F.col("low")))
     packs = stored(chosen.select("b", "v").distinct().groupBy("b").applyInPandas(lambda pdf: pd.DataFrame({"b": pdf["b"].iloc[:1], "pivots": [[np.array(x, dtype=float).tobytes() for x in pdf["v"]]]}), f"b {kind}, pivots array<binary>"))
     routed = salted(protos.drop("h"), sizes, ["b"], ROUTE_ROWS, "j", "part")
     cells = routed.groupBy("b", "part").cogroup(packs_of(packs, sizes).groupBy("b", "part"))
     cells = stored(cells.applyInPandas(lambda key, x, y: place(x, y), f"b {kind}, j long, cell int, dist double, v binary"))
-    stats = stored(cells.groupBy("b", "cell").agg(F.count("*").alias("n"), F.min("dist").alias("near"), F.max("dist").alias("wide")))
+    stats = cells.groupBy("b", "cell").agg(F.count("*").alias("n"), F.min("dist").alias("near"), F.max("dist").alias("wide"))
     paged = salted(cells, stats, ["b", "cell"], PAGE_ROWS, "j", "page")
     pages = stored(paged.groupBy("b", "cell", "page").applyInPandas(pack_page, f"b {kind}, cell int, js binary, dists binary, vs binary"))
     held = stats.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("near", "wide")))).alias("of"))  # MAX_PIVOTS or so each
@@ -148,8 +148,8 @@ def nearest_prototypes(queries: DataFrame, prototypes: DataFrame, bucket: str, i
     known = packs.join(held, "b").select("b", "pivots", edge("near", 0.0).alias("near"), edge("wide", float("inf")).alias("wide"))
 
     asked = named(queries, id, "i")
-    counts = stored(asked.groupBy("b").agg(F.count("*").alias("n")))
-    asked = stored(salted(asked, counts, ["b"], ROUTE_ROWS, "i", "part"))
+    counts = asked.groupBy("b").agg(F.count("*").alias("n"))
+    asked = salted(asked, counts, ["b"], ROUTE_ROWS, "i", "part")
     spread = packs_of(known, counts)
 
     def visit(limits: DataFrame, first: bool) -> DataFrame:
