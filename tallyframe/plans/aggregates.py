@@ -19,7 +19,9 @@ def agg1(t):
 
 @query("agg2_named", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 6) AS s, min(o_totalprice) AS lo, arg_min(o_orderpriority, o_orderdate) AS first_priority FROM orders GROUP BY o_custkey")
 def agg2(t):
-    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), r6(F.sum("o_totalprice")).alias("s"), F.min("o_totalprice").alias("lo"), F.min_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("first_priority"))
+    # As in SQL, orders without a date or a priority are never the first; orders of one date, which SQL leaves open, go by key.
+    dated = F.when(F.col("o_orderdate").isNotNull() & F.col("o_orderpriority").isNotNull(), F.struct("o_orderdate", "o_orderkey"))
+    return t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"), r6(F.sum("o_totalprice")).alias("s"), F.min("o_totalprice").alias("lo"), F.min_by("o_orderpriority", dated).alias("first_priority"))
 
 
 @query("agg3_global_mean", "WITH {EV} SELECT round(avg(y), 6) AS prior FROM ev")
