@@ -3,8 +3,9 @@
 Of a bucket of n prototypes about sqrt(n) are pivots. Each prototype lies in the cell of its nearest pivot and holds its
 distance d to it. A query at distance e from the pivot is at least |e - d| away, so whole cells, and then the rows of a cell,
 are left out by the k-th best distance so far, without being compared. Each query first visits its nearest cell, which gives
-that distance, and then the cells that can't be left out. Rows travel as packed pages and blocks of a bounded size, dealt by
-salt where a bucket or a cell is large, and tasks return the k best of a page for each query.
+that distance. Queries near to each other then go in chunks to the pages of the cells that some of them can't leave out, a
+bounded number of pages at a time; no row is made for a pair of query and cell. Rows travel as packed pages, blocks and
+chunks of a bounded size, dealt by salt where a bucket or a cell is large, and tasks return the k best for each query.
 
 Vectors of a bucket have one length. Equal prototypes of a bucket are held k + 1 times at most (of the smallest ids), which
 is all that an answer can name. Null buckets, ids and vectors take no part; queries have ids of their own.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .quantiles import exact_quantiles
 from .stored import stored
 
-#: Rows routed at once, rows of a page and of a block of queries, and most pivots of a bucket.
-ROUTE_ROWS, PAGE_ROWS, BLOCK_ROWS, MAX_PIVOTS = 4096, 512, 256, 1024
+#: Rows routed at once, rows of a page and of a block of queries, most pivots of a bucket, and rows of pages that a chunk meets at once.
+ROUTE_ROWS, PAGE_ROWS, BLOCK_ROWS, MAX_PIVOTS, MEET_ROWS = 4096, 512, 256, 1024, 16384
 HASH = 1 << 31
 
 
@@ -90,34 +91,69 @@ def search_page(js, dists, v, ids, to, within, q, k: int) -> tuple[list[tuple[np
     return out, computed
 
 
-def visits(queries: DataFrame, packs: DataFrame, kind: str, k: int, first: bool) -> DataFrame:
-    """b, cell, i, q, to, within: the nearest cell of each query (first), or all others that its bound can't leave out."""
+def reach(q: np.ndarray, within: np.ndarray, pack: pd.Series, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of queries: distances to the pivots, bounds by these, nearest cell, and which cells (columns) the bounds leave."""
+    near, wide = np.array(pack["near"]), np.array(pack["wide"])
+    to = apart(q, matrix(pack["pivots"]))
+    if to.shape[1] > k:  # pivots are prototypes, and one of them may be the query itself
+        within = np.minimum(within, np.partition(to, k, axis=1)[:, k])
+    # A cell holds distances from `near` to `wide` of its pivot; an empty one has none.
+    least = np.maximum(0.0, np.maximum(to - wide, near - to))
+    return to, within, np.where(np.isfinite(wide), to, np.inf).argmin(axis=1), (least <= slack(within)[:, None]) & np.isfinite(wide)
+
+
+def nearest_cells(queries: DataFrame, packs: DataFrame, kind: str, k: int) -> DataFrame:
+    """b, cell, i, q, to, within: each query in its nearest cell."""
 
     def choose(rows: pd.DataFrame, pack: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"b": rows["b"].iloc[:0], "cell": [], "i": [], "q": [], "to": [], "within": []})
         if not len(pack) or not len(rows):
-            return empty
-        pivots, near, wide = matrix(pack["pivots"].iloc[0]), np.array(pack["near"].iloc[0]), np.array(pack["wide"].iloc[0])
+            return pd.DataFrame({"b": rows["b"].iloc[:0], "cell": [], "i": [], "q": [], "to": [], "within": []})
         q = np.array(rows["v"].tolist(), dtype=float)
-        to, within = apart(q, pivots), rows["within"].to_numpy(dtype=float)
-        if to.shape[1] > k:  # pivots are prototypes, and one of them may be the query itself
-            within = np.minimum(within, np.partition(to, k, axis=1)[:, k])
-        # A cell holds distances from `near` to `wide` of its pivot; an empty one has none.
-        least = np.maximum(0.0, np.maximum(to - wide, near - to))
-        nearest = np.where(np.isfinite(wide), to, np.inf).argmin(axis=1)
-        chosen = np.zeros(to.shape, dtype=bool)
-        if first:
-            chosen[np.arange(len(q)), nearest] = True
-        else:
-            chosen = (least <= slack(within)[:, None]) & np.isfinite(wide)
-            chosen[np.arange(len(q)), nearest] = False
-        row, cell = np.nonzero(chosen)
-        return pd.DataFrame({"b": rows["b"].to_numpy()[row], "cell": cell.astype(np.int32), "i": rows["i"].to_numpy()[row], "q": [q[r].tobytes() for r in row], "to": to[row, cell], "within": within[row]})
+        to, within, cell, _ = reach(q, np.full(len(q), np.inf), pack.iloc[0], k)
+        return pd.DataFrame({"b": rows["b"], "cell": cell.astype(np.int32), "i": rows["i"], "q": [x.tobytes() for x in q], "to": to[np.arange(len(q)), cell], "within": within})
 
     schema = f"b {kind}, cell int, i long, q binary, to double, within double"
     return queries.groupBy("b", "part").cogroup(packs.groupBy("b", "part")).applyInPandas(lambda key, x, y: choose(x, y), schema)
 
 
+def pack_chunk(rows: pd.DataFrame, pack: pd.DataFrame, k: int) -> pd.DataFrame:
+    """A chunk of queries, and the cells that some of them can't leave out."""
+    if not len(pack) or not len(rows):
+        return pd.DataFrame({"b": rows["b"].iloc[:0], "chunk": [], "part": [], "ids": [], "limits": [], "qs": [], "cells": []})
+    q = matrix(rows["q"])
+    _, within, _, chosen = reach(q, rows["within"].to_numpy(dtype=float), pack.iloc[0], k)
+    return pd.DataFrame({
+        "b": rows["b"].iloc[:1], "chunk": rows["chunk"].iloc[:1], "part": rows["part"].iloc[:1], "ids": [rows["i"].to_numpy(dtype=np.int64).tobytes()],
+        "limits": [within.tobytes()], "qs": [q.tobytes()], "cells": [np.flatnonzero(chosen.any(axis=0)).astype(np.int32)],
+    }).reset_index(drop=True)
+
+
+def search_chunk(chunk: pd.Series, pages: pd.DataFrame, k: int) -> pd.DataFrame:
+    """i, j, dist: the k best rows of the pages for each query of the chunk. Bounds narrow from page to page."""
+    ids, limits = np.frombuffer(chunk["ids"], dtype=np.int64), np.frombuffer(chunk["limits"], dtype=float).copy()
+    q = np.frombuffer(chunk["qs"], dtype=float).reshape(len(ids), -1)
+    best_r, best_j, best_d = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    norms = (q * q).sum(axis=1)
+    for page in pages.itertuples(index=False):
+        js = np.frombuffer(page.js, dtype=np.int64)
+        v = np.frombuffer(page.vs, dtype=float).reshape(len(js), -1)
+        wide = (v * v).sum(axis=1)
+        # Products pick the candidates, with room for their rounding; distances are taken from differences.
+        square = norms[:, None] + wide[None, :] - 2 * q @ v.T
+        room = 1e-12 * (norms.max(initial=0.0) + wide.max(initial=0.0)) * q.shape[1]
+        r, c = np.nonzero((square <= (slack(limits) ** 2)[:, None] + room) & (ids[:, None] != js[None, :]))
+        far = np.concatenate([np.zeros(0), *[np.sqrt(((v[c[at : at + 65536]] - q[r[at : at + 65536]]) ** 2).sum(axis=1)) for at in range(0, len(r), 65536)]])
+        good = far <= slack(limits[r])
+        rs, jj, dd = np.concatenate([best_r, r[good]]), np.concatenate([best_j, js[c[good]]]), np.concatenate([best_d, far[good]])
+        order = np.lexsort((jj, dd, rs))
+        rs, jj, dd = rs[order], jj[order], dd[order]
+        rank = np.arange(len(rs)) - np.searchsorted(rs, rs)
+        kth = rank == k - 1
+        limits[rs[kth]] = np.minimum(limits[rs[kth]], dd[kth])
+        best_r, best_j, best_d = rs[rank < k], jj[rank < k], dd[rank < k]
+    return pd.DataFrame({"i": ids[best_r], "j": best_j, "dist": best_d})
+
+
 def best_of(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("i").orderBy("dist", "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -152,27 +188,41 @@ def nearest_prototypes(queries: DataFrame, prototypes: DataFrame, bucket: str, i
     asked = salted(asked, counts, ["b"], ROUTE_ROWS, "i", "part")
     spread = packs_of(known, counts)
 
-    def visit(limits: DataFrame, first: bool) -> DataFrame:
-        wanted = stored(visits(limits, spread, kind, k, first))
-        dealt = salted(wanted, wanted.groupBy("b", "cell").agg(F.count("*").alias("n")), ["b", "cell"], BLOCK_ROWS, "i", "block")
-        blocks = dealt.groupBy("b", "cell", "block").applyInPandas(pack_block, f"b {kind}, cell int, ids binary, tos binary, limits binary, qs binary")
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    js, ids = (np.frombuffer(x, dtype=np.int64) for x in (r.js, r.ids))
-                    dists, to, within = (np.frombuffer(x, dtype=float) for x in (r.dists, r.tos, r.limits))
-                    v, q = np.frombuffer(r.vs, dtype=float).reshape(len(js), -1), np.frombuffer(r.qs, dtype=float).reshape(len(ids), -1)
-                    out, _ = search_page(js, dists, v, ids, to, within, q, k)
-                    if out:
-                        yield pd.DataFrame(dict(zip(("i", "j", "dist"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-        return pages.join(blocks, ["b", "cell"]).drop("b", "cell").mapInPandas(search, "i long, j long, dist double")
-
-    near = stored(best_of(visit(asked.withColumn("within", F.lit(float("inf"))), True), k))
+    homes = stored(nearest_cells(asked, spread, kind, k))
+    dealt = salted(homes, homes.groupBy("b", "cell").agg(F.count("*").alias("n")), ["b", "cell"], BLOCK_ROWS, "i", "block")
+    blocks = dealt.groupBy("b", "cell", "block").applyInPandas(pack_block, f"b {kind}, cell int, ids binary, tos binary, limits binary, qs binary")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                js, ids = (np.frombuffer(x, dtype=np.int64) for x in (r.js, r.ids))
+                dists, to, within = (np.frombuffer(x, dtype=float) for x in (r.dists, r.tos, r.limits))
+                v, q = np.frombuffer(r.vs, dtype=float).reshape(len(js), -1), np.frombuffer(r.qs, dtype=float).reshape(len(ids), -1)
+                out, _ = search_page(js, dists, v, ids, to, within, q, k)
+                if out:
+                    yield pd.DataFrame(dict(zip(("i", "j", "dist"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    near = best_of(pages.join(blocks, ["b", "cell"]).drop("b", "cell").mapInPandas(search, "i long, j long, dist double"), k)
     kth = near.where(F.col("rank") == k).select("i", F.col("dist").alias("kth"))
-    narrowed = asked.join(kth, "i", "left").withColumn("within", F.coalesce("kth", F.lit(float("inf")))).drop("kth")
-    found = best_of(near.drop("rank").unionByName(visit(narrowed, False)), k)
+    narrowed = homes.join(kth, "i", "left").withColumn("within", F.least("within", F.coalesce("kth", F.lit(float("inf")))))
+
+    # Chunks of about ROUTE_ROWS queries from as few cells as may be; large cells are dealt over several.
+    homed = homes.groupBy("b", "cell").agg(F.count("*").alias("n"))
+    run = F.sum("n").over(Window.partitionBy("b").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = stored(homed.select("b", "cell", "n", F.floor(F.coalesce(run, F.lit(0)) / ROUTE_ROWS).cast("int").alias("chunk")))
+    chunked = salted(narrowed.join(starts.select("b", "cell", "chunk"), ["b", "cell"]), starts, ["b", "cell"], ROUTE_ROWS, "i", "part").select("b", "chunk", "part", "i", "q", "within")
+    keys = ["b", "chunk", "part"]
+    every_part = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / ROUTE_ROWS).cast("int") - 1)).alias("part")
+    copies = known.join(starts.select("b", F.col("chunk").alias("chunk"), every_part).distinct(), "b").select(*[F.col(c).alias(c) for c in (*keys, "pivots", "near", "wide")])
+    schema = f"b {kind}, chunk int, part int, ids binary, limits binary, qs binary, cells array<int>"
+    chunks = stored(chunked.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(lambda x, y: pack_chunk(x, y, k), schema))
+    meets = F.greatest(F.lit(1), F.ceil(F.col("n") / MEET_ROWS)).cast("int")
+    parts = protos.groupBy("b").agg(F.count("*").alias("n")).select("b", meets.alias("meets"))
+    met = chunks.select(*keys, F.explode("cells").alias("cell")).join(pages.select("b", "cell", "js", "vs", F.xxhash64("js").alias("h")), ["b", "cell"])
+    met = met.join(parts, "b").select(*keys, F.pmod("h", "meets").cast("int").alias("meet"), "js", "vs")
+    asking = chunks.join(parts, "b").withColumn("meet", F.explode(F.sequence(F.lit(0), F.col("meets") - 1))).select(*[F.col(c).alias(c) for c in (*keys, "meet", "ids", "limits", "qs")])
+    found = met.groupBy(*keys, "meet").cogroup(asking.groupBy(*keys, "meet")).applyInPandas(lambda x, y: search_chunk(y.iloc[0], x, k), "i long, j long, dist double")
+    found = best_of(found, k)
     return found.select(F.col("i").alias(id), F.col("j").alias(other), "dist", "rank")
 
 

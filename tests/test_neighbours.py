@@ -73,3 +73,18 @@ def test_scales_and_means(spark):
     near = spark.createDataFrame([(1, 10, 0.0, 1), (1, 11, 1.0, 2)], "i long, j long, dist double, rank int")
     protos = spark.createDataFrame([(10, 1000, 1.0), (11, 4, 0.0)], "j long, n long, y double")
     assert N.neighbour_means(near, protos, "i", "j", "n", ["y"]).first()["y"] == pytest.approx(16 / 17)
+
+
+def test_a_chunk_is_no_larger_for_more_cells():
+    """Where no cell can be left out, a query's vector is still held once, and the pages give all neighbours."""
+    rnd = np.random.default_rng(6)
+    v, pivots = rnd.normal(size=(600, 64)), rnd.normal(size=(300, 64))
+    pack = N.pd.DataFrame({"pivots": [[x.tobytes() for x in pivots]], "near": [[0.0] * 300], "wide": [[100.0] * 300]})
+    rows = N.pd.DataFrame({"b": "x", "chunk": 0, "part": 0, "i": np.arange(600), "q": [x.tobytes() for x in v], "within": np.inf})
+    chunk = N.pack_chunk(rows, pack, 3).iloc[0]
+    assert len(chunk["cells"]) == 300 and len(chunk["qs"]) == 600 * 64 * 8
+    chunk["limits"] = np.full(600, np.inf).tobytes()
+    pages = N.pd.DataFrame({"js": [np.arange(a, a + 50).tobytes() for a in range(0, 600, 50)], "vs": [v[a : a + 50].tobytes() for a in range(0, 600, 50)]})
+    got = N.search_chunk(chunk, pages, 3)
+    far = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2)) + np.diag([np.inf] * 600)
+    assert np.array_equal(got["j"].to_numpy().reshape(600, 3), np.argsort(far, axis=1, kind="stable")[:, :3])
