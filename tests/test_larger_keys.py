@@ -31,3 +31,21 @@ def test_starter_of_parts_above_a_hundred_thousand(spark, tmp_path):
     at = lambda key, part, entity, line, day: (key, part, entity, line, 1.0, 2.0, 0.1, 0.1, "R", "F", datetime.datetime(1996, 1, day))
     rows = [at(900001, 119_999, 5, 1, 1), at(900001, 3, 6, 2, 2), at(900001, 119_999, 5, 1, 3), *[(*at(900001, 1, e, 7, 4)[:10], datetime.datetime(1997, 1, 1)) for e in (5, 6)]]
     same(spark, *copy_with(spark, tmp_path, "lineitem", rows), "eb19_reconstructed_role")
+
+
+def test_quantiles_of_repeated_values_settle_in_one_round(spark, monkeypatch):
+    """Large groups of few values, as copies make them, and of distinct ones: the scans of a round are not repeated."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import quantiles as Q
+
+    calls, stored = [], Q.stored
+    monkeypatch.setattr(Q, "stored", lambda df: calls.append(1) or stored(df))
+    df = spark.range(60_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id") % 50).otherwise(F.pmod(F.xxhash64("id"), F.lit(10**9))).cast("double").alias("v"))
+    rows = df.collect()
+    qs = [0.1, 0.25, 0.5, 0.9]
+    got = {r.k: r.quantiles for r in Q.exact_quantiles(df, ["k"], "v", qs, 3000).collect()}
+    for k in (0, 1):
+        assert np.allclose(got[k], np.quantile([r.v for r in rows if r.k == k], qs))
+    assert len(calls) <= 3  # sizes, first intervals, one round
