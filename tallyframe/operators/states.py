@@ -6,7 +6,7 @@ keys without rows in their own season are added with zero counts first, so that
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -252,6 +252,11 @@ def log_normal_density(x: Column, mean: Column, sd: Column) -> Column:
     return -F.pow((x - mean) / sd, 2) / 2 - F.ln(sd)
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once a row, however often `use` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def season_boundary(seen: Column, recent: Column, tails: Column, games: Column) -> Column:
     """How far a window of recent games reaches back into the season before, as a posterior over its places.
 
@@ -278,12 +283,17 @@ def season_boundary(seen: Column, recent: Column, tails: Column, games: Column)
         weight = F.when(complete > 0, rows + events).otherwise(0.0) - excess * excess / 2
         return F.struct(F.when(possible, weight).alias("log"), (-complete).alias("rank"), open_n.cast("double").alias("n"), open_s.cast("double").alias("s"))
 
-    known = F.filter(F.transform(tails, hypothesis), lambda h: h["log"].isNotNull())
-    best = F.array_max(known)
     grown = lambda sums, h, w: F.struct(*[(sums[c] + w * x).alias(c) for c, x in (("w", F.lit(1.0)), ("n", h["n"]), ("s", h["s"]))])
-    sums = F.aggregate(known, F.struct(*[F.lit(0.0).alias(c) for c in "wns"]), lambda sums, h: grown(sums, h, F.exp(h["log"] - best["log"])))
-    share = lambda x: F.coalesce(x / F.nullif(sums["w"], F.lit(0.0)), F.lit(0.0))
-    return F.struct(share(sums["n"]).alias("expected_n"), share(sums["s"]).alias("expected_s"), F.coalesce(-best["rank"], F.lit(-1)).alias("mode"), share(F.lit(1.0)).alias("confidence"))
+
+    def result(known: Column, best: Column, sums: Column) -> Column:
+        share = lambda x: F.coalesce(x / F.nullif(sums["w"], F.lit(0.0)), F.lit(0.0))
+        return F.struct(share(sums["n"]).alias("expected_n"), share(sums["s"]).alias("expected_s"), F.coalesce(-best["rank"], F.lit(-1)).alias("mode"), share(F.lit(1.0)).alias("confidence"))
+
+    def weighed(known: Column, best: Column) -> Column:
+        return F.aggregate(known, F.struct(*[F.lit(0.0).alias(c) for c in "wns"]), lambda sums, h: grown(sums, h, F.exp(h["log"] - best["log"])))
+
+    known = F.filter(F.transform(tails, hypothesis), lambda h: h["log"].isNotNull())
+    return once(known, lambda known: once(F.array_max(known), lambda best: once(weighed(known, best), lambda sums: result(known, best, sums))))
 
 
 def normalised(df: DataFrame, row: Sequence[str], x: Column, out: str) -> DataFrame:

@@ -49,3 +49,21 @@ def test_quantiles_of_repeated_values_settle_in_one_round(spark, monkeypatch):
     for k in (0, 1):
         assert np.allclose(got[k], np.quantile([r.v for r in rows if r.k == k], qs))
     assert len(calls) <= 3  # sizes, first intervals, one round
+
+
+def plan_of(spark, query):
+    return catalog.queries()[query](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boundary_posterior_names_its_best_hypothesis_once(spark):
+    from pyspark.sql import functions as F
+
+    from tallyframe.operators import states as E
+
+    counts = lambda: F.struct(F.lit(3).alias("n"), F.lit(1).alias("s"))
+    games = F.struct(F.lit(2.0).alias("mean"), F.lit(1.0).alias("sd"), F.lit(0.5).alias("rate"))
+    assert str(E.season_boundary(counts(), counts(), F.array(counts()), games)).lower().count("array_max") == 1
+
+
+def test_sketches_are_held_against_sums(spark):
+    assert "distinct part" not in plan_of(spark, "skt1_before_season")
