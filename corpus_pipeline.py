@@ -28,7 +28,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: the one with the smallest id, or without an id if none has one."""
+    """One document of each near-duplicate class stays: the one with the smallest id, or without an id if none has one.
+
+    Classes link by SimHash fingerprints as op6's do, and by similar sets of shingles between those.
+    """
     return one_of_each(docs.select(*DOCUMENT_COLUMNS))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -38,6 +39,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Drop the shuffle files and checkpoints of results out of use, which Spark keeps until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(k)

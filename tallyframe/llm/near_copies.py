@@ -1,6 +1,8 @@
-"""Near copies: classes of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, complete.
+"""Near copies: classes of texts whose SimHash fingerprints link, or whose sets of five-word shingles are alike, complete.
 
-The pivot tables of `simhash`, for sets in place of fingerprints: a set's fingerprint is its row of bits over the space of
+`one_of_each` links texts by the fingerprints and pivot tables of `simhash` first (radius 4). What is left follows exactly, between
+the classes so found: all pairs of texts with a Jaccard similarity of 0.8 or more, whose fingerprints may be further apart.
+This takes the pivot tables to sets in place of fingerprints: a set's fingerprint is its row of bits over the space of
 shingle hashes, and the Hamming distance of two rows is the number of shingles that only one set has. The reference rows
 are all unions of CELLS equal slices of that space. The largest difference of two sets' distances to them is the sum,
 by slice, of the differences of their counts, so the table needs the counts alone. A pair of similarity s and sizes m, n has
@@ -31,8 +33,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed
-from .simhash import SEED, components
+from .common import bounded_batches, checkpointed, release
+from .simhash import RADIUS, SEED, components, fingerprint, link_fingerprints
 
 #: Words of a shingle, and similarity from which on texts link.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -100,16 +102,28 @@ def slice_counts(hashes: np.ndarray, cells: int = CELLS) -> bytes:
     return np.minimum(n, 255).astype(np.uint8).tobytes()
 
 
-def profiles(rows: DataFrame, shingle: int, least: float) -> Column:
-    """struct(size, keys, slices) of column t."""
+def profiles(rows: DataFrame, shingle: int, least: float) -> tuple[Column, list[Broadcast]]:
+    """struct(size, keys, pos, slices, fp) of column t, and what it reads: of the prefix's shingles those that may be in two rows, and their places."""
     shared = rows.sparkSession.sparkContext.broadcast(shingle_counts(rows, shingle))
 
-    @F.pandas_udf("size int, keys array<long>, slices binary")
+    @F.pandas_udf("array<long>")
+    def prefixes(texts: pd.Series) -> pd.Series:
+        return pd.Series([prefix(shingle_hashes(t, shingle), shared.value, least) for t in texts], dtype=object)
+
+    keys = rows.select(F.explode(prefixes(F.col("t").cast("binary"))).alias("key"))
+    table = bit_table(keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "key")
+
+    @F.pandas_udf("size int, keys array<long>, pos array<int>, slices binary, fp long")
     def made(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_hashes(t, shingle) for t in texts]
-        return pd.DataFrame({"size": np.array([len(s) for s in sets], dtype=np.int32), "keys": [prefix(s, shared.value, least) for s in sets], "slices": [slice_counts(s) for s in sets]})
+        keys = [prefix(s, shared.value, least) for s in sets]
+        pos = [np.flatnonzero(in_table(table.value, k)).astype(np.int32) for k in keys]
+        return pd.DataFrame({
+            "size": np.array([len(s) for s in sets], dtype=np.int32), "keys": [k[at] for k, at in zip(keys, pos, strict=True)], "pos": pos,
+            "slices": [slice_counts(s) for s in sets], "fp": np.array([fingerprint(t) for t in texts], dtype=np.int64),
+        })
 
-    return made(F.col("t").cast("binary"))
+    return made(F.col("t").cast("binary")), [shared, table]
 
 
 def bit_table(hashes: DataFrame, name: str) -> Broadcast:
@@ -204,31 +218,38 @@ def verified(pairs: DataFrame, met: DataFrame, rows: DataFrame, shingle: int, le
     return checkpointed(both.where(alike("a", "b", "x", "y") >= least).select("a", "b"))
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """n, size, key, pos of the shingles in the prefixes of nodes that may be in two of them."""
-    twice = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
-    table = bit_table(twice, "key")
+def simhash_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of texts (n, fp) whose fingerprints are in one class of `simhash`: each to the smallest of the class."""
+    prints = checkpointed(nodes.groupBy("fp").agg(F.count("*").alias("n"), F.min("n").alias("low")))
+    classes = checkpointed(prints.select("fp", "low").join(link_fingerprints(prints.select("fp", "n"), radius), "fp"))
+    roots = classes.groupBy("comp").agg(F.min("low").alias("b"), F.count("*").alias("prints"))
+    shared = classes.join(roots, "comp").select("fp", "b")
+    return checkpointed(nodes.select(F.col("n").alias("a"), "fp").join(shared, "fp").where("a <> b").select("a", "b"))
 
-    @F.pandas_udf("array<int>")
-    def places(keys: pd.Series) -> pd.Series:
-        return pd.Series([np.flatnonzero(in_table(table.value, k)).astype(np.int32) for k in keys], dtype=object)
 
-    found = nodes.select("n", "size", "keys", F.explode(places("keys")).alias("pos"))
-    found = checkpointed(found.select("n", "size", F.element_at("keys", F.col("pos") + 1).alias("key"), "pos"))
-    table.destroy()
-    return found
+def text_classes(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of rows (see `numbered`): the distinct texts (n, u, v, i: smallest id or null, copies), and n, root of those that link.
 
-
-def text_classes(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Of rows (see `numbered`): the distinct texts (n, u, v, i: smallest id or null, copies), and n, root of those that link."""
+    With a radius, texts whose SimHash fingerprints differ in no more bits link first.
+    """
     bounded_batches(rows.sparkSession)
-    made = rows.select("i", "u", "v", profiles(rows, shingle, least).alias("p"))
+    profile, read = profiles(rows, shingle, least)
+    made = rows.select("i", "u", "v", profile.alias("p"))
     grouped = made.groupBy("u", "v").agg(F.first("p").alias("p"), F.min("i").alias("i"), F.count("*").alias("copies"))
     nodes = checkpointed(grouped.select(F.monotonically_increasing_id().alias("n"), "u", "v", "i", "copies", "p.*"))
-    placed = meetings(nodes)
-    met = checkpointed(nodes.drop("keys", "copies").join(placed.select("n").distinct(), "n"))
-    placed = placed.withColumn("comp", F.col("n"))
+    for table in read:
+        table.destroy()
+    release(rows.sparkSession)
+    met = nodes.where(F.size("pos") > 0).drop("keys", "pos", "copies", "fp")
+    placed = nodes.select("n", "size", F.explode(F.arrays_zip("keys", "pos")).alias("at")).select("n", "size", "at.*").withColumnRenamed("keys", "key")
     links = tried = labels = None
+    if radius is None:
+        placed = placed.withColumn("comp", F.col("n"))
+    else:
+        links = simhash_links(nodes, radius)
+        placed = placed.join(links.withColumnsRenamed({"a": "n", "b": "comp"}), "n", "left").withColumn("comp", F.coalesce("comp", "n"))
+    placed = checkpointed(placed)
+    release(rows.sparkSession)
     for k in range(STARS + 1):
         # First the text that passed the least of its shingles, then any.
         rank = F.struct(-F.col("pos") / F.greatest("size", F.lit(1)), "n") if k == 0 else F.struct(F.xxhash64("n", F.lit(k)), "n")
@@ -253,17 +274,21 @@ def text_classes(rows: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
         linked = verified(near, met, rows, shingle, least)
         links = linked if links is None else links.union(linked)
         ends = links.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        labels = components(ends, links).select(F.col("fp").alias("n"), F.col("comp").alias("root"))
+        labels = checkpointed(components(ends, links).select(F.col("fp").alias("n"), F.col("comp").alias("root")))
         if k < STARS:
             left = placed.select("n", "size", "key", "pos").join(mixed.select("key"), "key").join(labels, "n", "left")
             placed = checkpointed(left.select("n", "size", "key", "pos", F.coalesce("root", "n").alias("comp")))
-    return nodes.select("n", "u", "v", "i", "copies"), checkpointed(labels)
+        release(rows.sparkSession)
+    return nodes.select("n", "u", "v", "i", "copies"), labels
 
 
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs of each class of near copies: of the smallest id (null ids last), then hash of the text, then row."""
+    """One row of docs of each class of near copies: of the smallest id (null ids last), then hash of the text, then row.
+
+    Texts link by SimHash, as in `simhash`, and where their fingerprints are further apart by their sets of shingles.
+    """
     rows = numbered(docs, id, text)
-    nodes, labels = text_classes(rows)
+    nodes, labels = text_classes(rows, radius=RADIUS)
     shared = nodes.join(labels, "n", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "n"))
     least = shared.groupBy("root").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "u", "v")).alias("k"))
     texts = shared.join(least, "root").select("u", "v", F.col("k.i").alias("keep"), ((F.col("k.u") == F.col("u")) & (F.col("k.v") == F.col("v"))).alias("here"))

@@ -89,3 +89,32 @@ def test_one_row_of_each_class_stays(spark):
     assert out.columns == list(corpus_pipeline.DOCUMENT_COLUMNS)
     assert sorted((r.doc_id or 0, r.text, r.lang or "") for r in out.collect()) == [(0, third, ""), (1, text, "en"), (3, other, "a"), (9, "", "en")]
     assert corpus_pipeline.dedup_stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_dedup_stage_links_by_simhash(spark):
+    """Fingerprints count repeats: texts may link by them whose sets of shingles are not alike."""
+    line = " ".join(f"w{k}" for k in range(10))
+    a, b = (" ".join([line] * 50 + [f"{end}{k}" for k in range(6)]) for end in "xy")
+    sets = [N.shingle_hashes(t.encode()) for t in (a, b)]
+    assert N.similarity(*sets) < 0.8 and ((N.fingerprint(a.encode()) ^ N.fingerprint(b.encode())) % (1 << 64)).bit_count() <= N.RADIUS
+    chain = " ".join([line] * 50 + [f"x{k}" for k in range(5)] + ["z"])  # alike with a by sets, too
+    docs = spark.createDataFrame([(3, a, "en", "s", 1), (2, b, "en", "s", 1), (5, chain, "en", "s", 1), (4, "a text of its own", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()) == [2, 4]
+
+
+def test_dedup_stage_joins_simhash_and_set_classes(spark):
+    """The classes kept one row of are those of both kinds of links together."""
+    docs = table(spark, FOLDER, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = docs.orderBy("doc_id").collect()
+    texts = [r.text for r in rows]
+    root = brute_similar(texts)
+    prints = [N.fingerprint((t or "").encode()) % (1 << 64) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (prints[i] ^ prints[j]).bit_count() <= N.RADIUS:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    want = {}
+    for r, of in zip(rows, root, strict=True):
+        want.setdefault(of, r.doc_id)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()) == sorted(want.values())
