@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str], defaults: dict[str, object]) -> DataFrame:
     """Left join many to one; missing values become the defaults."""
@@ -104,6 +106,57 @@ def multiset_dice(a: DataFrame, b: DataFrame, pairs: DataFrame, left: str, right
     return out.withColumns({"dice": dice, "jaccard": jaccard}).drop("_s", "_k", "_na", "_nb", "_da", "_db")
 
 
+#: Rows up to which a group's states go along with each of its rows. Larger groups meet without; the result is the same.
+CARRIED = 64
+
+
+def carried(rows: DataFrame, group: str, block: Sequence[str], state: str, end: str) -> DataFrame:
+    """A row for each block of each group of CARRIED rows at most: its states, counts, and the hashes of its blocks before this one."""
+    names = {c: f"{c}{end}" for c in ("_states", "_n", "_d", "_before")}
+    known = F.lit(True)
+    for c in block:
+        known &= F.col(c).isNotNull()
+    at = F.collect_set(F.when(known, F.struct(F.xxhash64(*block).alias("_key"), *block)))
+    small = rows.withColumn("_rows", F.count("*").over(Window.partitionBy(group))).where(F.col("_rows") <= CARRIED)
+    one = small.groupBy(group).agg(at.alias("_at"), F.collect_list(state).alias("_states"), F.count("*").alias("_n"), F.max(F.col(state).isNull()).alias("_none"))
+    one = one.withColumn("_d", F.size(F.array_distinct("_states")) + F.col("_none").cast("int"))
+    each = one.select(group, "_states", "_n", "_d", F.col("_at._key").alias("_keys"), F.explode("_at").alias("_here"))
+    before = F.filter("_keys", lambda k: k < F.col("_here._key"))
+    return each.select(group, "_states", "_n", "_d", before.alias("_before"), *[F.col("_here")[c].alias(c) for c in block]).withColumnsRenamed(names)
+
+
+def pairs_of_blocks(a: DataFrame, b: DataFrame, left: str, right: str, block: Sequence[str]) -> DataFrame:
+    """Distinct pairs of groups of which some rows agree in the block columns, by a join of the rows."""
+    return a.select(left, *block).join(b.select(right, *block), list(block)).select(left, right).distinct()
+
+
+def blocked_pairs(a: DataFrame, b: DataFrame, left: str, right: str, block: Sequence[str], state: str) -> DataFrame:
+    """Each pair of groups of which some rows agree in the block columns, once, with dice and jaccard as multiset_dice has them.
+
+    Groups are short as a rule, so a row takes its group's states into the join by block, and a pair is whole where it meets:
+    it is reported in the first block (by hash) that both share, and pairs are neither shuffled nor counted. Pairs of which a
+    group has more than CARRIED rows go the way of pairs_of_blocks and multiset_dice. A null group has null measures.
+    """
+    x, y = carried(a, left, block, state, ""), carried(b, right, block, state, "2")
+    met = x.join(y, list(block)).where(~F.arrays_overlap("_before", "_before2"))
+    k = F.array_intersect("_states", "_states2")
+    of = lambda states, v: F.size(F.filter(states, lambda u: u == v))
+    shared = F.aggregate(k, F.lit(0), lambda n, v: n + F.least(of("_states", v), of("_states2", v)))
+    met = met.select(left, right, "_n", "_n2", "_d", "_d2", F.size(k).alias("_k"), F.when((F.col("_n") == F.col("_d")) | (F.col("_n2") == F.col("_d2")), F.size(k)).otherwise(shared).cast("long").alias("_s"))
+    whole = F.col(left).isNotNull() & F.col(right).isNotNull()
+    dice, jaccard = 2 * F.col("_s") / (F.col("_n") + F.col("_n2")), F.col("_k") / (F.col("_d") + F.col("_d2") - F.col("_k"))
+    out = met.select(left, right, F.when(whole, dice).alias("dice"), F.when(whole, jaccard).alias("jaccard"))
+    large = {g: stored(rows.groupBy(g).agg(F.count("*").alias("_rows")).where(F.col("_rows") > CARRIED).select(g)) for rows, g in ((a, left), (b, right))}
+    if all(df.isEmpty() for df in large.values()):
+        return out
+    split = lambda rows, g: [rows.join(large[g].withColumnRenamed(g, "_g"), F.col(g).eqNullSafe(F.col("_g")), how) for how in ("left_semi", "left_anti")]
+    (_, small), (hot, _) = split(a, left), split(b, right)
+    pairs = stored(pairs_of_blocks(split(a, left)[0], b, left, right, block).unionByName(pairs_of_blocks(small, hot, left, right, block)))
+    more = multiset_dice(a, b, pairs.dropna(), left, right, state).select(left, right, "dice", "jaccard")
+    none = pairs.where(~whole).select(left, right, F.lit(None).cast("double").alias("dice"), F.lit(None).cast("double").alias("jaccard"))
+    return out.unionByName(more).unionByName(none)
+
+
 def mutual_best(scored: DataFrame, a: str, b: str, score: str, margin: float) -> DataFrame:
     """Pairs that are each other's best by at least the margin over the runner-up (none counts as 0)."""
     wa, wb = Window.partitionBy(a).orderBy(F.desc(score), b), Window.partitionBy(b).orderBy(F.desc(score), a)
