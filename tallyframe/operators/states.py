@@ -83,10 +83,13 @@ def season_to_date(df: DataFrame, state: DataFrame, entity: str, season: str, n:
 
 
 def prior_before_season(df: DataFrame, season: str, target: str, width: int | None = None, empty: float = 0.5) -> DataFrame:
-    """season, prior: the mean target of all earlier rows (or of `width` seasons); `empty` without any."""
+    """season, prior: the mean target of all earlier rows (or of `width` seasons); `empty` without any.
+
+    A row for each season, to be broadcast: dealt by season, all rows of one would go to one task.
+    """
     sums = df.groupBy(season).agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
     w = Window.orderBy(season).rangeBetween(Window.unboundedPreceding if width is None else -width, -1)
-    return sums.select(season, F.coalesce(F.sum("_s").over(w) / F.sum("_n").over(w), F.lit(empty)).alias("prior"))
+    return F.broadcast(sums.select(season, F.coalesce(F.sum("_s").over(w) / F.sum("_n").over(w), F.lit(empty)).alias("prior")))
 
 
 def group_prior_before_season(df: DataFrame, groups: Sequence[str], season: str, target: str) -> DataFrame:
