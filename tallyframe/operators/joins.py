@@ -125,6 +125,18 @@ def carried(rows: DataFrame, group: str, block: Sequence[str], state: str, end:
     return each.select(group, "_states", "_n", "_d", before.alias("_before"), *[F.col("_here")[c].alias(c) for c in block]).withColumnsRenamed(names)
 
 
+def carried_measures(met: DataFrame, left: str, right: str) -> DataFrame:
+    """left, right, dice, jaccard of pairs that carry states and counts (_n: rows, _d: distinct states) of both groups."""
+    k = F.array_intersect("_states", "_states2")
+    of = lambda states, v: F.size(F.filter(states, lambda u: u == v))
+    shared = F.aggregate(k, F.lit(0), lambda n, v: n + F.least(of("_states", v), of("_states2", v)))
+    once = (F.col("_n") == F.col("_d")) | (F.col("_n2") == F.col("_d2"))
+    met = met.select(left, right, "_n", "_n2", "_d", "_d2", F.size(k).alias("_k"), F.when(once, F.size(k)).otherwise(shared).cast("long").alias("_s"))
+    whole = F.col(left).isNotNull() & F.col(right).isNotNull()
+    dice, jaccard = 2 * F.col("_s") / (F.col("_n") + F.col("_n2")), F.col("_k") / (F.col("_d") + F.col("_d2") - F.col("_k"))
+    return met.select(left, right, F.when(whole, dice).alias("dice"), F.when(whole, jaccard).alias("jaccard"))
+
+
 def pairs_of_blocks(a: DataFrame, b: DataFrame, left: str, right: str, block: Sequence[str]) -> DataFrame:
     """Distinct pairs of groups of which some rows agree in the block columns, by a join of the rows."""
     return a.select(left, *block).join(b.select(right, *block), list(block)).select(left, right).distinct()
@@ -139,19 +151,14 @@ def blocked_pairs(a: DataFrame, b: DataFrame, left: str, right: str, block: Sequ
     """
     x, y = carried(a, left, block, state, ""), carried(b, right, block, state, "2")
     met = x.join(y, list(block)).where(~F.arrays_overlap("_before", "_before2"))
-    k = F.array_intersect("_states", "_states2")
-    of = lambda states, v: F.size(F.filter(states, lambda u: u == v))
-    shared = F.aggregate(k, F.lit(0), lambda n, v: n + F.least(of("_states", v), of("_states2", v)))
-    met = met.select(left, right, "_n", "_n2", "_d", "_d2", F.size(k).alias("_k"), F.when((F.col("_n") == F.col("_d")) | (F.col("_n2") == F.col("_d2")), F.size(k)).otherwise(shared).cast("long").alias("_s"))
-    whole = F.col(left).isNotNull() & F.col(right).isNotNull()
-    dice, jaccard = 2 * F.col("_s") / (F.col("_n") + F.col("_n2")), F.col("_k") / (F.col("_d") + F.col("_d2") - F.col("_k"))
-    out = met.select(left, right, F.when(whole, dice).alias("dice"), F.when(whole, jaccard).alias("jaccard"))
+    out = carried_measures(met, left, right)
     large = {g: stored(rows.groupBy(g).agg(F.count("*").alias("_rows")).where(F.col("_rows") > CARRIED).select(g)) for rows, g in ((a, left), (b, right))}
     if all(df.isEmpty() for df in large.values()):
         return out
     split = lambda rows, g: [rows.join(large[g].withColumnRenamed(g, "_g"), F.col(g).eqNullSafe(F.col("_g")), how) for how in ("left_semi", "left_anti")]
     (_, small), (hot, _) = split(a, left), split(b, right)
     pairs = stored(pairs_of_blocks(split(a, left)[0], b, left, right, block).unionByName(pairs_of_blocks(small, hot, left, right, block)))
+    whole = F.col(left).isNotNull() & F.col(right).isNotNull()
     more = multiset_dice(a, b, pairs.dropna(), left, right, state).select(left, right, "dice", "jaccard")
     none = pairs.where(~whole).select(left, right, F.lit(None).cast("double").alias("dice"), F.lit(None).cast("double").alias("jaccard"))
     return out.unionByName(more).unionByName(none)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import multiset_dice
+from .joins import CARRIED, carried_measures, multiset_dice
 from .stored import stored
 
 SLACK = 1e-9
@@ -50,18 +50,57 @@ def similar_candidates(a: DataFrame, b: DataFrame, left: str, right: str, state:
     return p.join(q, "_e").where(2 * most >= least * (F.col("_size") + F.col("_size2")) - SLACK).select(left, right).distinct()
 
 
+def carried_prefixes(rows: DataFrame, frequency: DataFrame, group: str, state: str, least: float, block: Sequence[str], end: str) -> DataFrame:
+    """A row for each element of the prefix of each group of CARRIED elements at most: with it go the group's states, counts
+    and blocks, and the hashes of the elements before this one."""
+    known = rows.where(F.col(group).isNotNull())
+    x = elements(rows, group, state).join(frequency, "_e").select("_g", F.struct("_f", "_e").alias("_at"))
+    counts = [F.count("*").alias("_n"), F.count_if(F.col("_at").isNull()).alias("_nulls")]
+    none = known.where(F.col(state).isNull()).select(F.col(group).alias("_g"), F.lit(None).cast(x.schema["_at"].dataType).alias("_at"))
+    small = x.unionByName(none).withColumn("_rows", F.count("*").over(Window.partitionBy("_g"))).where(F.col("_rows") <= CARRIED)
+    one = small.groupBy("_g").agg(F.array_sort(F.collect_list("_at")).alias("_all"), *counts)
+    if block:
+        one = one.join(known.groupBy(F.col(group).alias("_g")).agg(F.collect_set(F.xxhash64(*block)).alias("_blocks")), "_g")
+    else:
+        one = one.withColumn("_blocks", F.array().cast("array<long>"))
+    states = F.col("_all._e._state")
+    one = one.withColumns({"_size": F.size("_all"), "_states": states, "_d": F.size(F.array_distinct(states)) + (F.col("_nulls") > 0).cast("int")})
+    length = F.col("_size") - F.ceil(F.col("_size") * (least / (2 - least)) - SLACK) + 1
+    one = one.withColumn("_hashes", F.transform("_all", lambda x: F.xxhash64(x["_e"]))).where("_size > 0")
+    each = one.select("_g", "_states", "_size", "_n", "_d", "_blocks", "_hashes", F.posexplode(F.slice("_all", 1, length.cast("int"))).alias("_pos", "_here"))
+    each = each.select(F.col("_g").alias(group), "_states", "_size", "_n", "_d", "_blocks", "_pos", F.slice("_hashes", F.lit(1), F.col("_pos")).alias("_before"), F.col("_here._e").alias("_e"))
+    return each.withColumnsRenamed({c: f"{c}{end}" for c in ("_states", "_size", "_n", "_d", "_blocks", "_pos", "_before")})
+
+
 def similar_pairs(a: DataFrame, b: DataFrame, left: str, right: str, state: str, least: float, block: Sequence[str] = ()) -> DataFrame:
     """left, right, dice, jaccard of all pairs with a Dice similarity of at least `least`.
 
-    With block columns, only pairs count of which some rows agree in them. Verification joins the counts of the candidates
+    With block columns, only pairs count of which some rows agree in them. Groups are short as a rule, so the rows of a prefix
+    take their group's states along, and a pair is verified where it meets first: pairs are neither shuffled nor counted. Those
+    of which a group has more than CARRIED elements go the way of similar_candidates, and join the counts of the candidates
     alone. Sums of counts are whole, so the threshold holds up to rounding.
     """
+    if not 0 < least <= 1:
+        raise ValueError("the threshold lies above 0 and is 1 at most")
+    frequency = stored(elements(a, left, state).unionByName(elements(b, right, state)).groupBy("_e").agg(F.count("*").alias("_f")))
+    x, y = carried_prefixes(a, frequency, left, state, least, block, ""), carried_prefixes(b, frequency, right, state, least, block, "2")
+    most = F.least(F.col("_size") - F.col("_pos"), F.col("_size2") - F.col("_pos2"))
+    met = x.join(y, "_e").where((2 * most >= least * (F.col("_size") + F.col("_size2")) - SLACK) & ~F.arrays_overlap("_before", "_before2"))
+    if block:
+        met = met.where(F.arrays_overlap("_blocks", "_blocks2"))
+    out = carried_measures(met, left, right).where(F.col("dice") >= least - SLACK)
+    large = {g: stored(rows.groupBy(g).agg(F.count("*").alias("_rows")).where(F.col("_rows") > CARRIED).select(g)) for rows, g in ((a, left), (b, right))}
+    if all(df.isEmpty() for df in large.values()):
+        return out
     pairs = similar_candidates(a, b, left, right, state, least)
+    marked = pairs.join(large[left].withColumn("_l", F.lit(True)), left, "left").join(large[right].withColumn("_r", F.lit(True)), right, "left")
+    pairs = marked.where("_l or _r").select(left, right)
     if block:
         key = F.xxhash64(*block)
         of = lambda rows, group, out: rows.groupBy(group).agg(F.collect_set(key).alias(out))
         pairs = pairs.join(of(a, left, "_x"), left).join(of(b, right, "_y"), right).where(F.arrays_overlap("_x", "_y")).drop("_x", "_y")
-    return multiset_dice(a, b, stored(pairs), left, right, state).where(F.col("dice") >= least - SLACK)
+    more = multiset_dice(a, b, stored(pairs), left, right, state).where(F.col("dice") >= least - SLACK)
+    return out.unionByName(more.select(left, right, "dice", "jaccard"))
 
 
 def best_links(a: DataFrame, b: DataFrame, left: str, right: str, state: str, least: float, margin: float, block: Sequence[str] = ()) -> DataFrame:

@@ -121,3 +121,26 @@ def test_alignment_with_nulls_and_ties(spark):
     out = M.align_sequences(x, y, pairs, "x", "y", "o", "s", 0.5).orderBy("order_a").collect()
     assert [tuple(r) for r in out] == [(1, 9, 1, 5), (1, 9, 3, 7)]
     assert M.align_sequences(x, y, pairs, "x", "y", "o", "s", 0.6).where(F.col("x") == 1).count() == 0
+
+
+@pytest.mark.parametrize("most", [64, 5])
+def test_pairs_of_small_and_large_groups(spark, monkeypatch, most):
+    monkeypatch.setattr(M, "CARRIED", most)
+    a, b = drawn(77)
+    a[500] = [f"l{k // 2}" for k in range(120)]
+    b[1500], b[1501] = a[500][:90], a[500][30:] + ["a"]
+    x, y = logs(spark, a, b)
+    want = {(i, j): dice(p, q) for i, p in a.items() for j, q in b.items() if dice(p, q) >= 0.5 - 1e-9}
+    rows = M.similar_pairs(x, y, "x", "y", "s", 0.5).collect()
+    got = {(r["x"], r["y"]): r["dice"] for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys() and (500, 1500) in got
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    jaccard = {k: len(set(a[k[0]]) & set(b[k[1]])) / len(set(a[k[0]]) | set(b[k[1]])) for k in want}
+    assert all(abs(r["jaccard"] - jaccard[r["x"], r["y"]]) < 1e-12 for r in rows)
+
+
+def test_pairs_are_verified_where_they_meet(spark):
+    """One join of prefixes, and none of pairs with counts."""
+    x, y = logs(spark, *drawn(5, 20))
+    plan = M.similar_pairs(x, y, "x", "y", "s", 0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 3, plan  # two with the elements' frequency
