@@ -39,6 +39,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed, with its own size as the planner's estimate; for what a loop joins again in each round.
+
+    A checkpoint hands on the estimate of the plan it cuts off, which for a join is the product of both sides'. Over rounds that
+    number's length multiplies, until the driver does nothing but multiply it. What is kept in storage is measured instead.
+    """
+    kept = df.persist()
+    kept.count()
+    done = checkpointed(kept)
+    kept.unpersist()
+    return done
+
+
 def release(spark: SparkSession) -> None:
     """Drop the shuffle files and checkpoints of results out of use, which Spark keeps until the driver collects its garbage."""
     gc.collect()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed
+from .common import bounded_batches, checkpointed, settled
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 PIVOTS = 16
@@ -116,14 +116,14 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Rounds of taking the smallest label among the neighbours, then the label's own label, until nothing changes. Each
     round is written to the checkpoint folder; vertices without edges take no part.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("comp")))
+    both = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("fp"), F.least("a", "m").alias("comp")))
     moved = True
     while moved:  # labels only fall, so this ends
         near = both.join(labels, both["b"] == labels["fp"]).groupBy("a").agg(F.min("comp").alias("m"))
         lower = labels.join(near, labels["fp"] == near["a"]).select("fp", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
         jump = labels.select(F.col("fp").alias("comp"), F.col("comp").alias("root"))
-        new = checkpointed(lower.join(jump, "comp").select("fp", F.least("comp", "root").alias("comp"), "was"))
+        new = settled(lower.join(jump, "comp").select("fp", F.least("comp", "root").alias("comp"), "was"))
         moved = new.where("comp <> was").limit(1).count() > 0
         labels = new.select("fp", "comp")
     return vertices.select("fp").join(labels, "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp"))

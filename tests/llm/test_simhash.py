@@ -93,3 +93,11 @@ def test_edge_cases(spark):
     assert by[2].fingerprint == "0" * 16 and by[7].component_id == 7
     assert sorted(str(r.component_id) for r in out if r.doc_id is None) == ["1", "None"]
     assert H.near_duplicate_classes(docs.where("false")).count() == 0
+
+
+def test_rounds_do_not_compound_the_planners_estimates(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(63)], "a long, b long")
+    found = H.components(spark.range(70).withColumnRenamed("id", "fp"), edges)
+    estimate = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert estimate < 1 << 200, estimate.bit_length()
+    assert {r.fp: r.comp for r in found.collect()} == {k: k if k > 63 else 0 for k in range(70)}
