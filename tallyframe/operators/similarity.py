@@ -14,7 +14,7 @@ from bisect import bisect_left
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import CARRIED, carried_measures, multiset_dice
@@ -22,6 +22,9 @@ from .stored import stored
 
 SLACK = 1e-9
 
+#: Buckets of hashed states whose counts order the states of short groups; a table of so many rows is broadcast.
+RANKS = 1 << 16
+
 
 def elements(rows: DataFrame, group: str, state: str) -> DataFrame:
     """_g, _e: a row for each element (state, number of its occurrence) of each group; null groups and states have none."""
@@ -50,26 +53,42 @@ def similar_candidates(a: DataFrame, b: DataFrame, left: str, right: str, state:
     return p.join(q, "_e").where(2 * most >= least * (F.col("_size") + F.col("_size2")) - SLACK).select(left, right).distinct()
 
 
-def carried_prefixes(rows: DataFrame, frequency: DataFrame, group: str, state: str, least: float, block: Sequence[str], end: str) -> DataFrame:
-    """A row for each element of the prefix of each group of CARRIED elements at most: with it go the group's states, counts
-    and blocks, and the hashes of the elements before this one."""
-    known = rows.where(F.col(group).isNotNull())
-    x = elements(rows, group, state).join(frequency, "_e").select("_g", F.struct("_f", "_e").alias("_at"))
-    counts = [F.count("*").alias("_n"), F.count_if(F.col("_at").isNull()).alias("_nulls")]
-    none = known.where(F.col(state).isNull()).select(F.col(group).alias("_g"), F.lit(None).cast(x.schema["_at"].dataType).alias("_at"))
-    small = x.unionByName(none).withColumn("_rows", F.count("*").over(Window.partitionBy("_g"))).where(F.col("_rows") <= CARRIED)
-    one = small.groupBy("_g").agg(F.array_sort(F.collect_list("_at")).alias("_all"), *counts)
-    if block:
-        one = one.join(known.groupBy(F.col(group).alias("_g")).agg(F.collect_set(F.xxhash64(*block)).alias("_blocks")), "_g")
-    else:
-        one = one.withColumn("_blocks", F.array().cast("array<long>"))
-    states = F.col("_all._e._state")
-    one = one.withColumns({"_size": F.size("_all"), "_states": states, "_d": F.size(F.array_distinct(states)) + (F.col("_nulls") > 0).cast("int")})
-    length = F.col("_size") - F.ceil(F.col("_size") * (least / (2 - least)) - SLACK) + 1
-    one = one.withColumn("_hashes", F.transform("_all", lambda x: F.xxhash64(x["_e"]))).where("_size > 0")
-    each = one.select("_g", "_states", "_size", "_n", "_d", "_blocks", "_hashes", F.posexplode(F.slice("_all", 1, length.cast("int"))).alias("_pos", "_here"))
-    each = each.select(F.col("_g").alias(group), "_states", "_size", "_n", "_d", "_blocks", "_pos", F.slice("_hashes", F.lit(1), F.col("_pos")).alias("_before"), F.col("_here._e").alias("_e"))
-    return each.withColumnsRenamed({c: f"{c}{end}" for c in ("_states", "_size", "_n", "_d", "_blocks", "_pos", "_before")})
+def ranks(a: DataFrame, b: DataFrame, state: str) -> DataFrame:
+    """_bucket, _f: the rows of each of RANKS buckets of hashed states, of both logs. By it frequent states come late; among the
+    states of a bucket any order does, so the states need not be counted one by one."""
+    return stored(a.select(state).unionByName(b.select(state)).groupBy(bucket(state).alias("_bucket")).agg(F.count("*").alias("_f")))
+
+
+def bucket(state: str) -> Column:
+    return F.pmod(F.xxhash64(state), F.lit(RANKS)).cast("int")
+
+
+def block_key(block: Sequence[str]) -> Column:
+    """Hash of the block columns; null if one of them is, as then the row agrees with none."""
+    known = F.lit(True)
+    for c in block:
+        known &= F.col(c).isNotNull()
+    return F.when(known, F.xxhash64(*block))
+
+
+def carried_prefixes(rows: DataFrame, ranked: DataFrame, group: str, state: str, least: float, block: Sequence[str], end: str) -> DataFrame:
+    """A row for each state of the prefix of each group of CARRIED rows at most: with it go the group's states in the common
+    order, its counts and its blocks. A group's rows are shuffled once, and what follows from the states is not carried.
+
+    The occurrences of a state are neighbours in that order, so groups that share a later one share the first one before.
+    """
+    known = rows.where(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(state).alias("_e"), *([block_key(block).alias("_block")] if block else []))
+    small = known.withColumn("_rows", F.count("*").over(Window.partitionBy("_g"))).where(F.col("_rows") <= CARRIED).withColumn("_bucket", bucket("_e"))
+    at = F.when(F.col("_e").isNotNull(), F.struct("_f", "_e"))
+    one = small.join(F.broadcast(ranked), "_bucket").groupBy("_g").agg(
+        F.sort_array(F.collect_list(at)).alias("_all"), F.count("*").alias("_n"), F.max(F.col("_e").isNull()).cast("int").alias("_none"), *([F.collect_set("_block").alias("_blocks")] if block else [])
+    )
+    one = one.select("*", F.col("_all._e").alias("_states")).where(F.size("_states") > 0)
+    length = F.size("_states") - F.ceil(F.size("_states") * (least / (2 - least)) - SLACK) + 1
+    kept = ["_states", "_n", "_d", *(["_blocks"] if block else [])]
+    one = one.select("_g", "_states", F.col("_n").cast("int").alias("_n"), (F.size(F.array_distinct("_states")) + F.col("_none")).alias("_d"), *kept[3:], length.cast("int").alias("_length"))
+    each = one.select(F.col("_g").alias(group), *kept, F.explode(F.array_distinct(F.slice("_states", F.lit(1), F.col("_length")))).alias("_e"))
+    return each.withColumnsRenamed({c: f"{c}{end}" for c in kept})
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, left: str, right: str, state: str, least: float, block: Sequence[str] = ()) -> DataFrame:
@@ -82,10 +101,13 @@ def similar_pairs(a: DataFrame, b: DataFrame, left: str, right: str, state: str,
     """
     if not 0 < least <= 1:
         raise ValueError("the threshold lies above 0 and is 1 at most")
-    frequency = stored(elements(a, left, state).unionByName(elements(b, right, state)).groupBy("_e").agg(F.count("*").alias("_f")))
-    x, y = carried_prefixes(a, frequency, left, state, least, block, ""), carried_prefixes(b, frequency, right, state, least, block, "2")
-    most = F.least(F.col("_size") - F.col("_pos"), F.col("_size2") - F.col("_pos2"))
-    met = x.join(y, "_e").where((2 * most >= least * (F.col("_size") + F.col("_size2")) - SLACK) & ~F.arrays_overlap("_before", "_before2"))
+    ranked = ranks(a, b, state)
+    x, y = carried_prefixes(a, ranked, left, state, least, block, ""), carried_prefixes(b, ranked, right, state, least, block, "2")
+    before = [F.array_position(c, F.col("_e")).cast("int") - 1 for c in ("_states", "_states2")]
+    size = [F.size("_states"), F.size("_states2")]
+    most = F.least(size[0] - before[0], size[1] - before[1])
+    first = ~F.arrays_overlap(F.slice("_states", F.lit(1), before[0]), F.slice("_states2", F.lit(1), before[1]))
+    met = x.join(y, "_e").where(2 * most >= least * (size[0] + size[1]) - SLACK).where(first)
     if block:
         met = met.where(F.arrays_overlap("_blocks", "_blocks2"))
     out = carried_measures(met, left, right).where(F.col("dice") >= least - SLACK)
@@ -96,7 +118,7 @@ def similar_pairs(a: DataFrame, b: DataFrame, left: str, right: str, state: str,
     marked = pairs.join(large[left].withColumn("_l", F.lit(True)), left, "left").join(large[right].withColumn("_r", F.lit(True)), right, "left")
     pairs = marked.where("_l or _r").select(left, right)
     if block:
-        key = F.xxhash64(*block)
+        key = block_key(block)
         of = lambda rows, group, out: rows.groupBy(group).agg(F.collect_set(key).alias(out))
         pairs = pairs.join(of(a, left, "_x"), left).join(of(b, right, "_y"), right).where(F.arrays_overlap("_x", "_y")).drop("_x", "_y")
     more = multiset_dice(a, b, stored(pairs), left, right, state).where(F.col("dice") >= least - SLACK)

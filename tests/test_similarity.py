@@ -144,3 +144,18 @@ def test_pairs_are_verified_where_they_meet(spark):
     x, y = logs(spark, *drawn(5, 20))
     plan = M.similar_pairs(x, y, "x", "y", "s", 0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 3, plan  # two with the elements' frequency
+
+
+def test_rows_are_shuffled_once_a_side(spark):
+    """Before the prefixes meet, each log's rows go once to their groups; no table of all states is joined to them by a shuffle."""
+    x, y = logs(spark, *drawn(6, 20))
+    plan = M.similar_pairs(x, y, "x", "y", "s", 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4, plan
+
+
+def test_null_blocks_agree_with_none(spark):
+    x, y = spark.createDataFrame([(1, "a", None), (2, "b", 1)], "x long, s string, k int"), spark.createDataFrame([(7, "a", None), (8, "b", 1)], "y long, s string, k int")
+    for most in (64, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(M, "CARRIED", most)
+            assert [(r["x"], r["y"]) for r in M.similar_pairs(x, y, "x", "y", "s", 0.5, ["k"]).collect()] == [(2, 8)]
